@@ -1,0 +1,4 @@
+"""Registry of the queries over the corpus operators and their SQL."""
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
