@@ -1,8 +1,11 @@
 """Queries of this subpackage and their SQL."""
 
-from loomfield.llm import packing
+from loomfield.llm import mixing, packing, secrets, sharding
 
 QUERIES = {
+    "op1_secret_scans": secrets.op1_secret_scans,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op5_mixing": mixing.op5_mixing,
+    "op9_sharding": sharding.op9_sharding,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_secret_scans": secrets.OP1_SQL, "op5_mixing": mixing.OP5_SQL}
