@@ -1,0 +1,35 @@
+"""Ranges of a numeric key with about equally many rows, from bounds that are known before rows move."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Bounds are literals of the plan, so there are at most so many.
+MOST_RANGES = 1 << 14
+
+
+def range_bounds(df: DataFrame, key: str, n: int) -> list[int]:
+    """Ascending upper bounds that cut df into n ranges at most."""
+    n = max(1, min(n, MOST_RANGES))
+    if n == 1:
+        return []
+    at = df.agg(F.percentile_approx(key, [i / n for i in range(1, n)], max(10_000, 4 * n))).first()[0]
+    return sorted(set(at or []))
+
+
+def range_of(key: Column, bounds: list[int]) -> Column:
+    """The number of bounds below key, by bisection; 0 for null."""
+    if not bounds:
+        return F.lit(0)
+    all_ = F.array(*map(F.lit, bounds))
+
+    def halve(at, _):
+        mid = F.floor((at["lo"] + at["hi"]) / 2).cast("int")
+        right = F.element_at(all_, F.least(mid, F.lit(len(bounds) - 1)) + 1) < key
+        done = at["lo"] >= at["hi"]
+        return F.struct(F.when(~done & right, mid + 1).otherwise(at["lo"]).alias("lo"), F.when(~done & ~right, mid).otherwise(at["hi"]).alias("hi"))
+
+    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length() + 1))
+    found = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi")), halve, lambda at: at["lo"])
+    return F.when(key.isNull(), F.lit(0)).otherwise(found)
