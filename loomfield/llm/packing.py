@@ -25,8 +25,8 @@ from loomfield.llm import tokens
 from loomfield.plans.shared import discard, materialize_at, ship
 
 END = 1
-#: A bin with so many free tokens at most is final.
-NEARLY = 16
+#: A bin with this part of its tokens free at most is final.
+NEARLY = 1 / 256
 FAN, CARRY = 8, 20_000
 PIECE = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"), ("crc", "<u4")])
 
@@ -59,7 +59,7 @@ def _bins(node: int, level: int, used: np.ndarray, blobs: list[bytes], capacity:
     """One row per bin: final bins have an id, the others belong to the node above."""
     packed = best_fit(used, capacity)
     full = np.array([int(used[b].sum()) for b in packed], np.int64)
-    done = full >= capacity - NEARLY
+    done = full >= capacity * (1 - NEARLY)
     if last:
         done[:] = True
     elif (open_ := np.flatnonzero(~done)).size > CARRY:
