@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomfield.functions.urls import strip
 
@@ -42,12 +43,12 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def casefold(s: pd.Series) -> pd.Series:
     return s.map(str.casefold, na_action="ignore")
 
@@ -86,7 +87,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def _ratio(junk: bool):
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def of(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y, autojunk=junk).ratio() for x, y in zip(a, b)], dtype="float64")
 

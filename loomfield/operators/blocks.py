@@ -55,7 +55,7 @@ def labels(ids: Column, mask: Column) -> Column:
 
 def target_tokens(mask: Column) -> Column:
     """Masked-in places after the first."""
-    return F.size(F.filter(F.slice(mask, 2, 2**31 - 1), lambda m: m))
+    return F.size(F.filter(F.slice(mask, F.lit(2), F.greatest(F.size(mask), F.lit(1))), lambda m: m))
 
 
 def instruction_example(prompt: Column, answer: Column, end: int, length: int) -> Column:

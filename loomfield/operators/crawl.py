@@ -8,6 +8,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomfield.functions import urls
 from loomfield.plans.shared import discard, materialize_at, ship
@@ -30,11 +31,11 @@ def root_links(html: Column, base: Column) -> Column:
 
 
 def markdown_links(text: Column, base: Column) -> Column:
-    found = F.transform(F.regexp_extract_all(text, F.lit(MARKDOWN_LINK), F.lit(2)), urls.strip)
+    found = F.transform(F.regexp_extract_all(text, F.lit(MARKDOWN_LINK), F.lit(2)), lambda h: urls.strip(h))
     return F.transform(found, lambda h: urls.crawl_url(F.when(h.startswith("/"), F.concat(urls.scheme(base), F.lit("://"), urls.authority(base), h)).otherwise(h)))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def resolved_links(html: pd.Series, base: pd.Series) -> pd.Series:
     """All anchors' links, resolved against base, of any relative form."""
 
@@ -111,7 +112,7 @@ def page_text(html: str | None) -> str:
     return p.main()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def main_text(html: pd.Series) -> pd.Series:
     """Texts of main, else article, else body, without scripts, styles, navigation, footers and headers, one a line."""
     return html.map(page_text)

@@ -30,12 +30,16 @@ def line_metrics(docs: DataFrame, group: str, often: int = 5, solid: int = 20) -
 def shingle_strings(text: Column, k: int = 8) -> Column:
     """Distinct windows of k words; a shorter text has one, of all its words."""
     w = F.regexp_extract_all(text, F.lit(r"(?U)\S+"), F.lit(0))
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - k, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, k), " ")))
+
+    def windows(x):  # x: the words, bound once so that no window finds them again
+        return F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(x) - k, F.lit(0))), lambda i: F.array_join(F.slice(x, i + 1, k), " ")))
+
+    return F.element_at(F.transform(F.array(w), windows), 1)
 
 
 def shingle_table(docs: DataFrame, group: str, key: str, k: int = 8) -> DataFrame:
     """group, key, shingle hash, stored: later steps read it twice."""
-    return materialize(docs.select(group, key, F.explode(F.transform(shingle_strings(F.col("text"), k), F.xxhash64)).alias("shingle")), "shingles")
+    return materialize(docs.select(group, key, F.explode(F.transform(shingle_strings(F.col("text"), k), lambda s: F.xxhash64(s))).alias("shingle")), "shingles")
 
 
 def near_pairs(shingles: DataFrame, group: str, key: str, similarity: float = 0.3, containment: float = 0.6) -> DataFrame:

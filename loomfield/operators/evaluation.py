@@ -150,7 +150,7 @@ def hashed_map(items: DataFrame, models: list[str], seed: int) -> DataFrame:
 
 
 def position_balance(mapping: DataFrame, models: list[str]) -> DataFrame:
-    return mapping.groupBy("letter").pivot("model", models).agg(F.count("*")).na.fill(0)
+    return mapping.groupBy("letter").pivot("model", models).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def unblinded(judgements: DataFrame, mapping: DataFrame) -> DataFrame:
