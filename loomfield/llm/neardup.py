@@ -8,10 +8,12 @@ Jaccard similarity, with concentration like that of T independent samples. BANDS
 make buckets: at a similarity of 0.75 two classes share none with probability (1 - 0.75**5)**51, about 1e-6.
 
 Links are found by stars: the classes of a bucket are held against its least class, and links of verified pairs
-join components. What is left in a bucket then, pairs of classes of different components, is held against each
-other too, so that no link is lost to the choice of the star's centre; pairs within one component decide nothing.
-Pairs whose packed sketches agree far below the threshold (over six standard deviations) are ruled out by them;
-the others are confirmed on full sets.
+join components. Pairs whose packed sketches agree far below the threshold (over six standard deviations) are ruled
+out by them; the others are confirmed on full sets. So that no link is lost to the choice of the star's centre, the
+classes left in a bucket whose components differ are then held against each other in blocks of BLOCK, by bitmaps of
+their sets: a bit that only one set has stands for an element that only it has, which bounds the similarity from
+above, so what the bitmaps rule out has no link. Only pairs within the bound leave a block, and are confirmed on
+full sets too. Pairs within one component decide nothing.
 
 Cases: null and empty texts, and texts of white space, have the empty set and are linked with nothing. A text
 of one to four words has one shingle. Rows with the same document id count as linked with each other if they
@@ -40,6 +42,8 @@ EMPTY = U(0xFFFFFFFFFFFFFFFF)
 #: Sketches that agree in fewer of the T coordinates rule a pair out: 0.75 less six standard deviations of T samples.
 LEAST_AGREE = int(T * (0.75 - 6 * (0.75 * 0.25 / T) ** 0.5))
 MOST_IDS = 2_000_000
+#: Classes of a bucket held against each other at once; bits of a set's bitmap for each element; words compared at once.
+BLOCK, BITS, STRIP = 1024, 16, 1 << 21
 _ROUND = words.mix(np.arange(1, 2 * T + 1, dtype=U) * U(0x9E3779B97F4A7C15))
 _BAND = words.mix(np.arange(1, BANDS + 1, dtype=U) * U(0xC2B2AE3D27D4EB4F))
 
@@ -113,6 +117,116 @@ def _alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select([0, 1]).filter(pa.array((x == y).sum(axis=1) >= LEAST_AGREE))
 
 
+def _bitmaps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bitmaps of a power of two of bits: a larger one folds onto a smaller one half by half."""
+    for batch in batches:
+        for _, buf, at in words.chunks(batch.column(0)):
+            h, ptr = words.shingle_sets(buf, at, WORDS)
+            d1, d2 = _digests(h, ptr)
+            places = words.mix(h)
+            bits = []
+            for a, b in zip(ptr[:-1].tolist(), ptr[1:].tolist()):
+                size = max(64, 1 << (BITS * (b - a) - 1).bit_length()) if b > a else 64
+                there = np.zeros(size, bool)
+                there[(places[a:b] & U(size - 1)).astype(np.int64)] = True
+                bits.append(np.packbits(there).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(d1), pa.array(d2), pa.array(np.diff(ptr)), pa.array(bits, pa.binary())], names=["d1", "d2", "n", "bits"])
+
+
+def _near(n: np.ndarray, bits: list[bytes], component: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of different components that may be linked by their bitmaps. side: 0 and 1 for the two blocks held against each other, 2 if they are one."""
+    size = np.array([len(x) for x in bits])
+    left, right = [], []
+    for width in np.unique(size).tolist():
+        x = np.flatnonzero(size == width)
+        y = np.flatnonzero((size == width) | (size == 2 * width))  # sets that are linked differ in size by a third at most
+        wx = np.frombuffer(b"".join(bits[i] for i in x), U).reshape(len(x), -1)
+        folded = [bits[i] if size[i] == width else (np.frombuffer(bits[i][:width], U) | np.frombuffer(bits[i][width:], U)).tobytes() for i in y]
+        wy = np.frombuffer(b"".join(folded), U).reshape(len(y), -1)
+        ox, oy = (n[i] - np.bitwise_count(w).sum(axis=1, dtype=np.int64) for i, w in ((x, wx), (y, wy)))
+        step = max(1, STRIP // max(1, wx.shape[1] * len(y)))
+        for k in range(0, len(x), step):
+            i, j = np.meshgrid(np.arange(k, min(k + step, len(x))), np.arange(len(y)), indexing="ij")
+            i, j = i.ravel(), j.ravel()
+            a, b = x[i], y[j]
+            ok = (component[a] != component[b]) & ((size[b] != width) | (a < b)) & ((side[a] != side[b]) | (side[a] == 2))
+            ok &= (4 * n[a] >= 3 * n[b]) & (4 * n[b] >= 3 * n[a])
+            i, j, a, b = i[ok], j[ok], a[ok], b[ok]
+            for m in range(0, len(a), max(1, STRIP // wx.shape[1])):
+                c = slice(m, m + max(1, STRIP // wx.shape[1]))
+                both = np.bitwise_count(wx[i[c]] & wy[j[c]]).sum(axis=1, dtype=np.int64)
+                most = np.minimum(ox[i[c]], oy[j[c]]) + both
+                good = 100 * most >= PERCENT * (n[a[c]] + n[b[c]] - most)
+                left.append(a[c][good])
+                right.append(b[c][good])
+    none = np.empty(0, np.int64)
+    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+
+
+def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (bucket, lo, hi): the pairs of each run that may be linked."""
+    waits: list[pa.RecordBatch] = []
+
+    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = rows.combine_chunks()
+        key = np.stack([rows.column(c).to_numpy() for c in ("bucket", "lo", "hi")])
+        edges = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0), [True]]))
+        cid, component, n = (rows.column(c).to_numpy() for c in ("cid", "component", "n"))
+        block, bits = rows.column("block").to_numpy(), rows.column("bits")
+        found = set()
+        for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            if e - s > 1 and (component[s:e] != component[s]).any():
+                side = np.where(key[1, s:e] == key[2, s:e], 2, (block[s:e] == key[2, s:e]).astype(int))
+                a, b = _near(n[s:e], bits[s:e].to_pylist(), component[s:e], side)
+                found.update(zip(np.minimum(cid[s:e][a], cid[s:e][b]).tolist(), np.maximum(cid[s:e][a], cid[s:e][b]).tolist()))
+        if found:
+            a, b = zip(*found)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = [batch.column(batch.schema.get_field_index(c))[batch.num_rows - 1].as_py() for c in ("bucket", "lo", "hi")]
+        same = np.ones(batch.num_rows, bool)
+        for c, v in zip(("bucket", "lo", "hi"), last):
+            same &= batch.column(batch.schema.get_field_index(c)).to_numpy() == v
+        cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        if cut:
+            waits.append(batch.slice(0, cut))
+            yield from pairs(pa.Table.from_batches(waits))
+            waits = []
+        elif waits and [waits[0].column(waits[0].schema.get_field_index(c))[0].as_py() for c in ("bucket", "lo", "hi")] != last:
+            yield from pairs(pa.Table.from_batches(waits))
+            waits = []
+        waits.append(batch.slice(cut))
+    if waits:
+        yield from pairs(pa.Table.from_batches(waits))
+
+
+def _texts(needed: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(texts that hold those of the classes needed, needed as the side of a join by digests)."""
+    small = broadcast_if_small(needed, MOST_IDS)
+    texts = docs.join(small.select("cid"), docs["doc_id"] == F.col("cid"), "left_semi")
+    if needed.where("cid < 0").limit(1).count():
+        texts = texts.unionByName(docs.where("doc_id is null"))
+    return texts.select("text"), small
+
+
+def _rest(apart: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b): pairs within the bitmaps' bound among apart(bucket, cid, component)."""
+    ids = apart.select("cid").distinct()
+    texts, needed = _texts(materialize(classes.join(ids, "cid").select("cid", "d1", "d2"), "near-needed"), docs)
+    maps = texts.mapInArrow(_bitmaps, "d1 long, d2 long, n long, bits binary").join(needed, ["d1", "d2"]).dropDuplicates(["cid"]).select("cid", "n", "bits")
+    maps = materialize(maps, "near-bitmaps")
+    sizes = apart.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = apart.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "cid", "component").join(maps, "cid")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(parts, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "cid")
+    return dealt.mapInArrow(_blocks, "a long, b long").distinct()
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes that are linked."""
     low = classes.select("cid", "low")
@@ -120,11 +234,8 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     likely = materialize(x.select("a", "b", "x", "y").mapInArrow(_alike, "a long, b long"), "near-likely")
     ids = likely.select(F.col("a").alias("cid")).union(likely.select("b")).distinct()
     needed = materialize(classes.join(ids, "cid").select("cid", "d1", "d2"), "near-needed")
-    small = broadcast_if_small(needed, MOST_IDS)
-    texts = docs.join(small.select("cid"), docs["doc_id"] == F.col("cid"), "left_semi")
-    if needed.where("cid < 0").limit(1).count():
-        texts = texts.unionByName(docs.where("doc_id is null"))
-    sets = texts.select("text").mapInArrow(_sets, "d1 long, d2 long, set array<long>")
+    texts, small = _texts(needed, docs)
+    sets = texts.mapInArrow(_sets, "d1 long, d2 long, set array<long>")
     sets = materialize(sets.join(small, ["d1", "d2"]).dropDuplicates(["cid"]).select("cid", "set"), "near-sets")
     both = likely.join(sets.select(F.col("cid").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("cid").alias("a"), F.col("set").alias("x")), "a")
     inter = F.size(F.array_intersect("x", "y"))
@@ -150,9 +261,8 @@ def components(docs: DataFrame) -> DataFrame:
 
     labelled = shared.join(of.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     mixed = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    apart = materialize(labelled.join(mixed, "bucket").where("cid > least"), "near-apart")
-    y = apart.select("bucket", F.col("cid").alias("b"), F.col("component").alias("cb"))
-    rest = apart.join(y, "bucket").where("cid < b and component <> cb").select(F.col("cid").alias("a"), "b").distinct()
+    apart = materialize(labelled.join(mixed, "bucket").where("cid > least").select("bucket", "cid", "component"), "near-apart")
+    rest = materialize(_rest(apart, classes, docs), "near-rest")
     more = materialize(_verified(rest, classes, docs), "near-links")
     if not more.isEmpty():
         of = connected(links.union(more))
