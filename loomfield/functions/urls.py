@@ -21,7 +21,8 @@ def strip(c: Column, chars: str = r"\s") -> Column:
 
 
 def part(url: Column, n: int) -> Column:
-    return F.regexp_extract(url, PARTS, n)
+    """Part n of PARTS, without blanks before the URL and tabs and line ends within."""
+    return F.regexp_extract(F.regexp_replace(url, r"^[\x00-\x20]+|[\t\r\n]", ""), PARTS, n)
 
 
 def scheme(url: Column) -> Column:
