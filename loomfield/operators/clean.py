@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomfield.functions import text, urls
+from loomfield.plans.shared import broadcast_if_small
 
 
 def reason(content: Column, url: Column, least: int) -> Column:
@@ -65,4 +66,4 @@ def short_id(canonical_url: Column) -> Column:
 def patched(rows: DataFrame, fixes: DataFrame, key: str, column: str) -> DataFrame:
     """rows with column replaced where fixes(key, value) has the key."""
     f = fixes.select(F.col(key).alias("__k"), F.col("value").alias("__v"))
-    return rows.join(F.broadcast(f) if fixes.limit(100_001).count() <= 100_000 else f, rows[key] == F.col("__k"), "left").withColumn(column, F.coalesce("__v", column)).drop("__k", "__v")
+    return rows.join(broadcast_if_small(f, 100_000), rows[key] == F.col("__k"), "left").withColumn(column, F.coalesce("__v", column)).drop("__k", "__v")

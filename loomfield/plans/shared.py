@@ -53,8 +53,8 @@ def discard(spark: SparkSession, *paths: str) -> None:
 
 
 def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
-    """df with a broadcast hint if it has at most most_rows rows, else as it is: the join then shuffles. df should be cheap to count."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df.hint("merge")
+    """df with a broadcast hint if it has at most most_rows rows; else the join shuffles and sorts. df should be a stored table, which is cheap to count."""
+    return F.broadcast(df) if df.count() <= most_rows else df.hint("merge")
 
 
 def ship(spark: SparkSession) -> None:
