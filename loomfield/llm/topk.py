@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from loomfield.plans.shared import ship
 
 BLOCK, QUERY_BLOCK = 64, 16_384
+#: Rows of a query block that set its first thresholds; any candidates' scores are a valid floor.
+FLOOR_ROWS = 2048
 EXACT = 2.0**53
 #: The score of a place that no candidate has.
 NONE = np.iinfo(np.int64).min
@@ -54,9 +56,10 @@ class Queries:
     @classmethod
     def of(cls, ids: np.ndarray, vectors: np.ndarray, k: int) -> Queries:
         floor = np.full(len(ids), -np.inf)
+        some = slice(0, FLOOR_ROWS)
         for i in range(0, len(ids), 512):  # the query block's rows are candidates of one another
-            s = scores(vectors[i : i + 512], vectors[: 4 * QUERY_BLOCK]).astype(float)
-            s[ids[i : i + 512, None] == ids[None, :]] = -np.inf
+            s = scores(vectors[i : i + 512], vectors[some]).astype(float)
+            s[ids[i : i + 512, None] == ids[None, some]] = -np.inf
             if s.shape[1] > k:
                 floor[i : i + 512] = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
         return cls(ids, vectors, floor)
