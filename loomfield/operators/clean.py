@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomfield.functions import text, urls
-from loomfield.plans.shared import broadcast_if_small
+from loomfield.plans.shared import broadcast_if_small, materialize
 
 
 def reason(content: Column, url: Column, least: int) -> Column:
@@ -31,21 +31,29 @@ def normalise(docs: DataFrame, exact: bool = False) -> DataFrame:
 
 
 def survivors(docs: DataFrame, key: str, ordinal: str = "doc_id") -> DataFrame:
-    """Adds survives: whether a row is its key's preferred one, Markdown before other, then longer, then the greater URL, then earlier."""
-    best = Window.partitionBy(key).orderBy(urls.is_markdown(F.col("url")).desc(), F.desc("content_length"), F.desc("url"), ordinal)
-    return docs.withColumn("survives", F.row_number().over(best) == 1)
+    """Adds survives: whether a row is its key's preferred one, Markdown before other, then longer, then the greater URL, then the lesser ordinal.
+
+    The best row of a key is a maximum, which is taken in part before rows move, so a key that many rows share is no burden.
+    """
+    rank = F.struct(urls.is_markdown(F.col("url")), F.col("content_length"), F.col("url"), -F.col(ordinal))
+    best = docs.groupBy(F.col(key).alias("__key")).agg(F.max(rank).alias("__best"))
+    return docs.join(best, docs[key] == F.col("__key")).withColumn("survives", rank.eqNullSafe(F.col("__best"))).drop("__key", "__best")
 
 
 def clean(raw: DataFrame, least: int = 800, exact: bool = False) -> DataFrame:
-    """raw with reason: null for rows that stay. Wants url, content and doc_id."""
+    """raw with reason: null for rows that stay. Wants url, content and doc_id, which tells rows apart.
+
+    Only ids, URLs, lengths and digests go through deduplication; contents aren't moved for it.
+    """
     judged = raw.withColumn("reason", reason(F.col("content"), F.col("url"), least))
-    rejected = judged.where("reason is not null")
-    good = normalise(judged.where("reason is null"), exact)
-    by_content = survivors(good, "content_sha256")
-    twins = by_content.where("not survives").withColumn("reason", F.lit("exact_content_duplicate")).drop("survives")
+    good = normalise(judged.where("reason is null").drop("reason"), exact)
+    narrow = materialize(good.select("doc_id", "url", "content_sha256", "canonical_url", "content_length"), "clean")
+    by_content = survivors(narrow, "content_sha256")
     by_url = survivors(by_content.where("survives").drop("survives"), "canonical_url")
-    by_url = by_url.withColumn("reason", F.when(~F.col("survives"), "canonical_url_duplicate")).drop("survives")
-    return by_url.unionByName(twins).unionByName(rejected, allowMissingColumns=True)
+    lost = [d.where("not survives").select(F.col("doc_id").alias("__id"), F.lit(why).alias("reason")) for d, why in ((by_content, "exact_content_duplicate"), (by_url, "canonical_url_duplicate"))]
+    lost = broadcast_if_small(materialize(lost[0].unionByName(lost[1]), "clean-lost"), 2_000_000)
+    kept = good.join(lost, good["doc_id"] == F.col("__id"), "left").drop("__id")
+    return kept.unionByName(judged.where("reason is not null"), allowMissingColumns=True)
 
 
 def excluded(raw: DataFrame, least: int = 800, exact: bool = False) -> DataFrame:
