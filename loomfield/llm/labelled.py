@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomfield.plans.shared import broadcast_if_small, materialize
+
 FOLDS = 5
+#: Labels of so many documents at most are broadcast.
+MOST_SENT = 2_000_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -13,17 +17,21 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """(doc_id, text, label) of the labelled documents outside the held-out fold, without null labels.
+def training_ids(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label), stored, of the labelled documents outside the held-out fold, without null labels.
 
     A document with several labels counts once, with the greatest.
     """
     own = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
     own = own.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    return docs.select("doc_id", "text").join(own, "doc_id")
+    return materialize(own.join(docs.select("doc_id"), "doc_id", "left_semi"), "labelled")
 
 
-def bounded(rows: DataFrame, most: int, seed: str) -> DataFrame:
+def bounded(ids: DataFrame, most: int, seed: str) -> DataFrame:
     """most rows at most, chosen by a hash of their ids, so that reruns agree."""
-    n = rows.count()
-    return rows if n <= most else rows.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(n)) < most).orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(most)
+    return ids if ids.count() <= most else ids.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(most)
+
+
+def with_texts(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, text, label). Texts move only if there are more labels than can be sent to all tasks."""
+    return docs.select("doc_id", "text").join(broadcast_if_small(ids, MOST_SENT), "doc_id")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomfield.llm import words
-from loomfield.llm.labelled import bounded, held_out, training_rows
+from loomfield.llm.labelled import bounded, held_out, training_ids, with_texts
 from loomfield.plans.shared import ship
 
 MOST_LABELLED = 10_000
@@ -233,7 +233,7 @@ def measured(text: str = "text") -> Column:
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     ship(docs.sparkSession)
-    rows = bounded(training_rows(docs, labels, "quality"), MOST_LABELLED, "quality")
+    rows = with_texts(bounded(training_ids(docs, labels, "quality"), MOST_LABELLED, "quality"), docs)
     table = rows.select("doc_id", "label", measured().alias("s")).select("doc_id", "label", "s.*").toPandas().sort_values("doc_id")
     return fit(table[list(STATISTICS)].to_numpy(float), table["label"].to_numpy(float))
 

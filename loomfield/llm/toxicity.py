@@ -32,8 +32,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomfield.llm import words
-from loomfield.llm.labelled import bounded, held_out, training_rows
-from loomfield.plans.shared import ship
+from loomfield.llm.labelled import bounded, held_out, training_ids, with_texts
+from loomfield.plans.shared import materialize, ship
 
 VOCABULARY = 50_000
 MOST_LABELLED = 50_000
@@ -163,16 +163,17 @@ def _root(scores: np.ndarray, share: np.ndarray) -> float:
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     ship(docs.sparkSession)
-    rows = training_rows(docs, labels, "toxic")
-    n = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    ids = training_ids(docs, labels, "toxic")
+    n = {r.label: r.n for r in ids.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n0, n1 = n.get(0, 0), n.get(1, 0)
     none = Model(np.empty(0, np.int64), np.empty(0), 1.0, 1.0)
     if not n0 or not n1:
         none.intercept = 30.0 if n1 else -30.0
         return none
-    counts = rows.select("text", "label").mapInArrow(_seen, "token long, label int, n long").groupBy("token").agg(
+    counts = with_texts(ids, docs).select("text", "label").mapInArrow(_seen, "token long, label int, n long").groupBy("token").agg(
         F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("y1"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("y0")
     )
+    counts = materialize(counts, "token-counts")
     prior = PRIOR * (F.col("y1") + F.col("y0")) / (n0 + n1) + 0.01
     odds = lambda y, of: F.ln((F.col(y) + F.col("a")) / (F.lit(of + PRIOR) - F.col(y) - F.col("a")))
     scored = counts.withColumn("a", prior).withColumn("odds", odds("y1", n1) - odds("y0", n0))
@@ -186,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     if (p * scores).sum() >= 0:  # too many clean tokens score: the penalty alone can't make the mean negative
         p = p * np.where(scores > 0, 0.9 * -PENALTY / max(1e-12, (p * np.maximum(scores, 0)).sum()), 1)
     model = Model(tokens, odds_, _root(scores, p) if len(tokens) else 1.0, 1.0)
-    sample = bounded(rows, MOST_LABELLED, "toxicity").select("text", "label")
+    sample = with_texts(bounded(ids, MOST_LABELLED, "toxicity"), docs).select("text", "label")
 
     def evidence(batches):
         for batch in batches:
