@@ -1,6 +1,7 @@
 """Toxicity by maximum-scoring segments over token log-odds.
 
-Tokens are runs of letters of folded case. Training counts, over all labelled documents outside the held-out
+Tokens are runs of letters of folded case and, since words are built from stems, their beginnings of PREFIXES bytes;
+a word scores as the best of these. Training counts, over all labelled documents outside the held-out
 fold, in how many toxic and other documents each token occurs, and takes the log-odds under an informative
 Dirichlet prior, the corpus counts scaled down. Tokens that stand out significantly score their log-odds; all
 others score the same small penalty, so that the expected score of clean text is negative. The linear-time
@@ -43,6 +44,8 @@ PRIOR, SIGNIFICANT = 50.0, 3.5
 E_VALUE = 0.05
 #: The score of other tokens.
 PENALTY = -0.05
+#: Lengths of the beginnings of words that are tokens too, in bytes; only longer words have them.
+PREFIXES = (4, 5, 6, 7, 8)
 
 #: Token bytes: ASCII letters and all bytes of other characters.
 _SEPARATOR = np.ones(256, bool)
@@ -60,10 +63,15 @@ def folded(buf: np.ndarray) -> np.ndarray:
 
 
 def token_hashes(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of tokens, index of each document's first)."""
+    """(hashes of each word and its beginnings, a row a word; index of each document's first). Where a word is too short, its own hash stands again."""
     low = folded(buf)
     starts, ends, first = words.spans(low, at, _SEPARATOR)
-    return words.word_hashes(low, starts, ends).view(np.int64), first
+    own = words.word_hashes(low, starts, ends)
+    out = np.tile(own[:, None], (1, 1 + len(PREFIXES)))
+    for k, n in enumerate(PREFIXES):
+        long = np.flatnonzero(ends - starts > n)
+        out[long, k + 1] = words.mix(words.word_hashes(low, starts[long], starts[long] + n) ^ np.uint64(n))
+    return out.view(np.int64), first
 
 
 def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,7 +79,8 @@ def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         label = batch.column(1).to_numpy(zero_copy_only=False)
         for i, buf, at in words.chunks(batch.column(0)):
-            h, ptr = words.distinct(*token_hashes(buf, at))
+            h, first = token_hashes(buf, at)
+            h, ptr = words.distinct(h.reshape(-1), first * (1 + len(PREFIXES)))
             y = np.repeat(label[i : i + len(ptr) - 1], np.diff(ptr))
             for kind in (0, 1):
                 token, n = np.unique(h[y == kind], return_counts=True)
@@ -106,11 +115,14 @@ class Model:
     intercept: float = -30.0
 
     def score_tokens(self, h: np.ndarray) -> np.ndarray:
+        """The score of each word of token_hashes."""
         out = np.full(len(h), PENALTY)
         if len(self.tokens):
-            at = np.minimum(np.searchsorted(self.tokens, h), len(self.tokens) - 1)
-            hit = self.tokens[at] == h
-            out[hit] = self.scores[at[hit]]
+            for k in range(h.shape[1]):
+                own = np.ascontiguousarray(h[:, k])
+                at = np.minimum(np.searchsorted(self.tokens, own), len(self.tokens) - 1)
+                hit = np.flatnonzero(self.tokens[at] == own)
+                out[hit] = np.maximum(out[hit], self.scores[at[hit]])
         return out
 
     def passages(self, scores: np.ndarray) -> list[tuple[int, int, float]]:
