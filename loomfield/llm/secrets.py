@@ -123,10 +123,11 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
 def postings(docs: DataFrame, key: str, text: str, trigrams: list[str]) -> DataFrame:
     """(trigram, key): the inverted index, for the trigrams given."""
     folded = F.lower(F.coalesce(F.col(text), F.lit("")))
-    held = docs.select(F.col(key).alias("key"), folded.alias("folded")).select(
-        "key", F.filter(F.array(*map(F.lit, trigrams)), lambda t: F.contains(F.col("folded"), t)).alias("held")
-    )
-    return held.select("key", F.explode("held").alias("trigram"))
+
+    def held(whole):  # the folded text, bound once for all trigrams
+        return F.filter(F.array(*map(F.lit, trigrams)), lambda t: F.contains(whole, t))
+
+    return docs.select(F.col(key).alias("key"), F.explode(F.element_at(F.transform(F.array(folded), held), 1)).alias("trigram"))
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
