@@ -830,12 +830,13 @@ _EVAL = "ev AS (SELECT 'item' || CAST(item_id AS VARCHAR) AS eval_id, CAST(item_
 
 
 def _leak_rows(spark, d):
-    return derived.qa(spark, d).select(F.col("id").alias("row_id"), F.substring("question", 1, 200).alias("question"), F.substring("answer", 1, 200).alias("answer"))
+    return derived.qa(spark, d).select(F.col("id").alias("row_id"), "question", "answer")
 
 
 def _evaluation(spark, d):
-    b = table(spark, d, "benchmark").where("item_id < 40")
-    return b.select(F.concat(F.lit("item"), F.col("item_id").cast("string")).alias("eval_id"), F.col("item_id").cast("int").alias("position"), F.substring("text", 1, 200).alias("question"), F.substring("text", 50, 200).alias("answer"))
+    """All benchmark items; questions and answers are both held against an item's whole text."""
+    b = table(spark, d, "benchmark")
+    return b.select(F.concat(F.lit("item"), F.col("item_id").cast("string")).alias("eval_id"), F.col("item_id").cast("int").alias("position"), F.col("text").alias("question"), F.col("text").alias("answer"))
 
 
 _WJ = lambda a, b: f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0::DOUBLE ELSE CAST(len(list_intersect({a}, {b})) AS DOUBLE) / (len({a}) + len({b}) - len(list_intersect({a}, {b}))) END"
@@ -864,9 +865,8 @@ def j6_v1_unrelated_maxima(spark, d):
 
 @query()
 def v1_v2_audit(spark, d):
-    """All four metrics against the first twelve evaluation rows."""
-    ev = _evaluation(spark, d).where("position < 12")
-    return leakage.audit(leakage.all_scores(_leak_rows(spark, d), ev)).withColumn("breaches", F.size("breaches"))
+    """All four metrics against all evaluation rows."""
+    return leakage.audit(leakage.all_scores(_leak_rows(spark, d), _evaluation(spark, d))).withColumn("breaches", F.size("breaches"))
 
 
 @query(with_(QA) + f""" SELECT q.id AS row_id, side FROM (SELECT id, 'question' AS side, {_ALNUM('question')} AS k FROM qa UNION ALL SELECT id, 'answer', {_ALNUM('answer')} FROM qa) q
