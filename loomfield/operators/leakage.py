@@ -15,9 +15,9 @@ METRICS = ("question_jaccard", "question_sequence", "answer_jaccard", "answer_se
 PART = 5_000
 
 
-def _parts(evaluation: DataFrame) -> list[DataFrame]:
+def parts(evaluation: DataFrame, key: str = "eval_id") -> list[DataFrame]:
     n = max(1, -(-evaluation.count() // PART))
-    return [evaluation.where(F.pmod(F.xxhash64("eval_id"), F.lit(n)) == i) for i in range(n)]
+    return [evaluation.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
 
 
 def token_scores(rows: DataFrame, evaluation: DataFrame, least: float | None = None) -> DataFrame:
@@ -35,7 +35,7 @@ def token_scores(rows: DataFrame, evaluation: DataFrame, least: float | None = N
         both = scored(pairs.join(x, "row_id").join(y, "eval_id"))
         return both.where(f"question_jaccard >= {least} or answer_jaccard >= {least}")
     out = None
-    for part in _parts(y):
+    for part in parts(y):
         got = scored(x.join(F.broadcast(part)))
         out = got if out is None else out.unionByName(got)
     return out
@@ -45,7 +45,7 @@ def all_scores(rows: DataFrame, evaluation: DataFrame) -> DataFrame:
     """row_id, eval_id, position and the four METRICS; sequence ratios of texts in lower case."""
     ship(rows.sparkSession)
     out = None
-    for part in _parts(evaluation):
+    for part in parts(evaluation):
         pairs = rows.join(F.broadcast(part.select("eval_id", F.col("position"), F.col("question").alias("eq"), F.col("answer").alias("ea"))))
         low = [F.lower(c) for c in ("question", "eq", "answer", "ea")]
         got = pairs.select(

@@ -49,3 +49,12 @@ def test_audit_over_all_items_and_whole_texts(spark, tables):
     got = {r.row_id: r for r in catalog.QUERIES["v1_v2_audit"](spark, tables).collect()}
     assert got[2000].question_sequence_eval_id == "item43" and not got[2000].passed and got[1000].answer_jaccard_eval_id == "item44"
     assert got[1000].answer_sequence == max(SequenceMatcher(None, LEAK, t).ratio() for _, t in ITEMS)
+
+
+@pytest.mark.parametrize("part", [5_000, 10])
+def test_similarity_to_all_items(spark, tables, monkeypatch, part):
+    from loomfield.operators import leakage
+
+    monkeypatch.setattr(leakage, "PART", part)
+    got = {(r.conv_id, r.turn): r.best for r in catalog.QUERIES["n4_jaccard"](spark, tables).collect()}
+    assert got[2, 0] == 1.0 and got == pytest.approx({(c, n): max(jaccard(t, x) for _, x in ITEMS) for c, n, _, t in TURNS})
