@@ -58,3 +58,19 @@ def test_similarity_to_all_items(spark, tables, monkeypatch, part):
     monkeypatch.setattr(leakage, "PART", part)
     got = {(r.conv_id, r.turn): r.best for r in catalog.QUERIES["n4_jaccard"](spark, tables).collect()}
     assert got[2, 0] == 1.0 and got == pytest.approx({(c, n): max(jaccard(t, x) for _, x in ITEMS) for c, n, _, t in TURNS})
+
+
+def test_whole_texts(spark, tables):
+    spark.createDataFrame([(1, prose(103, 200) + " then this thing"), (2, "short"), (3, "")], "doc_id long, text string").write.mode("overwrite").parquet(f"{tables}/documents.parquet")
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{tables}/documents.parquet").collect()}
+    of = lambda name: {r[0]: r[1:] for r in catalog.QUERIES[name](spark, tables).collect()}
+    assert of("n6_code_spans") == {i: (re.findall("`([^`]+)`", t.replace(" th", " `th")),) for i, t in texts.items()} and of("n6_code_spans")[1] != ([],)
+    assert of("n15_ordered_distinct") == {i: (list(dict.fromkeys([*re.findall(r"\w+", t), "the", "end"])),) for i, t in texts.items()}
+    sizes = {i: [len(w) for w in t.split()] for i, t in texts.items()}
+    assert of("k4_labels") == {i: ([n if n > 3 else -100 for n in s], sum(n > 3 for n in s[1:])) for i, s in sizes.items()}
+
+
+def test_sequence_ratios_of_whole_answers(spark, tables):
+    got = {r.id: (r.ratio, r.plain_ratio) for r in catalog.QUERIES["n5_sequence_ratio"](spark, tables).collect()}
+    qa = {1000: (TURNS[0][3], LEAK), 2000: (ITEMS[43][1], TURNS[3][3])}
+    assert got == {i: tuple(SequenceMatcher(None, *p, autojunk=junk).ratio() for junk in (True, False)) for i, p in qa.items()}
