@@ -6,6 +6,7 @@ import hashlib
 import random
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from loomfield.plans.shared import ship
 
 #: Fixed values of the paired bootstrap.
 SEED, RESAMPLES = 20260815, 20_000
+#: Words of the generator drawn at once.
+DRAWS = 1 << 20
 
 
 def answer_metrics(answers: DataFrame, qa: DataFrame, normal: Callable[[Column], Column] = text.alnum) -> DataFrame:
@@ -104,14 +107,35 @@ def paired(d: DataFrame) -> DataFrame:
     )
 
 
+def resampled_means(x: list[float], seed: int, resamples: int) -> np.ndarray:
+    """sum(x[draw(n)] for _ in range(n)) / n again and again, draw being random.Random(seed).randrange and n = len(x).
+
+    numpy's Mersenne Twister takes over the state of Python's, so both give the same words. randrange(n) is the high
+    bits of the next word that are below n.
+    """
+    n, state = len(x), random.Random(seed).getstate()[1]
+    words = np.random.MT19937()
+    words.state = {"bit_generator": "MT19937", "state": {"key": np.array(state[:-1], np.uint32), "pos": state[-1]}}
+    words, shift = np.random.Generator(words), np.uint32(32 - n.bit_length())
+    values = np.array(x, float)
+    whole = bool((values == np.rint(values)).all() and np.abs(values).sum() < 2.0**53 / n)  # sums are exact in any order
+    out, rest = [], np.empty(0, float)
+    while len(out) < resamples:
+        at = words.integers(0, 1 << 32, DRAWS, dtype=np.uint32) >> shift
+        rest = np.concatenate([rest, values[at[at < n]]])
+        full = len(rest) // n
+        drawn, rest = rest[: full * n].reshape(full, n), rest[full * n :]
+        out += (drawn.sum(axis=1) / n).tolist() if whole else [sum(r.tolist()) / n for r in drawn]
+    return np.array(out[:resamples])
+
+
 def bootstrap(d: DataFrame, seed: int = SEED, resamples: int = RESAMPLES) -> DataFrame:
     """A 95 % interval of the mean delta by resampling ids in their order, and whether it leaves out 0."""
     ship(d.sparkSession)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         x = rows.sort_values("id", kind="stable")["delta"].tolist()
-        n, draw = len(x), random.Random(seed).randrange
-        means = sorted(sum(x[draw(n)] for _ in range(n)) / n for _ in range(resamples))
+        means = np.sort(resampled_means(x, seed, resamples)).tolist()
         low, high = means[int(0.025 * resamples)], means[int(0.975 * resamples)]
         first = rows.iloc[0]
         return pd.DataFrame([[first["split"], first["comparison"], first["judge"], low, high, low > 0 or high < 0]], columns=["split", "comparison", "judge", "ci95_low", "ci95_high", "significant"])

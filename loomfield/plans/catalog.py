@@ -534,8 +534,7 @@ def p5_p6_paired_effects(spark, d):
 
 @query()
 def p5_bootstrap_intervals(spark, d):
-    """Fewer resamples than the published analysis, to bound one group's loop; the number is a parameter."""
-    return evaluation.bootstrap(_deltas(spark, d), resamples=1_000)
+    return evaluation.bootstrap(_deltas(spark, d))
 
 
 @query(with_(SCORES, _SPLITS, _DELTAS) + """, c AS (SELECT split, comparison, judge, avg(delta) > 0.1 AS significant FROM dl GROUP BY ALL), a AS (SELECT count(DISTINCT significant) = 1 AS agree FROM c GROUP BY split, comparison)

@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
+from loomfield.operators import evaluation
 from loomfield.plans import catalog
 
 
@@ -74,3 +75,23 @@ def test_sequence_ratios_of_whole_answers(spark, tables):
     got = {r.id: (r.ratio, r.plain_ratio) for r in catalog.QUERIES["n5_sequence_ratio"](spark, tables).collect()}
     qa = {1000: (TURNS[0][3], LEAK), 2000: (ITEMS[43][1], TURNS[3][3])}
     assert got == {i: tuple(SequenceMatcher(None, *p, autojunk=junk).ratio() for junk in (True, False)) for i, p in qa.items()}
+
+
+@pytest.mark.parametrize("x", [[3.0], [1.0, -2.0], [float(i % 7 - 3) for i in range(64)], [0.1 * i for i in range(37)], [float(i % 5) for i in range(1000)]])
+def test_resamples_are_those_of_pythons_generator(monkeypatch, x):
+    monkeypatch.setattr(evaluation, "DRAWS", 1 << 10)
+    n, draw = len(x), random.Random(7).randrange
+    assert evaluation.resampled_means(x, 7, 300).tolist() == [sum(x[draw(n)] for _ in range(n)) / n for _ in range(300)]
+
+
+def test_bootstrap_has_all_resamples(spark):
+    d = "/root/testdata/sf0.001"
+    got = {(r.split, r.comparison, r.judge): (r.ci95_low, r.ci95_high, r.significant) for r in catalog.QUERIES["p5_bootstrap_intervals"](spark, d).collect()}
+    groups = {}
+    for r in catalog._deltas(spark, d).orderBy("id").collect():
+        groups.setdefault((r.split, r.comparison, r.judge), []).append(r.delta)
+    assert got.keys() == groups.keys()
+    for k in sorted(groups, key=lambda k: len(groups[k]))[:2]:
+        x, n, draw = groups[k], len(groups[k]), random.Random(20260815).randrange
+        means = sorted(sum(x[draw(n)] for _ in range(n)) / n for _ in range(20_000))
+        assert got[k] == (means[500], means[19_500], means[500] > 0 or means[19_500] < 0)
