@@ -17,8 +17,8 @@ full sets too. Pairs within one component decide nothing.
 
 Cases: null and empty texts, and texts of white space, have the empty set and are linked with nothing. A text
 of one to four words has one shingle. Rows with the same document id count as linked with each other if they
-have words. Classes without a document id carry a negative hash as their id. Repeated rows are kept or go
-together. An empty table gives no rows. Other columns aren't read. A single text is held in memory at about
+have words, but not in keep_one(), where each of their texts stands or goes by itself. A class is named by a digest
+of its set, and a component by its least document id, or null if it has none. Repeated rows are kept or go together. An empty table gives no rows. Other columns aren't read. A single text is held in memory at about
 100 bytes a character.
 """
 
@@ -28,7 +28,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomfield.llm import words
@@ -93,10 +93,10 @@ def _sketched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = len(ptr) - 1
             low = words.mix(s).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, n), pa.array(np.diff(ptr)), pa.array(d1), pa.array(d2),
+                [batch.column(0).slice(i, n), *(c.slice(i, n) for c in batch.columns[2:]), pa.array(np.diff(ptr)), pa.array(d1), pa.array(d2),
                  pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(bands(s).view(np.int64).reshape(-1))),
                  pa.array([r.tobytes() for r in low], pa.binary())],
-                names=["doc_id", "n", "d1", "d2", "bands", "low"],
+                names=["doc_id", *batch.schema.names[2:], "n", "d1", "d2", "bands", "low"],
             )
 
 
@@ -206,8 +206,8 @@ def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _texts(needed: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(texts that hold those of the classes needed, needed as the side of a join by digests)."""
     small = broadcast_if_small(needed, MOST_IDS)
-    texts = docs.join(small.select("cid"), docs["doc_id"] == F.col("cid"), "left_semi")
-    if needed.where("cid < 0").limit(1).count():
+    texts = docs.join(small.select("least_id"), docs["doc_id"] == F.col("least_id"), "left_semi")
+    if needed.where("least_id is null").limit(1).count():
         texts = texts.unionByName(docs.where("doc_id is null"))
     return texts.select("text"), small
 
@@ -215,7 +215,7 @@ def _texts(needed: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _rest(apart: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b): pairs within the bitmaps' bound among apart(bucket, cid, component)."""
     ids = apart.select("cid").distinct()
-    texts, needed = _texts(materialize(classes.join(ids, "cid").select("cid", "d1", "d2"), "near-needed"), docs)
+    texts, needed = _texts(materialize(classes.join(ids, "cid").select("cid", "d1", "d2", "least_id"), "near-needed"), docs)
     maps = texts.mapInArrow(_bitmaps, "d1 long, d2 long, n long, bits binary").join(needed, ["d1", "d2"]).dropDuplicates(["cid"]).select("cid", "n", "bits")
     maps = materialize(maps, "near-bitmaps")
     sizes = apart.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
@@ -233,7 +233,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     x = pairs.join(low.select(F.col("cid").alias("a"), F.col("low").alias("x")), "a").join(low.select(F.col("cid").alias("b"), F.col("low").alias("y")), "b")
     likely = materialize(x.select("a", "b", "x", "y").mapInArrow(_alike, "a long, b long"), "near-likely")
     ids = likely.select(F.col("a").alias("cid")).union(likely.select("b")).distinct()
-    needed = materialize(classes.join(ids, "cid").select("cid", "d1", "d2"), "near-needed")
+    needed = materialize(classes.join(ids, "cid").select("cid", "d1", "d2", "least_id"), "near-needed")
     texts, small = _texts(needed, docs)
     sets = texts.mapInArrow(_sets, "d1 long, d2 long, set array<long>")
     sets = materialize(sets.join(small, ["d1", "d2"]).dropDuplicates(["cid"]).select("cid", "set"), "near-sets")
@@ -244,19 +244,29 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
 
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text)."""
+    return _judged(docs, True)
+
+
+def _judged(docs: DataFrame, by_id: bool, **carried: Column) -> DataFrame:
+    """components() with more columns of type long, named by carried, after the id. by_id: whether rows with the same id count as linked."""
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = materialize(docs.mapInArrow(_sketched, "doc_id long, n long, d1 long, d2 long, bands array<long>, low binary"), "near-rows")
+    given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *(c.alias(k) for k, c in carried.items()))
+    docs = given.select("doc_id", "text")
+    own = "".join(f"{k} long, " for k in carried)
+    rows = materialize(given.mapInArrow(_sketched, f"doc_id long, {own}n long, d1 long, d2 long, bands array<long>, low binary"), "near-rows")
     worded = rows.where("n > 0")
-    named = F.coalesce(F.min("doc_id"), F.first("d1").bitwiseOR(F.lit(-(1 << 63))))
-    classes = materialize(worded.groupBy("d1", "d2").agg(named.alias("cid"), F.first("bands").alias("bands"), F.first("low").alias("low")), "near-classes")
+    classes = materialize(worded.groupBy("d1", "d2").agg(F.first("d1").alias("cid"), F.min("doc_id").alias("least_id"), F.first("bands").alias("bands"), F.first("low").alias("low")), "near-classes")
 
     members = classes.select("cid", F.explode("bands").alias("bucket"))
     stars = members.groupBy("bucket").agg(F.min("cid").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
     shared = materialize(members.join(stars, "bucket"), "near-buckets")
     pairs = shared.where("least < cid").select(F.col("least").alias("a"), F.col("cid").alias("b")).distinct()
-    links = materialize(_verified(pairs, classes, docs), "near-links")
+    links = _verified(pairs, classes, docs)
+    if by_id:
+        first = worded.groupBy("doc_id").agg(F.min("d1").alias("a"), F.max("d1").alias("z")).where("doc_id is not null and a < z").drop("z")
+        links = links.union(worded.select("doc_id", F.col("d1").alias("b")).join(first, "doc_id").where("a < b").select("a", "b"))
+    links = materialize(links, "near-links")
     of = connected(links)
 
     labelled = shared.join(of.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
@@ -267,18 +277,30 @@ def components(docs: DataFrame) -> DataFrame:
     if not more.isEmpty():
         of = connected(links.union(more))
 
-    named = classes.select("d1", "d2", "cid").join(of.select(F.col("node").alias("cid"), "component"), "cid", "left")
-    named = named.select("d1", "d2", F.coalesce("component", "cid").alias("component"))
-    out = rows.select("doc_id", "n", "d1", "d2").join(named, ["d1", "d2"], "left")
-    component = F.when((F.col("n") == 0) | (F.col("component") < 0) & F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    of = of.select(F.col("node").alias("cid"), "component")
+    ids = materialize(classes.select("cid", "least_id").join(of, "cid").groupBy("component").agg(F.min("least_id").alias("id")), "near-ids")
+    of = of.join(broadcast_if_small(ids, MOST_IDS), "component").select("cid", F.lit(True).alias("linked"), "id")
+    named = classes.select("d1", "d2", "cid", "least_id").join(of, "cid", "left")
+    named = named.select("d1", "d2", F.when(F.col("linked"), F.col("id")).otherwise(F.col("least_id")).alias("component"))
+    out = rows.select("doc_id", *carried, "n", "d1", "d2").join(named, ["d1", "d2"], "left")
+    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
+    out = out.select("doc_id", *carried, F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without the documents whose component another one stands for."""
-    gone = materialize(components(docs).where("not kept").select(F.col("doc_id").alias("__gone")), "near-gone")
-    return docs.join(broadcast_if_small(gone, MOST_IDS), docs["doc_id"].eqNullSafe(F.col("__gone")), "left_anti")
+    """docs without the rows whose component another document stands for.
+
+    What is decided for a row depends on its id and text alone, so these, the text as 128 bits, tell which rows go,
+    also where rows share an id or have none.
+    """
+    text = docs["text"].cast("string")
+    same = {"__t1": F.xxhash64(text), "__t2": F.xxhash64(F.lit("near"), text)}
+    gone = materialize(_judged(docs, False, **same).where("not kept").select(F.col("doc_id").alias("__gone"), *same).distinct(), "near-gone")
+    on = docs["doc_id"].cast("long").eqNullSafe(F.col("__gone"))
+    for k, c in same.items():
+        on &= c == F.col(k)
+    return docs.join(broadcast_if_small(gone, MOST_IDS), on, "left_anti")
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
