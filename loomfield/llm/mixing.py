@@ -6,7 +6,7 @@ whole as many times as its budget allows, and then up to the exact word where th
 
 Cases: a null text has size 0; rows of size 0 are taken 0 words. A null source is a source of its own and comes
 last. A null document id counts as the empty string for the key. Rows with equal keys are ordered by id and
-size; repeated rows are rows of their own. An empty table gives no rows. Columns besides doc_id, source and text
+size, and in take() by a hash of the text after those; repeated rows are rows of their own. An empty table gives no rows. Columns besides doc_id, source and text
 aren't read by mix(); take() keeps them all.
 """
 
@@ -54,31 +54,36 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken for each row of docs(doc_id, source, text)."""
+    return _shares(docs)
+
+
+def _shares(docs: DataFrame, more: dict[str, Column] | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
+    """mix() with more columns, named by more, some of which order rows that are alike otherwise."""
+    more = more or {}
     src = F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"), F.coalesce("source", F.lit("")))
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    sized = materialize(docs.select("doc_id", src.alias("src"), size.alias("size"), mix_key(F.col("doc_id")).alias("key")), "mix-sizes")
+    sized = materialize(docs.select("doc_id", src.alias("src"), size.alias("size"), mix_key(F.col("doc_id")).alias("key"), *(c.alias(k) for k, c in more.items())), "mix-sizes")
     goal = materialize(targets(sized), "mix-targets")
     bits = bits_for(goal.agg(F.max("n")).first()[0] or 0)
-    placed = prefix_in_groups(sized.withColumn("bucket", high_bits(F.col("key"), bits)), "src", "bucket", ["key", "doc_id", "size"], "size", "before")
+    placed = prefix_in_groups(sized.withColumn("bucket", high_bits(F.col("key"), bits)), "src", "bucket", ["key", "doc_id", "size", *ties], "size", "before")
     mixed = placed.join(broadcast_if_small(goal, MOST_SOURCES), "src")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     mixed = mixed.withColumn("whole", whole)
     budget = F.floor(F.col("target")).cast("long") - F.col("whole") * F.col("source_size")
     taken = F.col("whole") * F.col("size") + F.least(F.col("size"), F.greatest(F.lit(0), budget - F.col("before")))
-    return mixed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return mixed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *more)
 
 
 def take(docs: DataFrame) -> DataFrame:
     """docs as the mix takes them: each row as often as it is taken whole, and once more cut after its last word taken.
 
-    doc_id must tell rows apart; rows that share one are each taken as the first of them is.
+    Rows go through the mix as a whole, so each takes its own share, also where rows share an id or have none.
     """
-    taken = mix(docs).select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("taken").alias("__taken")).dropDuplicates(["__id"])
-    parts = taken.withColumn("__whole", F.when(F.col("__size") > 0, F.floor(F.col("__taken") / F.col("__size"))).otherwise(F.lit(1)).cast("int"))
-    parts = parts.withColumn("__rest", F.when(F.col("__size") > 0, F.col("__taken") % F.col("__size")).otherwise(F.lit(0)).cast("int"))
-    times = F.concat(F.array_repeat(F.lit(-1), F.col("__whole")), F.when(F.col("__rest") > 0, F.array("__rest")).otherwise(F.array().cast("array<int>")))
-    joined = docs.join(parts.select("__id", times.alias("__times")), docs["doc_id"].eqNullSafe(F.col("__id")))
-    rows = joined.select("*", F.explode("__times").alias("__words"))
+    shares = _shares(docs, {"row": F.struct(*(docs[c] for c in docs.columns)), "tie": F.xxhash64("text")}, ("tie",))
+    whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(1)).cast("int")
+    rest = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(F.lit(0)).cast("int")
+    times = F.concat(F.array_repeat(F.lit(-1), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
+    rows = shares.select("row", F.explode(times).alias("__words")).select("row.*", "__words")
     first = F.regexp_extract(F.col("text"), r"^[\x20\x09-\x0D]*", 0)
     words = F.slice(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0)), F.lit(1), F.greatest(F.col("__words"), F.lit(0)))
     cut = F.when(F.col("__words") < 0, F.col("text")).otherwise(F.concat(first, F.array_join(words, "")))
