@@ -5,7 +5,8 @@ values. Within a task documents are reordered into ranges of alike vectors and c
 keeps the greatest and the least value of each component, so the sum over a query's components of the greater
 product bounds every score in the block. Each query takes blocks in descending order of their bounds, scores
 them through the block's forward index (its rows), and stops when a bound is below its k-th score so far. That
-threshold starts at the k-th score among the query block itself, which are rows too, and only rises.
+threshold starts at the k-th score among the query block itself where the caller says that queries are rows too,
+else at minus infinity, and only rises.
 
 Queries are dealt into blocks of about QUERY_BLOCK by a hash; each is sent to the tasks in turn, so what is
 broadcast never grows with the data. Every task returns k rows a query at most, and the best k of those remain.
@@ -54,8 +55,11 @@ class Queries:
     floor: np.ndarray  # a score that k candidates reach, or -inf
 
     @classmethod
-    def of(cls, ids: np.ndarray, vectors: np.ndarray, k: int) -> Queries:
+    def of(cls, ids: np.ndarray, vectors: np.ndarray, k: int, among: bool = True) -> Queries:
+        """among: whether the queries are candidates too, whose scores then set the floor."""
         floor = np.full(len(ids), -np.inf)
+        if not among:
+            return cls(ids, vectors, floor)
         some = slice(0, FLOOR_ROWS)
         for i in range(0, len(ids), 512):  # the query block's rows are candidates of one another
             s = scores(vectors[i : i + 512], vectors[some]).astype(float)
@@ -151,8 +155,11 @@ def _task(sent, k: int) -> Callable:
     return run
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best of rows(id, vector) for each of queries(id, vector), vectors of whole numbers."""
+def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, among: bool = False) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best of rows(id, vector) for each of queries(id, vector), vectors of whole numbers.
+
+    among: whether all queries are among rows, which prunes sooner; results are wrong if it is set and they aren't.
+    """
     spark = rows.sparkSession
     ship(spark)
     rows, queries = (d.where(F.col("id").isNotNull()) for d in (rows, queries))
@@ -161,7 +168,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     for part in range(parts):  # a query set against all rows, in blocks of bounded size
         mine = queries.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).dropDuplicates().toArrow()
         ids = mine.column("id").to_numpy()
-        sent = spark.sparkContext.broadcast(Queries.of(ids, matrix(mine.column("vector"), 0) if len(ids) else np.zeros((0, 1)), k))
+        sent = spark.sparkContext.broadcast(Queries.of(ids, matrix(mine.column("vector"), 0) if len(ids) else np.zeros((0, 1)), k, among))
         got = rows.select("id", "vector").mapInArrow(_task(sent, k), "query_id long, vec_id long, score long")
         found = got if found is None else found.unionByName(got)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -171,7 +178,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where(usable(F.col("embedding")))
     rows = rows.select(F.col("vec_id").cast("long").alias("id"), quantised(F.col("embedding")).alias("vector"))
-    return top_k(rows, rows.where("id % 50 = 0"), 5)
+    return top_k(rows, rows.where("id % 50 = 0"), 5, among=True)
 
 
 OP2_SQL = """
