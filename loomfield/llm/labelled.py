@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from loomfield.plans.shared import broadcast_if_small, materialize
 
 FOLDS = 5
-#: Labels of so many documents at most are broadcast.
-MOST_SENT = 2_000_000
+#: Narrow rows of so many documents at most are broadcast: about 100 bytes each.
+MOST_SENT = 1_000_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -32,6 +32,6 @@ def bounded(ids: DataFrame, most: int, seed: str) -> DataFrame:
     return ids if ids.count() <= most else ids.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(most)
 
 
-def with_texts(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, text, label). Texts move only if there are more labels than can be sent to all tasks."""
-    return docs.select("doc_id", "text").join(broadcast_if_small(ids, MOST_SENT), "doc_id")
+def with_texts(ids: DataFrame, docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, text, more columns of docs, label). Texts move only if there are more labels than can be sent to all tasks."""
+    return docs.select("doc_id", "text", *more).join(broadcast_if_small(ids, MOST_SENT), "doc_id")

@@ -2,6 +2,7 @@
 
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -279,6 +280,118 @@ def test_toxicity(labelled_tables, odd, empty):
     assert all(0 <= s <= 1 for s in again)
     assert toxicity.reject(empty, model).collect() == [] and toxicity.reject(odd, model).columns == odd.columns
     assert toxicity.train(docs, labels.where("toxic = 0")).probability(pa.array(["x", None]))[0] < 0.01
+    assert toxicity.train(empty, labels).probability(pa.array(["x", None])).max() < 0.01
+
+
+def tokens_of(text):
+    """Words of letters of folded case, each with its beginnings, as bytes."""
+    low = re.sub("[A-ZÀ-ÖØ-Þ]", lambda m: chr(ord(m[0]) + 32), text or "").encode()
+    for m in re.finditer(rb"[a-z\x80-\xff]+", low):
+        w = m[0]
+        yield [w, *((w[:n], n) if len(w) > n else w for n in toxicity.PREFIXES)]
+
+
+def test_toxicity_query_against_brute_force(spark):
+    """The query's rows from its own model, and the model's log-odds from plain counts."""
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet").collect()
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    learnt = [(r, labels[r.doc_id]) for r in docs if r.doc_id in labels and zlib.crc32(str(r.doc_id).encode()) % 5]
+    table = spark.createDataFrame([(r.doc_id, i, y, r.text) for i, (r, y) in enumerate(learnt)], "doc_id long, t long, label int, text string")
+    weights = {r.doc_id: r for r in toxicity.weighted(table).collect()}
+    minima = {}
+    for r, _ in learnt:
+        (batch,) = toxicity._grouped([pa.RecordBatch.from_arrays([pa.array([0]), pa.array([0]), pa.array([0]), pa.array([r.text])], names=["doc_id", "t", "label", "text"])])
+        minima[r.doc_id] = batch.column(3).to_pylist()[0]
+    for i, own in minima.items():
+        assert weights[i].weight == toxicity.UNIT // max(sum(m[k] == own[k] for m in minima.values()) for k in range(toxicity.MINIMA))
+    model = toxicity.train(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet"))
+    kinds = Counter((weights[r.doc_id].calibrates, y) for r, y in learnt)
+    apart = min(kinds[c, y] for c in (True, False) for y in (0, 1)) >= toxicity.FEWEST
+    counted = [(r, y) for r, y in learnt if not (apart and weights[r.doc_id].calibrates)]
+    n = [sum(weights[r.doc_id].weight / toxicity.UNIT for r, y in counted if y == k) for k in (0, 1)]
+    seen = defaultdict(lambda: [0.0, 0.0])
+    for r, y in counted:
+        for token in {t for word in tokens_of(r.text) for t in word}:
+            seen[token][y] += weights[r.doc_id].weight / toxicity.UNIT
+    prior, odds = max(toxicity.LEAST_PRIOR, toxicity.SHARE * sum(n)), {}
+    for token, y in seen.items():
+        a, b = y[1] + prior * n[1] / sum(n), y[0] + prior * n[0] / sum(n)
+        o = math.log(a / b) - math.log(n[1] / n[0])
+        o = math.copysign(max(0, abs(o) - toxicity.SHRINK * math.sqrt(1 / a + 1 / b)), o)
+        if abs(o) >= toxicity.LEAST:
+            odds[token] = o
+    assert sorted(np.round(list(odds.values()), 9)) == sorted(np.round(model.odds, 9))
+    got = {r.doc_id: r for r in toxicity.op6_toxicity(spark, d).collect()}
+    assert len(got) == len(docs)
+    for r in docs:
+        s = [max((odds.get(t, 0.0) for t in word), key=abs) - toxicity.OFFSET for word in tokens_of(r.text)]
+        bits = [model.rate * x - math.log(model.scale * len(s)) for _, _, x in toxicity.segments(np.array(s))]
+        want = 1 / (1 + math.exp(-(model.intercept + model.slope * math.log1p(toxicity.joint(np.array(bits))))))
+        assert math.isclose(got[r.doc_id].score, want, rel_tol=1e-6, abs_tol=1e-12) and got[r.doc_id].predicted == (got[r.doc_id].score >= 0.5)
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+@pytest.mark.parametrize("times", [8, 32])
+def test_toxicity_with_more_of_the_same(spark, times, monkeypatch):
+    """Counts that are so many times larger, copies counted each, keep what the model finds in held-out texts."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    one = toxicity.shrunken
+    monkeypatch.setattr(toxicity, "shrunken", lambda y1, y0, n1, n0: one(y1 * times, y0 * times, n1 * times, n0 * times))
+    model = toxicity.train(docs, labels)
+    rows = docs.where(labelled.held_out(docs.doc_id)).join(labels, "doc_id").select("toxic", toxicity.score(model).alias("s")).collect()
+    assert np.mean([r.s >= 0.5 for r in rows if r.toxic == 1]) >= 0.75 and np.mean([r.s < 0.5 for r in rows if r.toxic == 0]) >= 0.98
+
+
+def test_copies_count_once(spark):
+    """A toxic text copied a thousand times, exactly and with edits, leaves the words of clean texts alone."""
+    rng = np.random.default_rng(8)
+    rows, labels = [], []
+    base = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}word" for i in range(60)]
+    for i in range(600):
+        text = [str(w) for w in rng.choice(base, 40)]
+        if toxic := i % 6 == 0:
+            text[int(rng.integers(40))] = "vileword"
+            text[int(rng.integers(40))] = "vileword"
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(toxic)))
+    copied = rows[6][1].split()
+    for i in range(1000, 2000):
+        w = list(copied)
+        if i % 2:
+            w[int(rng.integers(40))] = f"e{i}"
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    p = model.probability(pa.array([t for _, t in rows[:600]]))
+    toxic = np.array([y for _, y in labels[:600]]) == 1
+    assert (p[toxic] >= 0.5).mean() >= 0.95 and (p[~toxic] < 0.5).mean() >= 0.95
+
+
+def test_law_and_sum_statistic():
+    rng = np.random.default_rng(9)
+    n = rng.integers(50, 5000, 20_000).astype(float)
+    greatest = np.log(0.02 * n) / 1.7 + rng.gumbel(size=len(n)) / 1.7
+    rate, scale = toxicity.law(np.maximum(greatest, 0), n, np.ones(len(n)))
+    assert abs(rate - 1.7) < 0.05 and abs(scale / 0.02 - 1) < 0.1
+    assert toxicity.law(np.zeros(3), np.full(3, 10.0), np.ones(3)) == (1.0, 1 / 30)
+    assert toxicity.joint(np.array([])) == 0 and toxicity.joint(np.array([4.0, -1])) == 4
+    assert math.isclose(toxicity.joint(np.array([5.0, 4.0])), 9 - math.log(9) + math.log(2))
+
+
+def test_passages(spark, odd):
+    model = toxicity.Model(np.sort(toxicity.token_hashes(*_flat(["vile"]))[0][:, 0]), np.array([9.0]), 1.0, 0.01)
+    df = spark.createDataFrame([(1, "Éé clean VILE vile, then clean"), (2, None), (3, "clean")], "doc_id long, text string")
+    got = {r.doc_id: [(p.start, p.end) for p in r.toxic_passages] for r in toxicity.passages(df, model).collect()}
+    assert got == {1: [(9, 18)], 2: [], 3: []}
+    assert toxicity.passages(odd, model, into="score").columns == odd.columns
+
+
+def _flat(texts):
+    ((_, buf, at),) = words.chunks(pa.array(texts))
+    return buf, at
 
 
 def test_quality(spark, labelled_tables, odd, empty):
