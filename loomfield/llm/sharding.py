@@ -1,21 +1,23 @@
 """Sharding by a hierarchical weighted hash tree.
 
-Regions hold racks and racks hold shards, each shard with a weight. A document draws an arrival time for every
-shard: -ln(u) / weight, u a hash of its id and the shard. The draw of a rack or a region is the earliest
-arrival below it, which is distributed as one draw with the sum of the weights. A document descends to the
-region, then the rack, then the shard with the earliest draw. Changing a shard's weight changes only the draws
-on its own path, so documents move only into or out of the subtrees whose weights change, and a new shard
-only takes documents into itself. (Independent draws per level would also carry documents that enter a region
-to its old racks.) The law is therefore `key`: the id and the number of shards decide.
+Regions hold racks and racks hold shards, each shard with a weight; a rack's or a region's weight is the sum of
+those below it. At every level a document draws -ln(u) / weight for each child of the node it has come to, u a hash
+of its id and the child, and descends to the child with the least draw: region, rack, then shard. Draws of different
+levels are independent, so a document costs one hash for each region, each rack of its region and each shard of its
+rack. A weight that changes changes only the draws of its own path, so documents move only into, out of or within
+the region and the rack that it is in.
+
+A tree is built once, with BASE shards; each shard that is added later is a region of its own, so growth takes
+documents into the new shard alone, and the law is `key`: the id and the number of shards decide.
 
 Cases: a null id is a key like others; rows with the same id go to the same shard. A null text has 0 bytes and
-the checksum 0. Repeated rows each have a slot. An empty table gives no rows. Other columns aren't read.
+the checksum 0. Repeated rows each have a slot. Shards without weight get nothing. An empty table gives no rows.
+Other columns aren't read.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +26,8 @@ from loomfield.plans.prefix import bits_for, high_bits, prefix_in_groups
 from loomfield.plans.shared import materialize
 
 SHARDS = 40
-#: Shards of a rack and racks of a region, where the number of shards alone is given.
-RACK, REGION = 2, 5
+#: Shards that the tree is built with, shards of a rack, and racks of a region.
+BASE, RACK, REGION = 40, 2, 5
 
 
 @dataclass(frozen=True)
@@ -36,55 +38,51 @@ class Shard:
     weight: float = 1.0
 
 
-def tree_of(n: int) -> list[Shard]:
-    """n equal shards: racks are filled one after another, and so are regions."""
-    return [Shard(f"r{i // (RACK * REGION)}", f"k{i // RACK}", i) for i in range(n)]
+def tree_of(n: int, base: int = BASE) -> list[Shard]:
+    """n equal shards: up to base by racks and regions, which are filled one after another, each later one in a region of its own."""
+    return [Shard(f"r{i // (RACK * REGION)}", f"k{i // RACK}", i) if i < base else Shard(f"r+{i}", f"k+{i}", i) for i in range(n)]
 
 
-def _runs(names: list) -> list[tuple[int, int]]:
-    """(first, length) of runs of equal names."""
-    first = [i for i, x in enumerate(names) if not i or x != names[i - 1]]
-    return [(a, b - a) for a, b in zip(first, [*first[1:], len(names)])]
+_CHILDREN = "array<struct<path:string,weight:double,at:int>>"
 
 
-def _earliest(draws: Column) -> Column:
-    return F.array_position(draws, F.array_min(draws)).cast("int")
+def _children(nodes: list[tuple[str, float, int]]) -> Column:
+    return F.array(*(F.struct(F.lit(p).alias("path"), F.lit(float(w)).alias("weight"), F.lit(i).alias("at")) for p, w, i in nodes)).cast(_CHILDREN)
 
 
-def place(key: Column, shards: list[Shard], salt: str = "shard") -> Column:
-    """The name of the shard that key descends to. Shards of a rack, and racks of a region, must stand together."""
-    shards = [s for s in shards if s.weight > 0]
-    u = [(F.shiftrightunsigned(F.xxhash64(key, F.lit(f"{salt}/{s.name}")), 11).cast("double") + 0.5) / float(1 << 53) for s in shards]
-    leaves = F.array(*(-F.ln(x) / F.lit(float(s.weight)) for x, s in zip(u, shards)))
-    racks = _runs([(s.region, s.rack) for s in shards])
-    regions = _runs([shards[a].region for a, _ in racks])
-    starts = lambda runs: F.array(*(F.lit(a + 1) for a, _ in runs))
-    sizes = lambda runs: F.array(*(F.lit(n) for _, n in runs))
+def _draw(key: Column, children: Column, salt: str) -> Column:
+    """at of the child with the least draw."""
 
-    def descend(d):  # d: the draws of all shards
-        of_racks = F.array(*(F.array_min(F.slice(d, a + 1, n)) for a, n in racks))
+    def one(child):
+        u = (F.shiftrightunsigned(F.xxhash64(key, F.concat(F.lit(f"{salt}/"), child["path"])), 11).cast("double") + 0.5) / float(1 << 53)
+        return F.struct((-F.ln(u) / child["weight"]).alias("t"), child["at"].alias("at"))
 
-        def in_racks(k):  # k: the draws of all racks
-            of_regions = F.array(*(F.array_min(F.slice(k, a + 1, n)) for a, n in regions))
-            region = _earliest(of_regions)
-            first = F.element_at(starts(regions), region)
-            rack = first + _earliest(F.slice(k, first, F.element_at(sizes(regions), region))) - 1
-            first = F.element_at(starts(racks), rack)
-            shard = first + _earliest(F.slice(d, first, F.element_at(sizes(racks), rack))) - 1
-            return F.element_at(F.array(*(F.lit(s.name) for s in shards)), shard)
+    return F.array_min(F.transform(children, one))["at"]
 
-        return F.element_at(F.transform(F.array(of_racks), in_racks), 1)
 
-    return F.element_at(F.transform(F.array(leaves), descend), 1)
+def place(key: Column, shards: list[Shard], salt: str = "shard") -> Column:
+    """The name of the shard that key descends to."""
+    tree: dict[str, dict[str, list[Shard]]] = {}
+    for s in shards:
+        if s.weight > 0:
+            tree.setdefault(s.region, {}).setdefault(s.rack, []).append(s)
+    regions = list(tree)
+    racks = [(r, k) for r in regions for k in tree[r]]
+    of = lambda r: [(f"{r}/{k}", sum(s.weight for s in tree[r][k]), racks.index((r, k)) + 1) for k in tree[r]]
+    top = _children([(r, sum(w for _, w, _ in of(r)), i + 1) for i, r in enumerate(regions)])
+    below = F.array(*(_children(of(r)) for r in regions))
+    leaves = F.array(*(_children([(f"{r}/{k}/{s.name}", s.weight, s.name) for s in tree[r][k]]) for r, k in racks))
+    rack = _draw(key, F.element_at(below, _draw(key, top, salt)), salt)
+    return _draw(key, F.element_at(leaves, rack), salt)
 
 
 def shard(docs: DataFrame, n: int = SHARDS) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard of docs(doc_id, text), over n shards."""
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard of docs(doc_id, text), over n shards; a tree of fewer than BASE is built with n."""
     text = F.coalesce("text", F.lit(""))
     narrow = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     narrow = narrow.withColumns({
-        "shard": place(F.col("doc_id"), tree_of(n)),
-        "grown_shard": place(F.col("doc_id"), tree_of(n + 1)),
+        "shard": place(F.col("doc_id"), tree_of(n, min(n, BASE))),
+        "grown_shard": place(F.col("doc_id"), tree_of(n + 1, min(n, BASE))),
         "order": F.shiftrightunsigned(F.xxhash64("doc_id", "text_crc32", "size"), 4),
         "one": F.lit(1).cast("long"),
     })

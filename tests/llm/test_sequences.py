@@ -154,6 +154,11 @@ def test_one_document_is_followed_by_itself(spark):
     assert r.near_next == 1.0 and r.edited_sha256 == hashlib.sha256(b"abcdab").hexdigest()
 
 
+def test_few_shards(docs):
+    rows = sharding.shard(docs, 3).collect()
+    assert all(r.grown_shard in (r.shard, 3) for r in rows) and {r.shard for r in rows} == {0, 1, 2} and 3 in {r.grown_shard for r in rows}
+
+
 @pytest.mark.parametrize("name", ["docs", "odd"])
 def test_shards(request, name):
     df = request.getfixturevalue(name)
@@ -167,7 +172,36 @@ def test_shards(request, name):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
-@pytest.mark.parametrize("n", [1, 2, 9, 10, 41])
+def placed_by_hand(spark, ids, shards, salt="shard"):
+    """Region, rack and shard by weighted draws, one level after another; the hashes are Spark's."""
+    from pyspark.sql import functions as F
+
+    paths = sorted({p for s in shards for p in (s.region, f"{s.region}/{s.rack}", f"{s.region}/{s.rack}/{s.name}")})
+    rows = ids.select("id", *(F.xxhash64("id", F.lit(f"{salt}/{p}")).alias(p.replace(".", "_")) for p in paths)).collect()
+    weight = defaultdict(float)
+    for s in shards:
+        for p in (s.region, f"{s.region}/{s.rack}", f"{s.region}/{s.rack}/{s.name}"):
+            weight[p] += s.weight
+    out = {}
+    for r in rows:
+        at = ""
+        for depth in range(3):
+            below = [p for p in paths if p.count("/") == depth and (not depth or p.startswith(at + "/"))]
+            at = min(below, key=lambda p: -np.log((((r[p] & (2**64 - 1)) >> 11) + 0.5) / 2.0**53) / weight[p])
+        out[r.id] = int(at.rsplit("/", 1)[1])
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 7, 40, 43])
+def test_descent_against_draws_by_level(spark, n):
+    from pyspark.sql import functions as F
+
+    ids = spark.range(300)
+    got = {r.id: r.s for r in ids.select("id", sharding.place(F.col("id"), sharding.tree_of(n)).alias("s")).collect()}
+    assert got == placed_by_hand(spark, ids, sharding.tree_of(n))
+
+
+@pytest.mark.parametrize("n", [40, 41, 47])
 def test_growth_moves_rows_only_into_the_new_shard(spark, n):
     from pyspark.sql import functions as F
 
@@ -175,13 +209,15 @@ def test_growth_moves_rows_only_into_the_new_shard(spark, n):
     assert all(r.b in (r.a, n) for r in rows)
     moved = sum(r.b == n for r in rows)
     assert abs(moved - 4000 / (n + 1)) < 6 * (4000 / (n + 1)) ** 0.5
+    assert min(Counter(r.a for r in rows).values()) > 4000 / n / 2 and len({r.a for r in rows}) == n
 
 
 def test_weights_move_only_the_subtree_that_changes(spark):
     from pyspark.sql import functions as F
 
-    old = [sharding.Shard("a", "a1", 0), sharding.Shard("a", "a2", 1), sharding.Shard("b", "b1", 2), sharding.Shard("b", "b1", 3)]
-    new = [sharding.Shard("a", "a1", 0), sharding.Shard("a", "a2", 1, 3.0), sharding.Shard("b", "b1", 2), sharding.Shard("b", "b1", 3)]
+    old = [sharding.Shard("a", "a1", 0), sharding.Shard("a", "a2", 1), sharding.Shard("b", "b1", 2), sharding.Shard("b", "b1", 3), sharding.Shard("c", "c1", 4)]
+    new = [s if s.name != 1 else sharding.Shard("a", "a2", 1, 3.0) for s in old] + [sharding.Shard("d", "d1", 9, 0.0)]
     rows = spark.range(6000).select(sharding.place(F.col("id"), old).alias("a"), sharding.place(F.col("id"), new).alias("b")).collect()
-    assert all(r.b in (r.a, 1) for r in rows)
-    assert abs(sum(r.b == 1 for r in rows) / 6000 - 0.5) < 0.04
+    assert all(r.b == r.a or r.b in (0, 1) for r in rows)  # into region a; within it only towards the rack that grew
+    assert all(r.b in (0, 1) for r in rows if r.a in (0, 1)) and all(r.b == 1 for r in rows if r.a == 1)
+    assert abs(sum(r.b == 1 for r in rows) / 6000 - 3 / 7) < 0.04 and abs(sum(r.b == 0 for r in rows) / 6000 - 1 / 7) < 0.04
