@@ -1,10 +1,11 @@
 """Best-fit packing of token sequences by hierarchical residual packing.
 
 Every partition packs its own pieces best-fit decreasing. Bins that are nearly full are final; the others go
-up a tree as items of their own: each node takes the underfull bins of FAN children and packs them best-fit
-again, until one node is left. Only underfull bins move, each with the list of its pieces, and a node hands on
-at most CARRY of them (the emptiest, which are the ones that others still fit into), so no task grows with
-the corpus. Bins that are not handed on are final as they are: no piece is ever dropped.
+up a tree as items of their own, each with the list of its pieces: a level deals all underfull bins by a hash to
+nodes, one for FAN nodes below, and each packs its share best-fit again. A node takes about NODE bins: where more
+are left than one node takes, as many nodes go on side by side, so no task grows with the corpus and no bin is set
+aside before its turn. The last level has one node, or as many as the level below where bins no longer get fewer: each
+of those holds NODE bins dealt at random, none of which fits another.
 
 Cases: a null text is the empty text, which is one piece: the end id alone. Repeated rows and equal or null
 document ids are packed row by row. A text longer than the capacity is cut into pieces, whatever its length.
@@ -22,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomfield.llm import tokens
-from loomfield.plans.shared import discard, materialize_at, ship
+from loomfield.plans.shared import materialize, ship
 
 END = 1
 #: A bin with this part of its tokens free at most is final.
 NEARLY = 1 / 256
-FAN, CARRY = 8, 20_000
+FAN, NODE = 8, 50_000
 PIECE = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"), ("crc", "<u4")])
 
 
@@ -56,22 +57,15 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
 
 
 def _bins(node: int, level: int, used: np.ndarray, blobs: list[bytes], capacity: int, last: bool) -> pa.RecordBatch:
-    """One row per bin: final bins have an id, the others belong to the node above."""
+    """One row per bin: final bins, or ones for the level above."""
     packed = best_fit(used, capacity)
     full = np.array([int(used[b].sum()) for b in packed], np.int64)
-    done = full >= capacity * (1 - NEARLY)
-    if last:
-        done[:] = True
-    elif (open_ := np.flatnonzero(~done)).size > CARRY:
-        done[open_[np.argsort(full[open_], kind="stable")[CARRY:]]] = True
+    done = full >= (0 if last else capacity * (1 - NEARLY))
     ids = (level << 56) + (node << 24) + np.arange(len(packed), dtype=np.int64)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(packed), node // FAN, np.int64)), pa.array(ids), pa.array(done), pa.array(full), pa.array([b"".join(blobs[i] for i in b) for b in packed], pa.binary())],
-        names=["node", "bin", "done", "used", "pieces"],
-    )
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(done), pa.array(full), pa.array([b"".join(blobs[i] for i in b) for b in packed], pa.binary())], names=["bin", "done", "used", "pieces"])
 
 
-_BINS = "node long, bin long, done boolean, used long, pieces binary"
+_BINS = "bin long, done boolean, used long, pieces binary"
 
 
 def _local(path: str, capacity: int):
@@ -97,9 +91,16 @@ def _local(path: str, capacity: int):
 
 
 def _merge(level: int, capacity: int, last: bool):
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("bin")
-        return pa.Table.from_batches([_bins(table.column("node")[0].as_py(), level, table.column("used").to_numpy(), table.column("pieces").to_pylist(), capacity, last)])
+    """Packs the bins of each node, which is a partition, in the order of their ids."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [b for b in batches if b.num_rows]
+        if found:
+            rows = pa.Table.from_batches(found).sort_by([("node", "ascending"), ("bin", "ascending")])
+            nodes = rows.column("node").to_numpy()
+            for node in np.unique(nodes).tolist():
+                own = rows.slice(int(np.searchsorted(nodes, node)), int((nodes == node).sum()))
+                yield _bins(node, level, own.column("used").to_numpy(), own.column("pieces").to_pylist(), capacity, last)
 
     return run
 
@@ -126,20 +127,20 @@ def pack(docs: DataFrame, capacity: int = 4096, vocabulary: str | None = None) -
     spark = docs.sparkSession
     ship(spark)
     path = vocabulary or tokens.default_vocabulary()
-    level, paths = 0, []
-    bins, at = materialize_at(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_local(path, capacity), _BINS), "pack-0")
+    level, nodes = 0, None
+    bins = materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_local(path, capacity), _BINS), "pack-0")
     final = bins.where("done").select("bin", "pieces")
-    nodes = (bins.agg(F.max("node")).first()[0] or 0) + 1
     while True:
         level += 1
-        last = nodes == 1
-        up = bins.where(~F.col("done")).repartition(nodes, "node").groupBy("node").applyInArrow(_merge(level, capacity, last), _BINS)
-        bins, at = materialize_at(up, f"pack-{level}")
-        paths.append(at)
+        left, below = bins.where("not done").agg(F.count("*"), F.count_distinct(F.shiftright("bin", 24))).first()
+        above = max(1, -(-min(below, nodes or below) // FAN), -(-left // NODE))
+        last = above == 1 or nodes is not None and above >= nodes
+        nodes = above
+        dealt = bins.where("not done").select("bin", "used", "pieces", F.pmod(F.xxhash64("bin"), F.lit(nodes)).cast("int").alias("node"))
+        bins = materialize(dealt.repartitionById(nodes, F.col("node")).mapInArrow(_merge(level, capacity, last), _BINS), f"pack-{level}")
         final = final.unionByName(bins.where("done").select("bin", "pieces"))
         if last:
             break
-        nodes = -(-nodes // FAN)
     return final.mapInArrow(_placed, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 

@@ -68,6 +68,18 @@ def test_packing_climbs_the_tree(spark, docs):
     assert len({r.sequence_id for r in rows}) <= -(-sum(r.length for r in rows) // 512) * 1.06
 
 
+@pytest.mark.parametrize("node", [7, 60])
+def test_packing_of_more_bins_than_a_node_takes(docs, monkeypatch, node):
+    """Nodes go on side by side, and what they leave is near the bound of whole bins."""
+    monkeypatch.setattr(packing, "NODE", node)
+    rows = packing.pack(docs.repartition(40), 512).collect()
+    assert sum(r.length for r in rows) == sum(r.length for r in packing.pack(docs, 512).collect())
+    used = defaultdict(int)
+    for r in rows:
+        used[r.sequence_id] += r.length
+    assert max(used.values()) <= 512 and len(used) <= -(-sum(used.values()) // 512) * (1.15 if node == 7 else 1.06)
+
+
 def test_empty_tables(empty):
     assert packing.pack(empty).collect() == []
     assert sharding.shard(empty).collect() == []
