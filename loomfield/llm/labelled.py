@@ -1,4 +1,4 @@
-"""Labelled documents and held-out folds."""
+"""Labelled documents, held-out folds, and the number of ranges that documents are dealt into."""
 
 from __future__ import annotations
 
@@ -11,6 +11,14 @@ FOLDS = 5
 #: Narrow rows of so many documents at most are broadcast: about 100 bytes each.
 MOST_SENT = 1_000_000
 
+#: Bytes of text in a range, and the most ranges of a table; beyond, ranges grow, and tasks stream through them.
+RANGE, MOST_RANGES = 16 << 20, 1 << 16
+
+
+def ranges_for(docs: DataFrame, text: str) -> int:
+    """The number of ranges with about RANGE bytes of text each."""
+    return min(MOST_RANGES, 1 + (docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // RANGE)
+
 
 def held_out(doc_id: Column) -> Column:
     """Whether a document belongs to the fold whose labels aren't learnt from; a null id counts as the empty text."""

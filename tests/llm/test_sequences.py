@@ -136,7 +136,9 @@ def shingles_of(text):
 @pytest.mark.parametrize("name", ["docs", "odd"])
 def test_fingerprints(request, name):
     df = request.getfixturevalue(name)
-    rows = sorted(df.collect(), key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.text or ""))
+    from pyspark.sql import functions as F
+
+    rows = sorted(df.withColumn("t", F.xxhash64("text")).collect(), key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.t))
     want, similar = [], []
     for i, r in enumerate(rows):
         text, after = r.text or "", rows[(i + 1) % len(rows)].text or ""
@@ -161,6 +163,29 @@ def test_fingerprints(request, name):
         assert np.mean([abs(by[w][0].near_edited - s[0]) for w, s in zip(want, similar)]) < 0.03
 
 
+def test_densification_takes_the_first_full_bin_drawn():
+    rng = np.random.default_rng(1)
+    for full in (1, 2, 9, 200):
+        x = np.full((3, fingerprints.BINS), fingerprints.EMPTY)
+        for row in x:
+            row[rng.choice(fingerprints.BINS, full, replace=False)] = rng.integers(0, 1 << 40, full)
+        got = fingerprints.densify(x)
+        for row, out in zip(x, got):
+            for b in rng.choice(fingerprints.BINS, 40):
+                at, t = b, 0
+                while row[at] == fingerprints.EMPTY:
+                    at, t = int(fingerprints._drawn(np.array([b]), t)[0]), t + 1
+                assert out[b] == row[at]
+    assert (fingerprints.densify(np.full((1, fingerprints.BINS), fingerprints.EMPTY)) == fingerprints.EMPTY).all()
+
+
+def test_ranges_part_rows_of_one_id(spark):
+    """A null id of a third of all rows, and repeated rows: order, edges and results are those of one range."""
+    rows = [(None if i % 3 == 0 else i % 50, f"text {i % 17} of words {i % 5} and more {i}" if i % 4 else "the same text again and again") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert Counter(fingerprints.fingerprint(df, ranges=40).collect()) == Counter(fingerprints.fingerprint(df, ranges=1).collect())
+
+
 def test_one_document_is_followed_by_itself(spark):
     (r,) = fingerprints.fingerprint(spark.createDataFrame([(1, "abcdef")], "doc_id long, text string")).collect()
     assert r.near_next == 1.0 and r.edited_sha256 == hashlib.sha256(b"abcdab").hexdigest()
