@@ -1,6 +1,8 @@
 """Token-id files: canonical length-limited Huffman codes in independent blocks with checkpoints.
 
-A file holds the ids of a range of documents in the order of their ids:
+Documents are ranged by id and a hash of the text, about equally many bytes of text to a range, and a range is
+written as files of about FILE ids, so a task holds one file's ids at a time. A file holds the ids of documents in
+the order of their ids:
 
     magic, then little-endian: 8-byte ids before this file, 4-byte lengths of the three zlib parts
     zlib part 1: code length of every id of the vocabulary, one byte each
@@ -12,10 +14,11 @@ Codes follow from their lengths: by length, then id. Codes are counted over the
 on a byte and has BLOCK ids (the last fewer), and a checkpoint every STEP ids tells where to start, so decoding
 reads from all checkpoints at once through one table of the next LIMIT bits.
 
-Files go to the shared folder under a temporary name and are renamed, so a task that runs again does no harm.
+Files go to the shared folder under a temporary name and are renamed, so a task that runs again does no harm. The
+driver gathers the counts of the vocabulary and one row for each file.
 
 Cases: a null text is the empty text and has only the end id. Rows with equal or null document ids stay rows of
-their own; null ids come first, equal ids by text. A text may be of any length. An empty table writes no file and
+their own; null ids come first, equal ids by a hash of the text and the text, so ranges may part them. A text may be of any length. An empty table writes no file and
 gives no rows. Other columns aren't read.
 """
 
@@ -32,11 +35,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomfield.llm import tokens
-from loomfield.plans.ranges import range_bounds, range_of
-from loomfield.plans.shared import new_path, ship
+from loomfield.llm.labelled import MOST_RANGES, ranges_for
+from loomfield.plans.shared import materialize, new_path, ship
 
 MAGIC = b"LFIDS\x00\x00\x01"
 END, LIMIT, BLOCK, STEP = 1, 16, 1 << 16, 256
+#: A file ends after the document that brings it to so many ids.
+FILE = 8 << 20
 SIZE = 1 << 16
 _DOC = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("n", "<u4")])
 
@@ -164,35 +169,39 @@ def _get(folder: str, name: str) -> bytes:
 
 
 def _staged(folder: str, vocabulary: str):
-    """Encodes rows in order, writes each range's ids as they are, and tells how often each id occurs and how many a range has."""
+    """Encodes rows in order, writes each file's ids as they are, and tells how often each id occurs and how many a file has."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
         counts = np.zeros(SIZE, np.int64)
-        totals: dict[int, int] = {}
-        at, docs, ids = None, [], []
+        totals: list[int] = []
+        docs, ids, held = [], [], 0
 
         def flush():
-            if docs:
-                all_ = b"".join(ids)
-                counts[:] += np.bincount(np.frombuffer(all_, "<u2"), minlength=SIZE)
-                totals[at] = len(all_) // 2
-                packed = pa.compress(all_, "zstd", asbytes=True)
-                _put(folder, f"{at:06d}.ids", struct.pack("<2Q", len(docs), len(all_)) + np.array(docs, _DOC).tobytes() + packed)
+            all_ = b"".join(ids)
+            for i in range(0, len(all_), 2 << 20):
+                counts[:] += np.bincount(np.frombuffer(all_[i : i + (2 << 20)], "<u2"), minlength=SIZE)
+            _put(folder, f"{part:06d}-{len(totals):06d}.ids", struct.pack("<2Q", len(docs), len(all_)) + np.array(docs, _DOC).tobytes() + pa.compress(all_, "zstd", asbytes=True))
+            totals.append(len(all_) // 2)
 
         end = np.uint16(END).tobytes()
         for batch in batches:
-            for doc_id, text, range_ in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
-                if range_ != at:
-                    flush()
-                    at, docs, ids = range_, [], []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 got = tokens.encode(text.as_py(), vocabulary).tobytes() + end
                 docs.append((doc_id or 0, doc_id is not None, len(got) // 2))
                 ids.append(got)
-        flush()
+                held += len(got) // 2
+                if held >= FILE:
+                    flush()
+                    docs, ids, held = [], [], 0
+        if docs:
+            flush()
         used = np.flatnonzero(counts)
-        kinds = np.concatenate([np.zeros(len(used), np.int32), np.ones(len(totals), np.int32)])
-        keys = np.concatenate([used, np.array([*totals], np.int64)])
-        yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(keys), pa.array(np.concatenate([counts[used], np.array([*totals.values()], np.int64)]))], names=["kind", "key", "n"])
+        none = np.full(len(used), -1, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(none), pa.array(used.astype(np.int64)), pa.array(counts[used])], names=["part", "key", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(totals), part, np.int64)), pa.array(np.arange(len(totals), dtype=np.int64)), pa.array(totals, pa.int64())], names=["part", "key", "n"])
 
     return run
 
@@ -200,13 +209,13 @@ def _staged(folder: str, vocabulary: str):
 def _coded(stage: str, folder: str, lengths: bytes):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for range_, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = _get(stage, f"{range_:06d}.ids")
+            for part, key, before in zip(*(batch.column(c).to_pylist() for c in ("part", "key", "before"))):
+                data = _get(stage, f"{part:06d}-{key:06d}.ids")
                 n, size = struct.unpack_from("<2Q", data)
                 docs = np.frombuffer(data, _DOC, n, 16)
                 ids = np.frombuffer(pa.decompress(data[16 + docs.nbytes :], size, "zstd", asbytes=True), "<u2")
-                _put(folder, f"{range_:06d}.lfids", encode_file(docs, ids, np.frombuffer(lengths, np.uint8), before))
-            yield batch.select([0])
+                _put(folder, f"{part:06d}-{key:06d}.lfids", encode_file(docs, ids, np.frombuffer(lengths, np.uint8), before))
+            yield batch.select(["part"])
 
     return run
 
@@ -227,23 +236,22 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, ranges: i
     spark = docs.sparkSession
     ship(spark)
     stage = f"{folder}-stage"
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    bounds = range_bounds(docs, "doc_id", ranges or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    placed = docs.withColumn("at", range_of(F.col("doc_id"), bounds).cast("int")).repartition(len(bounds) + 1, "at").sortWithinPartitions("at", "doc_id", "text")
-    told = placed.mapInArrow(_staged(stage, vocabulary or tokens.default_vocabulary()), "kind int, key long, n long")
-    told = told.groupBy("kind", "key").agg(F.sum("n").alias("n")).collect()  # a row per id of the vocabulary and per range
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("t"))
+    order = [F.asc_nulls_first("doc_id"), F.col("t")]
+    placed = docs.repartitionByRange(ranges or ranges_for(docs, "text"), *order).sortWithinPartitions(*order, "text").select("doc_id", "text")
+    told = materialize(placed.mapInArrow(_staged(stage, vocabulary or tokens.default_vocabulary()), "part long, key long, n long"), "token-counts")
     counts = np.zeros(SIZE, np.int64)
-    for r in told:
-        if r.kind == 0:
-            counts[r.key] = r.n
+    for r in told.where("part < 0").groupBy("key").agg(F.sum("n").alias("n")).collect():  # a row for each id of the vocabulary
+        counts[r.key] = r.n
     lengths = code_lengths(counts).tobytes()
     starts, total = [], 0
-    for r in sorted((r for r in told if r.kind == 1), key=lambda r: r.key):
-        starts.append((r.key, total))
+    for r in told.where("part >= 0").orderBy("part", "key").collect():  # a row for each file
+        starts.append((r.part, r.key, total))
         total += r.n
     if starts:
-        todo = spark.createDataFrame(starts, "at long, before long").repartition(len(starts), "at")
-        todo.mapInArrow(_coded(stage, folder, lengths), "at long").count()
+        tasks = min(MOST_RANGES, len(starts))
+        todo = spark.createDataFrame(pa.table(dict(zip(("part", "key", "before", "at"), zip(*((*r, i % tasks) for i, r in enumerate(starts)))))))
+        todo.repartitionById(tasks, F.col("at").cast("int")).mapInArrow(_coded(stage, folder, lengths), "part long").count()
         store, path = _fs(stage)
         store.delete_dir(path)
     return total

@@ -93,16 +93,31 @@ def test_best_fit_takes_the_fullest_bin():
 @pytest.mark.parametrize("name", ["docs", "odd"])
 def test_token_ids(request, spark, library, name, tmp_path):
     df = request.getfixturevalue(name)
+    from pyspark.sql import functions as F
+
     total = idfile.write(df, f"file://{tmp_path}/ids", ranges=5)
     rows = sorted(idfile.read(spark, f"file://{tmp_path}/ids").collect(), key=lambda r: r.start)
     start, want = 0, []
-    for r in sorted(df.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or "")):
+    for r in sorted(df.withColumn("t", F.xxhash64("text")).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.t)):
         ids = ids_of(library, r.text)
         want.append((r.doc_id, start, len(ids), crc(ids)))
         start += len(ids)
     assert [tuple(r) for r in rows] == want and total == start
 
 
+def test_token_ids_in_several_files_of_a_range(spark, docs, tmp_path, monkeypatch):
+    whole = idfile.write(docs, f"file://{tmp_path}/a", ranges=1)
+    monkeypatch.setattr(idfile, "FILE", 5000)
+    assert idfile.write(docs, f"file://{tmp_path}/b", ranges=3) == whole
+    a, b = (idfile.read(spark, f"file://{tmp_path}/{x}").collect() for x in "ab")
+    assert Counter(a) == Counter(b) and len(list((tmp_path / "b").glob("*.lfids"))) > 10 and len(list((tmp_path / "a").glob("*.lfids"))) == 1
+    assert not list(tmp_path.glob("*-stage"))
+
+
+def test_no_documents_write_no_file(spark, empty, tmp_path):
+    assert idfile.write(empty, f"file://{tmp_path}/none") == 0 and not list(tmp_path.rglob("*.lfids"))
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 300), min_size=1, max_size=3000), st.integers(9, 16))
 def test_id_file_round_trip(ids, limit):
