@@ -8,8 +8,9 @@ them through the block's forward index (its rows), and stops when a bound is bel
 threshold starts at the k-th score among the query block itself where the caller says that queries are rows too,
 else at minus infinity, and only rises.
 
-Queries are dealt into blocks of about QUERY_BLOCK by a hash; each is sent to the tasks in turn, so what is
-broadcast never grows with the data. Every task returns k rows a query at most, and the best k of those remain.
+Queries are dealt into blocks of about QUERY_BLOCK by a hash. Each block is sent to the tasks in turn, its results are
+stored, and it is released before the next one is sent, so what is broadcast at a time doesn't grow with the data.
+Every task returns k rows a query at most, and the best k of those remain.
 
 Cases: rows without an id or a vector, or with null, NaN or infinite components, take no part. A vector shorter
 than the query's counts as if it ended in zeros. Rows with the query's own id aren't candidates for it; a
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomfield.plans.shared import ship
+from loomfield.plans.shared import materialize, ship
 
 BLOCK, QUERY_BLOCK = 64, 16_384
 #: Rows of a query block that set its first thresholds; any candidates' scores are a valid floor.
@@ -162,17 +163,20 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, among: bool = False)
     """
     spark = rows.sparkSession
     ship(spark)
-    rows, queries = (d.where(F.col("id").isNotNull()) for d in (rows, queries))
+    rows, queries = (d.select("id", "vector").where("id is not null and vector is not null") for d in (rows, queries))
     parts = max(1, -(-queries.count() // QUERY_BLOCK))
     found = None
     for part in range(parts):  # a query set against all rows, in blocks of bounded size
         mine = queries.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).dropDuplicates().toArrow()
         ids = mine.column("id").to_numpy()
         sent = spark.sparkContext.broadcast(Queries.of(ids, matrix(mine.column("vector"), 0) if len(ids) else np.zeros((0, 1)), k, among))
-        got = rows.select("id", "vector").mapInArrow(_task(sent, k), "query_id long, vec_id long, score long")
+        got = rows.mapInArrow(_task(sent, k), "query_id long, vec_id long, score long")
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        got = got.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        got = materialize(got, "top-k")
+        sent.destroy()
         found = got if found is None else found.unionByName(got)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found
 
 
 def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,6 @@
-"""Queries that aren't among the rows."""
+"""Queries that aren't among the rows, several query blocks, ties, repeated rows, empty tables and other columns."""
+
+import pytest
 
 from loomfield.llm import topk
 
@@ -12,3 +14,24 @@ def test_queries_that_are_no_candidates(spark):
         got.setdefault(x.query_id, []).append((x.score, x.vec_id))
     want = {i: [(-s, k) for s, k in sorted((-int(v[0] * w[0] + v[1] * w[1]), k) for k, w in rows)[:3]] for i, v in queries}
     assert got == want
+
+
+def test_ties_repeated_rows_and_query_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
+    rows = [(i % 60, [float(i % 4), 2.0], "mine", 5) for i in range(120)] + [(None, [9.0, 9.0], "mine", 5), (70, None, "mine", 5), (71, [], "mine", 5)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>, rank string, score long").repartition(3)
+    got = {}
+    for x in topk.top_k(df, df.where("id % 2 = 0"), 4, among=True).orderBy("query_id", "rank").collect():
+        got.setdefault(x.query_id, []).append((x.score, x.vec_id))
+    have = [(i, v) for i, v, *_ in rows if i is not None and v is not None]
+    for q, v in {i: v for i, v in have if i % 2 == 0}.items():
+        want = sorted((-int(sum(a * b for a, b in zip(v, w))), i) for i, w in have if i != q)[:4]
+        assert got[q] == [(-s, i) for s, i in want]
+
+
+@pytest.mark.parametrize("some", [(True, False), (False, True), (False, False)])
+def test_empty_tables(spark, some):
+    df = spark.createDataFrame([(1, [1.0])], "id long, vector array<double>")
+    rows, queries = (df if s else df.where("id < 0") for s in some)
+    assert topk.top_k(rows, queries).collect() == []
+    assert topk.top_k(rows, queries).columns == ["query_id", "rank", "vec_id", "score"]
