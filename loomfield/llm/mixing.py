@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomfield.llm.naming import unused
 from loomfield.plans.prefix import bits_for, high_bits, prefix_in_groups
 from loomfield.plans.shared import broadcast_if_small, materialize
 
@@ -83,11 +84,12 @@ def take(docs: DataFrame) -> DataFrame:
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(F.lit(1)).cast("int")
     rest = F.when(F.col("size") > 0, F.col("taken") % F.col("size")).otherwise(F.lit(0)).cast("int")
     times = F.concat(F.array_repeat(F.lit(-1), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
-    rows = shares.select("row", F.explode(times).alias("__words")).select("row.*", "__words")
+    (most,) = unused(docs, "words")
+    rows = shares.select("row", F.explode(times).alias(most)).select("row.*", most)
     first = F.regexp_extract(F.col("text"), r"^[\x20\x09-\x0D]*", 0)
-    words = F.slice(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0)), F.lit(1), F.greatest(F.col("__words"), F.lit(0)))
-    cut = F.when(F.col("__words") < 0, F.col("text")).otherwise(F.concat(first, F.array_join(words, "")))
-    out = {"text": cut} | ({"n_chars": F.when(F.col("__words") < 0, F.col("n_chars")).otherwise(F.length(cut).cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {})
+    words = F.slice(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0)), F.lit(1), F.greatest(F.col(most), F.lit(0)))
+    cut = F.when(F.col(most) < 0, F.col("text")).otherwise(F.concat(first, F.array_join(words, "")))
+    out = {"text": cut} | ({"n_chars": F.when(F.col(most) < 0, F.col("n_chars")).otherwise(F.length(cut).cast(docs.schema["n_chars"].dataType))} if "n_chars" in docs.columns else {})
     return rows.withColumns(out).select(*docs.columns)
 
 

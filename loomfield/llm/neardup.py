@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomfield.llm import words
+from loomfield.llm.naming import unused
 from loomfield.plans.components import connected
 from loomfield.plans.shared import broadcast_if_small, materialize, ship
 
@@ -295,9 +296,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     also where rows share an id or have none.
     """
     text = docs["text"].cast("string")
-    same = {"__t1": F.xxhash64(text), "__t2": F.xxhash64(F.lit("near"), text)}
-    gone = materialize(_judged(docs, False, **same).where("not kept").select(F.col("doc_id").alias("__gone"), *same).distinct(), "near-gone")
-    on = docs["doc_id"].cast("long").eqNullSafe(F.col("__gone"))
+    gone_id, t1, t2 = unused(docs, "gone", "t1", "t2")
+    same = {t1: F.xxhash64(text), t2: F.xxhash64(F.lit("near"), text)}
+    gone = materialize(_judged(docs, False, **same).where("not kept").select(F.col("doc_id").alias(gone_id), *same).distinct(), "near-gone")
+    on = docs["doc_id"].cast("long").eqNullSafe(F.col(gone_id))
     for k, c in same.items():
         on &= c == F.col(k)
     return docs.join(broadcast_if_small(gone, MOST_IDS), on, "left_anti")

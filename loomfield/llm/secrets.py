@@ -8,7 +8,8 @@ scans every text.
 
 Cases: a null text is the empty text and has no secrets. Rows with the same or a null document id share their
 postings and are verified each by its own text. Texts of any length are scanned whole. An empty table gives no
-rows. scan() keeps the other columns of its input and adds one, named by a parameter.
+rows. scan() keeps the other columns of its input, whatever their names, and adds one, named by a parameter, in place of
+one of that name.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomfield.llm.naming import unused
 from loomfield.plans.shared import broadcast_if_small, materialize
 
 
@@ -171,24 +173,26 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE, key: str = "doc_id", t
     """docs with the column into: array<struct<start, kind, end>> by start, then kind in the order of the rules (kind: its number)."""
     needed = sorted({t for r in rules for a in trigram_query(r.pattern) for t in a})
     whole = F.coalesce(F.col(text), F.lit(""))
+    of, kinds = unused(docs, "of", "kinds")
     if needed:
         found = materialize(candidates(postings(docs, key, text, needed), rules), "secret-candidates")
-        found = found.select(F.col("key").alias("__key"), F.col("kinds").alias("__kinds"))
-        docs = docs.join(broadcast_if_small(found, MOST_CANDIDATES), docs[key].eqNullSafe(F.col("__key")), "left").drop("__key")
+        found = found.select(F.col("key").alias(of), F.col("kinds").alias(kinds))
+        docs = docs.join(broadcast_if_small(found, MOST_CANDIDATES), docs[key].eqNullSafe(F.col(of)), "left").drop(of)
     else:
-        docs = docs.withColumn("__kinds", F.array().cast("array<string>"))
+        docs = docs.withColumn(kinds, F.array().cast("array<string>"))
     each = []
     for i, rule in enumerate(rules):
         got = F.transform(spans(whole, rule), _as_kind(i))
         if trigram_query(rule.pattern):
-            got = F.when(F.array_contains("__kinds", rule.kind), got)
+            got = F.when(F.array_contains(kinds, rule.kind), got)
         each.append(F.coalesce(got, F.array().cast("array<struct<start:int,kind:int,end:int>>")))
-    return docs.withColumn(into, F.array_sort(F.concat(*each))).drop("__kinds")
+    return docs.withColumn(into, F.array_sort(F.concat(*each))).drop(kinds)
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = BASE, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with each run of overlapping secrets in text replaced by mark."""
-    found = scan(docs, rules, key, text, "__spans")
+    (into,) = unused(docs, "spans")
+    found = scan(docs, rules, key, text, into)
     t = F.col(text)
 
     def step(acc, s):
@@ -196,8 +200,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = BA
         over = F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), acc["out"].alias("out"))
         return F.when(s["start"] >= acc["pos"], new).otherwise(over)
 
-    clean = F.aggregate("__spans", F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(t, acc["pos"] + 1, F.length(t))))
-    return found.withColumn(text, F.when(F.size("__spans") > 0, clean).otherwise(t)).drop("__spans")
+    clean = F.aggregate(into, F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(t, acc["pos"] + 1, F.length(t))))
+    return found.withColumn(text, F.when(F.size(into) > 0, clean).otherwise(t)).drop(into)
 
 
 def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

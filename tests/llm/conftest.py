@@ -27,7 +27,7 @@ def odd(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(ODD, SCHEMA)
-    return df.withColumns({n: F.lit("mine") for n in ("key", "kinds", "size", "score", "shard", "bucket", "at", "n", "src", "component")})
+    return df.withColumns({n: F.lit("mine") for n in ("key", "kinds", "size", "score", "shard", "bucket", "at", "n", "src", "component", "of", "Spans", "words", "gone", "t1", "__t2", "row", "tie", "__key", "__kinds", "__id", "__size", "__taken", "__times", "__words", "text_")})
 
 
 @pytest.fixture(scope="session")

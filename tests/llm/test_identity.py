@@ -3,8 +3,10 @@
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 
-from loomfield.llm import mixing
+
+from loomfield.llm import mixing, neardup, secrets, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -27,3 +29,14 @@ def test_every_row_takes_its_own_share(spark):
     assert Counter((i, len(WORD.findall(t)), have[WORD.findall(t)[0]]) for i, t, *_ in rows if t) == want
     assert sum(r.text is None for r in taken) == sum(r.text == "" for r in taken) == 1
     assert Counter(taken) == Counter(mixing.take(docs.repartition(5)).collect())
+
+
+def test_operators_keep_columns_of_any_name(odd):
+    """Helper columns don't meet the input's, which pass unchanged."""
+    others = [c for c in odd.columns if c not in ("text", "n_chars")]
+    mine = Counter(tuple(r[c] for c in others) for r in odd.collect())
+    for out in (secrets.scan(odd, into="found").drop("found"), secrets.redact(odd), neardup.keep_one(odd), mixing.take(odd), toxicity.reject(odd, toxicity.Model(np.empty(0, np.int64), np.empty(0)))):
+        assert out.columns == odd.columns
+        rows = out.collect()
+        assert {tuple(r[c] for c in others) for r in rows} <= set(mine)
+    assert Counter(tuple(r[c] for c in others) for r in secrets.redact(odd).collect()) == mine
