@@ -10,8 +10,8 @@ make buckets: at a similarity of 0.75 two classes share none with probability (1
 Links are found by stars: the classes of a bucket are held against its least class, and links of verified pairs
 join components. Pairs whose packed sketches agree far below the threshold (over six standard deviations) are ruled
 out by them; the others are confirmed on full sets. So that no link is lost to the choice of the star's centre, the
-classes left in a bucket whose components differ are then held against each other in blocks of BLOCK, by bitmaps of
-their sets: a bit that only one set has stands for an element that only it has, which bounds the similarity from
+classes left in a bucket whose components differ are then held against each other in blocks of bounded numbers and
+bytes, and only with blocks of such sizes of sets as can be linked, by bitmaps of their sets: a bit that only one set has stands for an element that only it has, which bounds the similarity from
 above, so what the bitmaps rule out has no link. Only pairs within the bound leave a block, and are confirmed on
 full sets too. Pairs within one component decide nothing.
 
@@ -28,7 +28,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomfield.llm import words
@@ -43,8 +43,8 @@ EMPTY = U(0xFFFFFFFFFFFFFFFF)
 #: Sketches that agree in fewer of the T coordinates rule a pair out: 0.75 less six standard deviations of T samples.
 LEAST_AGREE = int(T * (0.75 - 6 * (0.75 * 0.25 / T) ** 0.5))
 MOST_IDS = 2_000_000
-#: Classes of a bucket held against each other at once; bits of a set's bitmap for each element; words compared at once.
-BLOCK, BITS, STRIP = 1024, 16, 1 << 21
+#: Classes of a block, and elements of their sets, on average at most; bits of a set's bitmap for each element; words compared at once.
+BLOCK, ELEMENTS, BITS, STRIP = 1024, 4 << 20, 16, 1 << 21
 _ROUND = words.mix(np.arange(1, 2 * T + 1, dtype=U) * U(0x9E3779B97F4A7C15))
 _BAND = words.mix(np.arange(1, BANDS + 1, dtype=U) * U(0xC2B2AE3D27D4EB4F))
 
@@ -216,12 +216,20 @@ def _texts(needed: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _rest(apart: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b): pairs within the bitmaps' bound among apart(bucket, cid, component)."""
     ids = apart.select("cid").distinct()
-    texts, needed = _texts(materialize(classes.join(ids, "cid").select("cid", "d1", "d2", "least_id"), "near-needed"), docs)
+    of = materialize(classes.join(ids, "cid").select("cid", "d1", "d2", "least_id", F.col("size").alias("n")), "near-needed")
+    texts, needed = _texts(of.drop("n"), docs)
     maps = texts.mapInArrow(_bitmaps, "d1 long, d2 long, n long, bits binary").join(needed, ["d1", "d2"]).dropDuplicates(["cid"]).select("cid", "n", "bits")
     maps = materialize(maps, "near-bitmaps")
-    sizes = apart.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = apart.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("cid"), "blocks").cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # Sets that are linked differ in size by a third at most, so they are in the same band of sizes or in neighbouring ones.
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / PERCENT)) * (1 + 1e-9))).cast("long")
+    banded = apart.join(of.select("cid", "n"), "cid").withColumn("band", band)
+    most = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / ELEMENTS)).cast("long")
+    sizes = banded.groupBy("bucket", "band").agg(most.alias("own"))
+    by = Window.partitionBy("bucket").orderBy("band")
+    sizes = sizes.withColumns({"lower": F.max("own").over(by.rangeBetween(-1, -1)), "upper": F.max("own").over(by.rangeBetween(1, 1))})
+    rows = banded.join(sizes, ["bucket", "band"]).withColumn("block", F.shiftleft("band", 32) + F.pmod(F.xxhash64("cid"), "own"))
+    others = [F.when(F.col(n).isNull(), F.array().cast("array<long>")).otherwise(F.sequence(F.shiftleft(F.col("band") + d, 32), F.shiftleft(F.col("band") + d, 32) + F.col(n) - 1)) for n, d in (("lower", -1), ("own", 0), ("upper", 1))]
+    rows = rows.withColumn("other", F.explode(F.concat(*others)))
     rows = rows.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "cid", "component").join(maps, "cid")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "cid")
@@ -257,7 +265,7 @@ def _judged(docs: DataFrame, by_id: bool, **carried: Column) -> DataFrame:
     own = "".join(f"{k} long, " for k in carried)
     rows = materialize(given.mapInArrow(_sketched, f"doc_id long, {own}n long, d1 long, d2 long, bands array<long>, low binary"), "near-rows")
     worded = rows.where("n > 0")
-    classes = materialize(worded.groupBy("d1", "d2").agg(F.first("d1").alias("cid"), F.min("doc_id").alias("least_id"), F.first("bands").alias("bands"), F.first("low").alias("low")), "near-classes")
+    classes = materialize(worded.groupBy("d1", "d2").agg(F.first("d1").alias("cid"), F.min("doc_id").alias("least_id"), F.first("bands").alias("bands"), F.first("low").alias("low"), F.first("n").alias("size")), "near-classes")
 
     members = classes.select("cid", F.explode("bands").alias("bucket"))
     stars = members.groupBy("bucket").agg(F.min("cid").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")

@@ -148,6 +148,33 @@ def test_components(request, name):
     assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
 
 
+@pytest.mark.parametrize("block", [1024, 3])
+def test_what_stars_leave_in_one_bucket(spark, monkeypatch, block):
+    """Texts of many lengths in the same bucket: those that are linked are found in whatever blocks they lie."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(45):
+        w = [f"g{i // 3}w{k}" for k in range(int(20 * 1.15 ** (i // 3)))]
+        for k in rng.choice(len(w), i % 3, replace=False):
+            w[k] = f"e{i}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    h = [neardup._sketched([pa.RecordBatch.from_arrays([pa.array([i]), pa.array([t])], names=["doc_id", "text"])]) for i, t in rows]
+    cid = [next(b).column("d1")[0].as_py() for b in h]
+    sizes = [len({tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}) for _, t in rows]
+    classes = spark.createDataFrame([(c, next(neardup._sketched([pa.RecordBatch.from_arrays([pa.array([i]), pa.array([t])], names=["doc_id", "text"])])).column("d2")[0].as_py(), c, i, n) for (i, t), c, n in zip(rows, cid, sizes)], "d1 long, d2 long, cid long, least_id long, size long")
+    apart = spark.createDataFrame([(5, c, c) for c in cid], "bucket long, cid long, component long")
+    found = {tuple(sorted((cid.index(r.a), cid.index(r.b)))) for r in neardup._rest(apart, classes, docs).collect()}
+    linked = {p for p in ((i, j) for j in range(45) for i in range(j)) if _linked(rows[p[0]][1], rows[p[1]][1])}
+    assert linked and linked <= found
+
+
+def _linked(a, b):
+    x, y = ({tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in (a, b))
+    return 100 * len(x & y) >= 75 * len(x | y)
+
+
 def test_components_of_a_chain_and_of_many_edits(spark):
     """Near copies of one text: few of them are like the least one, and some are like none."""
     rng = np.random.default_rng(1)
@@ -438,5 +465,41 @@ def test_pipeline(spark, tmp_path):
     assert all(not spans_of(r.text) for r in kept["secrets"]) and {r.doc_id for r in kept["secrets"]} == {r.doc_id for r in kept["near_dedup"]}
     assert all(r.text == texts[r.doc_id] for r in kept["secrets"] if not spans_of(texts[r.doc_id]))
     assert {r.doc_id for r in kept["mixing"]} <= {r.doc_id for r in kept["secrets"]}
+    mixed = Counter()
+    for r in mixing.mix(spark.read.parquet(f"file://{tmp_path}/secrets")).collect():
+        mixed[r.doc_id] += r.taken
+    words_ = defaultdict(list)
+    for r in kept["mixing"]:
+        words_[r.doc_id].append(WORD.findall(r.text))
+    assert {i: n for i, n in mixed.items() if n} == {i: n for i, n in ((i, sum(map(len, w))) for i, w in words_.items()) if n}
+    before = {r.doc_id: WORD.findall(r.text or "") for r in kept["secrets"]}
+    assert all(w == before[i][: len(w)] for i, rows in words_.items() for w in rows)
+    from tokenizers import Tokenizer
+
+    from loomfield.llm import tokens
+
+    library = Tokenizer.from_file(tokens.default_vocabulary())
+    want = Counter()
+    for r in kept["mixing"]:
+        ids = library.encode(r.text or "", add_special_tokens=False).ids + [1]
+        for i, a in enumerate(range(0, len(ids), 4096)):
+            want[r.doc_id, i, a, len(ids[a : a + 4096]), zlib.crc32(np.array(ids[a : a + 4096], "<u4").tobytes())] += 1
     rows = corpus_pipeline.run(spark, d).collect()
-    assert len(rows) >= len(kept["mixing"])
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
+    used = defaultdict(int)
+    for r in rows:
+        used[r.sequence_id] += r.length
+    assert max(used.values()) <= 4096 and len(used) <= -(-sum(used.values()) // 4096) * 1.1 + 1
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(odd, empty, spark):
+    """Every stage takes nulls, repeated rows, clashing names and empty tables, and returns the columns of documents."""
+    import corpus_pipeline
+
+    d = "/root/testdata/sf0.001"
+    for name, stage in corpus_pipeline.STAGES:
+        out, none = stage(spark, odd, d), stage(spark, empty, d)
+        assert none.collect() == []
+        if name != "packing":
+            assert out.columns == odd.columns and none.columns == empty.columns
+        assert {r.doc_id for r in out.collect()} <= {r.doc_id for r in odd.collect()}
