@@ -16,7 +16,7 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _UNBASE = pow(_BASE, -1, 1 << 64)
 _pow: dict[int, np.ndarray] = {}
 #: Texts are taken in chunks of about so many bytes; a longer text is a chunk of its own.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, 9, 10, 11, 12, 13]] = True
