@@ -18,7 +18,7 @@ import numpy as np
 import regex
 
 #: Entries a worker keeps at most; beyond, new chunks are encoded each time. This bounds memory, not results.
-MOST_CHUNKS, MOST_PIECES = 150_000, 150_000
+MOST_CHUNKS, MOST_PIECES = 400_000, 100_000
 #: White space of the library that Python's split doesn't have the same way is left to the library.
 _ODD = re.compile("[\x1c-\x1f]")
 #: Fixed value: the vocabulary's own pre-tokeniser pattern.
