@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +39,16 @@ OVERCLAIMS = (
 )
 
 
+def rounded(c: Column, places: int) -> Column:
+    """Rounded half to even on the exact binary value, as Python's round does: 2.675 becomes 2.67."""
+
+    @F.pandas_udf(T.DoubleType())
+    def of(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: round(v, places), na_action="ignore")
+
+    return of(c.cast("double"))
+
+
 def collapse(c: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
@@ -53,6 +64,11 @@ def casefold(s: pd.Series) -> pd.Series:
     return s.map(str.casefold, na_action="ignore")
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def casefold_all(s: pd.Series) -> pd.Series:
+    return s.map(lambda a: [None if t is None else t.casefold() for t in a], na_action="ignore")
+
+
 def normalise_exact(c: Column) -> Column:
     """NFKC, white space collapsed."""
     return collapse(nfkc(c))
@@ -107,16 +123,21 @@ def code_spans(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit("`([^`]+)`"), F.lit(1))
 
 
+#: What counts as code, a dot name, and a sentence mark at the end or within; what is taken off generated text.
+CODE, DOT_NAME, LAST_MARK, INNER_MARK = "`[^`]*`", r"(?U)(?<!\w)\.[A-Za-z][\w.-]*", r"[.!?]\z", r"[!?]|(?<!\d)\.(?!\d)"
+THINKING, LABEL = r"(?is)<think>.*?</think>", r"(?i)^(?:Additional sentence|Answer|Explanation)\s*:\s*"
+
+
 def many_sentences(c: Column) -> Column:
     """Whether prose outside code spans and dot names has a sentence mark before its last character."""
-    prose = F.regexp_replace(F.regexp_replace(c, "`[^`]*`", ""), r"(?U)(?<!\w)\.[A-Za-z][\w.-]*", "")
-    return F.regexp_replace(prose, r"[.!?]\z", "").rlike(r"[!?]|(?<!\d)\.(?!\d)")
+    prose = F.regexp_replace(F.regexp_replace(c, CODE, ""), DOT_NAME, "")
+    return F.regexp_replace(prose, LAST_MARK, "").rlike(INNER_MARK)
 
 
 def clean_generated(c: Column) -> Column:
     """Without thinking tags, quotes around and a leading label."""
-    plain = strip(strip(F.regexp_replace(F.regexp_replace(c, r"(?is)<think>.*?</think>", ""), r"(?U)\s+", " ")), '"')
-    return F.regexp_replace(plain, r"(?i)^(?:Additional sentence|Answer|Explanation)\s*:\s*", "")
+    plain = strip(strip(F.regexp_replace(F.regexp_replace(c, THINKING, ""), r"(?U)\s+", " ")), '"')
+    return F.regexp_replace(plain, LABEL, "")
 
 
 def occurrences(text: Column, part: Column) -> Column:
@@ -124,15 +145,30 @@ def occurrences(text: Column, part: Column) -> Column:
     return F.when(F.length(part) == 0, F.length(text) + 1).otherwise(F.try_divide(F.length(text) - F.length(F.replace(text, part, F.lit(""))), F.length(part)).cast("int"))
 
 
+def _bound(of: Callable[..., Column], *values: Column) -> Column:
+    """of(*values) with values computed outside of any function that of makes, where vectorised Python may not stand."""
+    made = F.struct(*(v.alias(f"v{i}") for i, v in enumerate(values)))
+    return F.element_at(F.transform(F.array(made), lambda s: of(*(s[f"v{i}"] for i in range(len(values))))), 1)
+
+
+def _trimmed(keyword: Column) -> Column:
+    return F.regexp_replace(collapse(keyword), r"""^[`* _.:;()\[\]{}"]+|[`* _.:;()\[\]{}"]+\z""", "")
+
+
 def evidence_token(keyword: Column) -> Column:
-    return F.lower(F.regexp_replace(collapse(keyword), r"""^[`* _.:;()\[\]{}"]+|[`* _.:;()\[\]{}"]+\z""", ""))
+    """A keyword without marks around it, in lower case."""
+    return F.lower(_trimmed(keyword))
+
 
+def excerpt(content: Column, keywords: Column, most: int = 2400, exact: bool = False) -> Column:
+    """The part of content around all keywords, or a piece around each if they are far apart; null if one is missing or none is given.
 
-def excerpt(content: Column, keywords: Column, most: int = 2400) -> Column:
-    """The part of content around all keywords, or a piece around each if they are far apart; null if one is missing or none is given."""
+    exact: whether letters are compared by their case folding, in which ß is ss, instead of lower case. Places then count in the folded text.
+    """
     whole = collapse(content)
-    tokens = F.filter(F.transform(keywords, evidence_token), lambda t: t != "")
-    at = F.transform(tokens, lambda t: F.struct((F.position(t, F.lower(whole)) - 1).alias("a"), F.length(t).alias("n")))
+    tokens = F.filter(casefold_all(F.transform(keywords, _trimmed)) if exact else F.transform(keywords, evidence_token), lambda t: t != "")
+    folded = casefold(whole) if exact else F.lower(whole)
+    at = _bound(lambda t, f: F.transform(t, lambda x: F.struct((F.position(x, f) - 1).alias("a"), F.length(x).alias("n"))), tokens, folded)
     first, last = F.array_min(F.transform(at, lambda p: p["a"])), F.array_max(F.transform(at, lambda p: p["a"] + p["n"]))
 
     def cut(a, b):
@@ -143,8 +179,15 @@ def excerpt(content: Column, keywords: Column, most: int = 2400) -> Column:
     return F.when((F.size(at) > 0) & (first >= 0), F.when(last - first <= most, cut(first - 180, last + 180)).otherwise(pieces))
 
 
-def holds_all(folded: Column, tokens: Column) -> Column:
-    return F.forall(tokens, lambda t: F.contains(folded, F.lower(t)))
+def holds_all(text: Column, tokens: Column, exact: bool = False) -> Column:
+    """Whether text holds all tokens, in whatever case. exact: by case folding instead of lower case."""
+    folded, tokens = (casefold(text), casefold_all(tokens)) if exact else (F.lower(text), F.transform(tokens, F.lower))
+    return _bound(lambda t, f: F.forall(t, lambda x: F.contains(f, x)), tokens, folded)
+
+
+#: What a format rule looks for.
+END_MARK, LINE_END, NUMBERED = r"[.!?]$", r"[\r\n]", r"(?i)(?:task|pattern|concept)?\s*#\d+"
+CONTINUATION, FLAG = "\n|Question:|Answer:", r"(?U)(?<!\w)--[a-zA-Z][\w-]*"
 
 
 def format_violations(instruction: Column, output: Column) -> Column:
@@ -152,10 +195,10 @@ def format_violations(instruction: Column, output: Column) -> Column:
     rules = {
         "empty_output": strip(output) == "",
         "too_long": F.length(output) > 100,
-        "newline": output.rlike(r"[\r\n]"),
-        "no_end_mark": ~output.rlike(r"[.!?]$"),
-        "many_sentences": output.rlike(r"[.!?]$") & many_sentences(output),
-        "numbered_placeholder": F.concat_ws(" ", instruction, output).rlike(r"(?i)(?:task|pattern|concept)?\s*#\d+"),
+        "newline": output.rlike(LINE_END),
+        "no_end_mark": ~output.rlike(END_MARK),
+        "many_sentences": output.rlike(END_MARK) & many_sentences(output),
+        "numbered_placeholder": F.concat_ws(" ", instruction, output).rlike(NUMBERED),
     }
     return F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(True)), n) for n, c in rules.items())))
 
@@ -169,28 +212,41 @@ def matching(text: Column, patterns: dict[str, str]) -> Column:
     return F.array_compact(F.array(*(F.when(text.rlike(p), n) for n, p in patterns.items())))
 
 
-def addition_violations(addition: Column, original: Column) -> Column:
-    """Rules that a sentence added to an answer breaks, by name."""
-    own, given = code_spans(addition), code_spans(original)
-    both = F.length(original) + F.length(addition) + 1
-    rules = {
-        "length": ~F.length(addition).between(45, 180),
-        "continuation": addition.rlike("\n|Question:|Answer:"),
-        "new_code": F.exists(own, lambda s: ~F.exists(given, lambda g: F.contains(g, s))),
-        "flag": addition.rlike(r"(?U)(?<!\w)--[a-zA-Z][\w-]*"),
-        "overclaim": F.lit(False),
-        "no_end_mark": ~addition.rlike(r"[.!?]$"),
-        "repeats": F.contains(F.lower(original), F.lower(addition)) | F.contains(F.lower(addition), F.lower(original)),
-        "combined_length": ~both.between(100, 300),
-    }
-    for p in OVERCLAIMS:
-        rules["overclaim"] = rules["overclaim"] | addition.rlike(f"(?iU){p}")
-    return F.array_compact(F.array(*(F.when(c, n) for n, c in rules.items())))
+def addition_violations(addition: Column, original: Column, exact: bool = True) -> Column:
+    """Names, in their order, of the rules that a sentence added to an answer breaks. exact: case is folded; else letters are put in lower case."""
+    fold = casefold if exact else F.lower
+    spans, given = code_spans(addition), code_spans(original)
+    says = lambda pattern: addition.rlike(pattern)
+    within = lambda x, y: F.contains(fold(y), fold(x))
+    broken = [
+        ("combined_length", ~(F.length(original) + 1 + F.length(addition)).between(100, 300)),
+        ("continuation", says(CONTINUATION)),
+        ("flag", says(FLAG)),
+        ("length", ~F.length(addition).between(45, 180)),
+        ("new_code", F.size(F.filter(spans, lambda s: F.size(F.filter(given, lambda g: F.contains(g, s))) == 0)) > 0),
+        ("no_end_mark", ~says(END_MARK)),
+        ("overclaim", says("(?iU)" + "|".join(OVERCLAIMS))),
+        ("repeats", within(addition, original) | within(original, addition)),
+    ]
+    return F.array_compact(F.array(*(F.when(c, n) for n, c in broken)))
 
 
 def key_and_path(spec: Column) -> Column:
-    """KEY=PATH, split at the first =."""
-    return F.struct(F.regexp_extract(spec, "(?s)^([^=]*)=(.*)$", 1).alias("key"), F.regexp_extract(spec, "(?s)^([^=]*)=(.*)$", 2).alias("path"))
+    """KEY=PATH, split at the first = and stripped; without =, both are empty."""
+    part = lambda i: strip(F.regexp_extract(spec, "(?s)^([^=]*)=(.*)$", i))
+    return F.struct(part(1).alias("key"), part(2).alias("path"))
+
+
+def keys_and_paths(rows: DataFrame, spec: str) -> DataFrame:
+    """rows with key and path of KEY=PATH. Raises if a key or path is empty or a key is there twice."""
+    out = rows.withColumn("__x", key_and_path(F.col(spec))).withColumns({"key": F.col("__x")["key"], "path": F.col("__x")["path"]}).drop("__x")
+    bad = out.where(F.coalesce((F.col("key") == "") | (F.col("path") == ""), F.lit(True))).select(spec).limit(5).collect()
+    if bad:
+        raise ValueError(f"no KEY=PATH: {', '.join(repr(r[0]) for r in bad)}")
+    twice = out.groupBy("key").count().where("count > 1").limit(5).collect()
+    if twice:
+        raise ValueError(f"more than one path for {', '.join(r.key for r in twice)}")
+    return out
 
 
 def merge_distinct(a: Column, b: Column) -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +18,30 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"\S+"), F.lit(0))
 
 
+def token_ids(c: Column, encode: Callable[[], Callable[[list[str]], list[list[int]]]]) -> Column:
+    """Ids of texts by any tokenizer; null is the empty text. encode is called once a task and returns what turns a list of texts into lists of ids."""
+
+    @F.arrow_udf("array<int>")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        run = encode()
+        for texts in batches:
+            yield pa.array(run([t or "" for t in texts.to_pylist()]), pa.list_(pa.int32()))
+
+    return of(c)
+
+
+def vocabulary(path: str) -> Callable:
+    """encode for token_ids() from a vocabulary file of the tokenizers library, without special tokens."""
+
+    def encode():
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(path)
+        return lambda texts: [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+    return encode
+
+
 def starts(docs: DataFrame, seed: int = 42) -> DataFrame:
     """docs(split, canonical_url, n) with start: where each document's n tokens and end token begin in its split's stream.
 
@@ -27,15 +55,21 @@ def starts(docs: DataFrame, seed: int = 42) -> DataFrame:
 
 
 def pack(docs: DataFrame, length: int, end: int, pad: int, seed: int = 42) -> DataFrame:
-    """split, block, input_ids, attention_mask from docs(split, canonical_url, ids). Documents may span blocks; the last block is padded."""
+    """split, block, input_ids, attention_mask from docs(split, canonical_url, ids). Documents may span blocks; the last block is padded.
+
+    A document is sent as one slice for each block that it lies in, so what moves is a row for each slice, not for each token.
+    """
     placed = docs.join(starts(docs.select("split", "canonical_url", F.size("ids").alias("n")), seed).drop("n"), ["split", "canonical_url"])
-    ids = placed.select("split", "start", F.posexplode(F.concat("ids", F.array(F.lit(end)))).alias("i", "id"))
-    at = F.col("start") + F.col("i")
-    blocks = ids.groupBy("split", F.floor(at / length).cast("long").alias("block")).agg(F.array_sort(F.collect_list(F.struct((at % length).cast("int").alias("at"), "id"))).alias("x"))
-    found = F.transform("x", lambda s: s["id"].cast("int"))
+    ids, start = F.concat("ids", F.array(F.lit(end))), F.col("start")
+    first, last = F.floor(start / length).cast("long"), F.floor((start + F.size("ids")) / length).cast("long")
+    each = placed.select("split", "start", ids.alias("ids"), F.explode(F.sequence(first, last)).alias("block"))
+    begins = F.greatest(F.lit(0), F.col("block") * length - start).cast("int")
+    at = (start + begins - F.col("block") * length).cast("int")
+    pieces = each.select("split", "block", F.struct(at.alias("at"), F.slice("ids", begins + 1, F.lit(length) - at).alias("ids")).alias("piece"))
+    blocks = pieces.groupBy("split", "block").agg(F.array_sort(F.collect_list("piece")).alias("x")).withColumn("x", F.flatten(F.transform("x", lambda p: p["ids"])))
     free = F.lit(length) - F.size("x")
     return blocks.select(
-        "split", "block", F.concat(found, F.array_repeat(F.lit(pad), free)).alias("input_ids"),
+        "split", "block", F.concat(F.col("x").cast("array<int>"), F.array_repeat(F.lit(pad), free)).alias("input_ids"),
         F.concat(F.array_repeat(F.lit(True), F.size("x")), F.array_repeat(F.lit(False), free)).alias("attention_mask"),
     )
 
@@ -58,11 +92,17 @@ def target_tokens(mask: Column) -> Column:
     return F.size(F.filter(F.slice(mask, F.lit(2), F.greatest(F.size(mask), F.lit(1))), lambda m: m))
 
 
-def instruction_example(prompt: Column, answer: Column, end: int, length: int) -> Column:
-    """Struct of ids and labels of prompt + answer + end token, cut at length; the prompt's labels are -100."""
+def instruction_example(prompt: Column, answer: Column, end: int, length: int, strict: bool = True) -> Column:
+    """Struct of ids and labels of prompt + answer + end token, cut at length; the prompt's labels are -100.
+
+    strict: a prompt that leaves no place for an answer token fails the job; else all its labels are -100.
+    """
     ids = F.slice(F.concat(prompt, answer, F.array(F.lit(end))), 1, length)
     p = F.least(F.size(prompt), F.lit(length))
-    return F.struct(ids.alias("ids"), F.concat(F.array_repeat(F.lit(-100), p), F.slice(ids, p + 1, F.greatest(F.size(ids) - p, F.lit(0)))).alias("labels"))
+    labels = F.concat(F.array_repeat(F.lit(-100), p), F.slice(ids, p + 1, F.greatest(F.size(ids) - p, F.lit(0))))
+    if strict:
+        labels = F.when(p < F.size(ids), labels).otherwise(F.raise_error(F.lit(f"no answer token is left within {length}")).cast("array<int>"))
+    return F.struct(ids.alias("ids"), labels.alias("labels"))
 
 
 def optimizer_steps(blocks: Column, micro_batch: int, accumulation: int, epochs: int) -> Column:
@@ -77,11 +117,9 @@ def running_ids(rows: DataFrame, group: str, order: str, prefix: str, column: st
 
 
 def template(pattern: str, **parts: Column) -> Column:
-    """pattern with {name} replaced by columns."""
-    out = F.lit(pattern)
-    for name, c in parts.items():
-        out = F.replace(out, F.lit(f"{{{name}}}"), c)
-    return out
+    """pattern with {name} replaced by columns; what a column holds is left as it is."""
+    pieces = re.split(r"\{(" + "|".join(map(re.escape, parts)) + r")\}", pattern) if parts else [pattern]
+    return F.concat(*(parts[p] if i % 2 else F.lit(p) for i, p in enumerate(pieces)))
 
 
-__all__ = ["instruction_example", "labels", "optimizer_steps", "pack", "pack_stats", "running_ids", "starts", "target_tokens", "template", "words"]
+__all__ = ["instruction_example", "labels", "optimizer_steps", "pack", "pack_stats", "running_ids", "starts", "target_tokens", "template", "token_ids", "vocabulary", "words"]

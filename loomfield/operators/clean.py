@@ -71,7 +71,20 @@ def short_id(canonical_url: Column) -> Column:
     return F.substring(F.sha2(canonical_url, 256), 1, 16)
 
 
-def patched(rows: DataFrame, fixes: DataFrame, key: str, column: str) -> DataFrame:
-    """rows with column replaced where fixes(key, value) has the key."""
+def patched(rows: DataFrame, fixes: DataFrame, key: str, column: str, most: int = 1000) -> DataFrame:
+    """rows with column replaced where fixes(key, value) has the key.
+
+    Raises if a key of fixes isn't in rows or has several values, if a key is there twice in rows, or if a value of column is longer than most.
+    """
     f = fixes.select(F.col(key).alias("__k"), F.col("value").alias("__v"))
-    return rows.join(broadcast_if_small(f, 100_000), rows[key] == F.col("__k"), "left").withColumn(column, F.coalesce("__v", column)).drop("__k", "__v")
+    out = rows.join(broadcast_if_small(f, 100_000), rows[key] == F.col("__k"), "left").withColumn(column, F.coalesce("__v", column)).drop("__k", "__v")
+    checks = {
+        "fixes that no row has": f.join(rows.select(F.col(key).alias("__k")), "__k", "left_anti").select("__k"),
+        "keys with several fixes": f.groupBy("__k").count().where("count > 1").select("__k"),
+        "keys that are there twice": rows.groupBy(key).count().where("count > 1").select(key),
+        f"values of {column} over {most} characters": out.where(F.length(column) > most).select(key),
+    }
+    for what, bad in checks.items():
+        if some := [str(r[0]) for r in bad.limit(5).collect()]:
+            raise ValueError(f"{what}: {', '.join(some)}")
+    return out

@@ -6,7 +6,7 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -124,17 +124,31 @@ def extracted(pages: DataFrame) -> DataFrame:
     return text.withColumn("content_length", F.length("content"))
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, most_rounds: int = 10_000) -> DataFrame:
-    """(node, depth): what can be reached from seeds(node) over edges(src, dst), breadth first. Each round is stored and joins its frontier only."""
+def reachable(edges: DataFrame, seeds: DataFrame, cap: int | None = None) -> DataFrame:
+    """(seed, node, depth): what can be reached from each of seeds(seed, node) over edges(src, dst), breadth first.
+
+    cap: the most nodes of a seed. Where a depth has more than are left, those reached from the earliest nodes stay, by
+    order if edges has that column, then by node; the next depth goes on from them. Rounds go on until none finds a node.
+    Each is stored by itself and joins its frontier only; all rounds are united at the end.
+    """
     spark = edges.sparkSession
-    seen, at = materialize_at(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "reach")
-    for depth in range(1, most_rounds):
-        frontier = seen.where(F.col("depth") == depth - 1)
-        new = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
-        more, next_at = materialize_at(seen.unionByName(new.withColumn("depth", F.lit(depth))), "reach")
-        grown = more.where(F.col("depth") == depth).limit(1).count()
-        discard(spark, at)
-        seen, at = more, next_at
-        if not grown:
-            break
-    return seen
+    order = F.col("order") if "order" in edges.columns else F.col("dst")
+    new, at = materialize_at(seeds.groupBy("seed", "node").agg(F.lit(0).alias("depth"), F.lit(0).cast("long").alias("place")), "reach")
+    rounds, seen = [at], new
+    while True:
+        step = new.join(edges.select("src", "dst", order.alias("order")), F.col("node") == F.col("src"))
+        found = step.groupBy("seed", F.col("dst").alias("node")).agg(F.min(F.struct(F.col("place").alias("p"), F.col("order").alias("o"))).alias("first"))
+        found = found.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(len(rounds)))
+        if cap is None:
+            found = found.select("seed", "node", "depth", F.lit(0).cast("long").alias("place"))
+        else:
+            nth = F.row_number().over(Window.partitionBy("seed").orderBy("first", "node")).cast("long")
+            left = F.lit(cap) - F.coalesce("have", F.lit(0))
+            found = found.withColumn("place", nth).join(seen.groupBy("seed").agg(F.count("*").alias("have")), "seed", "left").where(F.col("place") <= left)
+            found = found.select("seed", "node", "depth", "place")
+        new, at = materialize_at(found, "reach")
+        if new.isEmpty():
+            discard(spark, at)
+            return seen.select("seed", "node", "depth")
+        rounds.append(at)
+        seen = spark.read.schema(new.schema).parquet(*rounds)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomfield.functions.urls import strip
-from loomfield.plans.shared import materialize
+from loomfield.plans.shared import materialize, spread
 
 
 def lines(docs: DataFrame, group: str) -> DataFrame:
@@ -39,7 +39,7 @@ def shingle_strings(text: Column, k: int = 8) -> Column:
 
 def shingle_table(docs: DataFrame, group: str, key: str, k: int = 8) -> DataFrame:
     """group, key, shingle hash, stored: later steps read it twice."""
-    return materialize(docs.select(group, key, F.explode(F.transform(shingle_strings(F.col("text"), k), lambda s: F.xxhash64(s))).alias("shingle")), "shingles")
+    return materialize(spread(docs.select(group, key, "text")).select(group, key, F.explode(F.transform(shingle_strings(F.col("text"), k), lambda s: F.xxhash64(s))).alias("shingle")), "shingles")
 
 
 def near_pairs(shingles: DataFrame, group: str, key: str, similarity: float = 0.3, containment: float = 0.6) -> DataFrame:

@@ -4,21 +4,24 @@ from __future__ import annotations
 
 import hashlib
 import random
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomfield.functions import text
 from loomfield.functions.urls import strip
-from loomfield.plans.shared import ship
+from loomfield.plans.shared import ship, spread
 
 #: Fixed values of the paired bootstrap.
 SEED, RESAMPLES = 20260815, 20_000
 #: Words of the generator drawn at once.
 DRAWS = 1 << 20
+#: Keywords sent to all tasks at once.
+KEYWORDS = 10_000
 
 
 def answer_metrics(answers: DataFrame, qa: DataFrame, normal: Callable[[Column], Column] = text.alnum) -> DataFrame:
@@ -61,21 +64,32 @@ def separate(wide: DataFrame) -> DataFrame:
     return wide.select("id", F.explode("answers").alias("model", "answer"))
 
 
-def lengths(values: DataFrame, group: str, value: str) -> DataFrame:
-    """Mean, interpolated median and floor-index 95th percentile."""
-    out = values.groupBy(group).agg(F.avg(value).alias("mean"), F.median(value).alias("median"), F.sort_array(F.collect_list(value)).alias("v"))
-    return out.select(group, "mean", "median", floor_percentile(F.col("v"), 95).alias("p95"))
+def at_ranks(values: DataFrame, value: str, by: tuple[str, ...], ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """by and, for each name in ranks, the value at a rank, from 1, which is a function of the number of values that aren't null.
 
+    Values are counted before they are sorted, and the sorted counts are summed as a stream, so no group is ever one array.
+    """
+    counts = values.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__m"))
+    own = Window.partitionBy(*by)
+    counts = counts.withColumns({"__to": F.sum("__m").over(own.orderBy(value)), "__n": F.sum("__m").over(own)})
+    return counts.groupBy(*by).agg(*(F.min(F.when(F.col("__to") >= rank(F.col("__n")), F.col(value))).alias(name) for name, rank in ranks.items()))
 
-def nearest_rank(ordered: Column, q: float) -> Column:
-    """Place ceil(q n) of an ascending array; null if it is empty."""
-    at = F.greatest(F.lit(1), F.least(F.ceil(F.lit(q) * F.size(ordered)).cast("int"), F.size(ordered)))
-    return F.when(F.size(ordered) > 0, F.get(ordered, at - 1))
 
+def nearest_rank_of(q: float) -> Callable[[Column], Column]:
+    """Rank ceil(q n), 1 at least."""
+    return lambda n: F.greatest(F.lit(1), F.ceil(F.lit(q) * n))
 
-def floor_percentile(ordered: Column, p: int) -> Column:
-    """Place floor(n p / 100), counted from 0, of an ascending array, the last at most."""
-    return F.get(ordered, F.least(F.floor(F.size(ordered) * p / F.lit(100)).cast("int"), F.size(ordered) - 1))
+
+def floor_rank_of(p: int) -> Callable[[Column], Column]:
+    """Rank floor(n p / 100) + 1, n at most."""
+    return lambda n: F.least(n, F.floor(n * p / F.lit(100)) + 1)
+
+
+def lengths(values: DataFrame, group: str, value: str) -> DataFrame:
+    """Mean, interpolated median and floor-index 95th percentile."""
+    out = values.groupBy(group).agg(F.avg(value).alias("mean"), F.median(value).alias("median"))
+    ranks = at_ranks(values, value, (group,), {"p95": floor_rank_of(95)}).withColumnRenamed(group, "__g")
+    return out.join(ranks, out[group].eqNullSafe(F.col("__g")), "left").drop("__g")
 
 
 def pearson(df: DataFrame, x: str, y: str, *by: str) -> DataFrame:
@@ -167,10 +181,10 @@ def blind_map(items: DataFrame, models: list[str], seed: int) -> DataFrame:
 
 
 def hashed_map(items: DataFrame, models: list[str], seed: int) -> DataFrame:
-    """Like blind_map with another permutation: models in the order of a digest of seed, id and model."""
+    """Like blind_map with another permutation: models in the order of a digest of seed, id and model. Letters, as there, are the characters from A on."""
     m = items.select("id", F.explode(F.array(*map(F.lit, models))).alias("model"))
     nth = F.row_number().over(Window.partitionBy("id").orderBy(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"), "model"), 256), "model"))
-    return m.select("id", F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), nth, F.lit(1)).alias("letter"), "model")
+    return m.select("id", F.chr((F.lit(64) + nth).cast("long")).alias("letter"), "model")
 
 
 def position_balance(mapping: DataFrame, models: list[str]) -> DataFrame:
@@ -222,17 +236,55 @@ def judge_problems(raw: Column, letters: list[str]) -> Column:
     return F.array_compact(F.array(*(F.when(c, n) for n, c in rules.items())))
 
 
+def occurrences_in(corpus: DataFrame, keywords: list[str]) -> DataFrame:
+    """k, n: occurrences of each keyword, from the left and without overlaps in a text, summed over all texts of corpus(text) that aren't null.
+
+    The stated keywords go to every task, which counts each in all texts of a batch at once, with a character between the texts that no keyword has.
+    """
+    used = set("".join(keywords))
+    mark = next(c for c in map(chr, range(0xE000, 0xF8FF)) if c not in used)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [0] * len(keywords)
+        for batch in batches:
+            texts = [t for t in batch.column(0).to_pylist() if t is not None]
+            whole = mark.join(texts)
+            for i, k in enumerate(keywords):
+                total[i] += whole.count(k) if k else sum(len(t) + 1 for t in texts)
+        yield pa.RecordBatch.from_arrays([pa.array(keywords, pa.string()), pa.array(total, pa.int64())], names=["k", "n"])
+
+    return spread(corpus.select("text")).mapInArrow(count, "k string, n long").groupBy("k").agg(F.sum("n").alias("n"))
+
+
 def exposure(items: DataFrame, corpus: DataFrame) -> DataFrame:
-    """id, min_occurrences, total_occurrences of items(id, keywords) in corpus(text): occurrences of each keyword summed over all texts."""
-    keywords = items.select(F.explode("keywords").alias("k")).distinct()
-    n = max(1, -(-keywords.count() // 2_000))
+    """id, min_occurrences, total_occurrences and log1p of both, of items(id, keywords) in corpus(text); items without keywords have no row."""
+    each = items.select("id", F.explode("keywords").alias("k"))
+    keywords = each.select("k").distinct()
+    n = max(1, -(-keywords.count() // KEYWORDS))
     counted = None
-    for i in range(n):  # a stated set of keywords against all texts, in parts
-        part = F.broadcast(keywords.where(F.pmod(F.xxhash64("k"), F.lit(n)) == i))
-        got = corpus.select("text").join(part, F.contains("text", F.col("k"))).groupBy("k").agg(F.sum(text.occurrences(F.col("text"), F.col("k"))).alias("n"))
+    for i in range(n):  # a stated set of keywords against all texts, in parts of bounded size
+        part = sorted(r.k for r in keywords.where((F.pmod(F.xxhash64("k"), F.lit(n)) == i) & F.col("k").isNotNull()).collect())
+        got = occurrences_in(corpus, part)
         counted = got if counted is None else counted.unionByName(got)
-    each = items.select("id", F.explode("keywords").alias("k")).join(counted, "k", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
-    return each.groupBy("id").agg(F.min("n").alias("min_occurrences"), F.sum("n").alias("total_occurrences"))
+    each = each.join(counted, "k", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
+    out = each.groupBy("id").agg(F.min("n").alias("min_occurrences"), F.sum("n").alias("total_occurrences"))
+    return out.withColumns({f"log_{c}": F.log1p(c) for c in ("min_occurrences", "total_occurrences")})
+
+
+def exposure_correlations(exposed: DataFrame, scores: DataFrame) -> DataFrame:
+    """count, n, r: Pearson of log1p of either count with score, of exposure() and scores(id, score)."""
+    both = exposed.join(scores.select("id", "score"), "id")
+    out = None
+    for c in ("min_occurrences", "total_occurrences"):
+        got = pearson(both, f"log_{c}", "score").withColumn("count", F.lit(c))
+        out = got if out is None else out.unionByName(got)
+    return out.select("count", "n", "r")
+
+
+def exposure_buckets(exposed: DataFrame, scores: DataFrame) -> DataFrame:
+    """bucket, items, base_mean, tuned_mean, delta of exposure() and scores(id, base, tuned)."""
+    both = exposed.join(scores, "id").withColumn("bucket", exposure_bucket(F.col("min_occurrences")))
+    return both.groupBy("bucket").agg(F.count("*").alias("items"), F.avg("base").alias("base_mean"), F.avg("tuned").alias("tuned_mean"), F.avg(F.col("tuned") - F.col("base")).alias("delta"))
 
 
 def exposure_bucket(n: Column) -> Column:
@@ -253,8 +305,13 @@ def throughput(steps: DataFrame, warm_up: int, *by: str) -> DataFrame:
 
 def timing(values: DataFrame, value: str, *by: str) -> DataFrame:
     """Count, mean, median and nearest-rank 95th percentile; null where there is no value."""
-    out = values.groupBy(*by).agg(F.count(value).alias("count"), F.avg(value).alias("mean_seconds"), F.median(value).alias("median_seconds"), F.sort_array(F.collect_list(value)).alias("v"))
-    return out.withColumn("p95_seconds", nearest_rank(F.col("v"), 0.95)).drop("v")
+    out = values.groupBy(*by).agg(F.count(value).alias("count"), F.avg(value).alias("mean_seconds"), F.median(value).alias("median_seconds"))
+    ranks = at_ranks(values, value, by, {"p95_seconds": nearest_rank_of(0.95)})
+    ranks = ranks.select(*(F.col(c).alias(f"__{c}") for c in by), "p95_seconds")
+    same = F.lit(True)
+    for c in by:
+        same = same & out[c].eqNullSafe(F.col(f"__{c}"))
+    return out.join(ranks, same, "left").drop(*(f"__{c}" for c in by))
 
 
 #: What two runs must share to be compared.

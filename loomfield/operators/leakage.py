@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomfield.functions import text
-from loomfield.plans.shared import materialize, ship
+from loomfield.plans.shared import materialize, ship, spread
 
 #: A similarity from here on is a breach.
 QUESTION_JACCARD, ANSWER_JACCARD, SEQUENCE = 0.35, 0.35, 0.80
@@ -21,30 +21,50 @@ def parts(evaluation: DataFrame, key: str = "eval_id") -> list[DataFrame]:
 
 
 def token_scores(rows: DataFrame, evaluation: DataFrame, least: float | None = None) -> DataFrame:
-    """row_id, eval_id, question_jaccard, answer_jaccard over word sets; pairs that share no word are left out where least is given.
+    """row_id, eval_id, question_jaccard, answer_jaccard over word sets; pairs below least on both sides are left out where it is given.
 
     rows(row_id, question, answer), evaluation(eval_id, question, answer). With a least similarity over 0 the pairs come
-    from an equi-join over shared words; otherwise every stated evaluation row is held against every row, in parts.
+    from prefix_pairs(); otherwise every stated evaluation row is held against every row, in parts.
     """
     x = rows.select("row_id", text.word_tokens(F.col("question")).alias("q"), text.word_tokens(F.col("answer")).alias("a"))
     y = evaluation.select("eval_id", text.word_tokens(F.col("question")).alias("eq"), text.word_tokens(F.col("answer")).alias("ea"))
     scored = lambda d: d.select("row_id", "eval_id", text.jaccard(F.col("q"), F.col("eq")).alias("question_jaccard"), text.jaccard(F.col("a"), F.col("ea")).alias("answer_jaccard"))
     if least:
-        shared = lambda d, c: d.select(d.columns[0], F.explode(c).alias("w"))
-        pairs = shared(x, "q").join(shared(y, "eq"), "w").select("row_id", "eval_id").union(shared(x, "a").join(shared(y, "ea"), "w").select("row_id", "eval_id")).distinct()
+        x, y = materialize(x, "leak-rows"), materialize(y, "leak-evaluation")
+        pairs = prefix_pairs(x, "row_id", "q", y, "eval_id", "eq", least).union(prefix_pairs(x, "row_id", "a", y, "eval_id", "ea", least)).distinct()
         both = scored(pairs.join(x, "row_id").join(y, "eval_id"))
         return both.where(f"question_jaccard >= {least} or answer_jaccard >= {least}")
-    out = None
+    out, x = None, spread(x)
     for part in parts(y):
         got = scored(x.join(F.broadcast(part)))
         out = got if out is None else out.unionByName(got)
     return out
 
 
+def prefix_pairs(x: DataFrame, a: str, xs: str, y: DataFrame, b: str, ys: str, least: float) -> DataFrame:
+    """Distinct (a, b): candidates that hold all pairs of sets xs and ys with a Jaccard similarity of least or more.
+
+    Sets in one order of elements, the rare ones first, that are that alike share one of their first
+    size - ceil(least * size) + 1 elements, and differ in size by that factor at most. So only those elements are joined,
+    and an element that is in every set is in few prefixes.
+    """
+    every = x.select(F.explode(xs).alias("w")).unionByName(y.select(F.explode(ys).alias("w")))
+    often = materialize(every.groupBy("w").agg(F.count("*").alias("m")), "leak-words")
+
+    def prefixes(d: DataFrame, key: str, c: str, n: str) -> DataFrame:
+        each = d.select(key, F.size(c).alias(n), F.explode(c).alias("w")).join(often, "w")
+        ordered = each.groupBy(key, n).agg(F.array_sort(F.collect_list(F.struct("m", "w"))).alias("o"))
+        kept = F.slice("o", F.lit(1), (F.col(n) - F.ceil(F.col(n) * least - 1e-9) + 1).cast("int"))
+        return ordered.select(key, n, F.explode(kept).alias("e")).select(key, n, "e.w")
+
+    left, right = prefixes(x, a, xs, "nx"), prefixes(y, b, ys, "ny")
+    return left.join(right, "w").where(f"nx >= {least} * ny - 1e-9 and ny >= {least} * nx - 1e-9").select(a, b).distinct()
+
+
 def all_scores(rows: DataFrame, evaluation: DataFrame) -> DataFrame:
     """row_id, eval_id, position and the four METRICS; sequence ratios of texts in lower case."""
     ship(rows.sparkSession)
-    out = None
+    out, rows = None, spread(rows)
     for part in parts(evaluation):
         pairs = rows.join(F.broadcast(part.select("eval_id", F.col("position"), F.col("question").alias("eq"), F.col("answer").alias("ea"))))
         low = [F.lower(c) for c in ("question", "eq", "answer", "ea")]
@@ -70,7 +90,10 @@ def firsts(scores: DataFrame, metric: str) -> DataFrame:
 
 
 def audit(scores: DataFrame, related: DataFrame | None = None) -> DataFrame:
-    """Per row the nearest evaluation row by the mean of METRICS, each metric's greatest value and where, breaches, and whether it passes."""
+    """Per row the nearest evaluation row by the mean of METRICS, each metric's greatest value and where, breaches, and whether it passes.
+
+    checked tells whether any evaluation row is left that isn't declared related; a row that can't be checked doesn't pass.
+    """
     scores = materialize(scores, "leakage")
     mean = sum((F.col(m) for m in METRICS), F.lit(0.0)) / len(METRICS)
     nearest = firsts(scores.withColumn("combined", mean), "combined").select("row_id", F.col("combined_eval_id").alias("nearest_eval_id"))
@@ -83,7 +106,13 @@ def audit(scores: DataFrame, related: DataFrame | None = None) -> DataFrame:
     breaches = own.withColumn("metrics", breached).where("size(metrics) > 0").groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("position", "eval_id", "metrics"))).alias("b"))
     out = out.join(breaches, "row_id", "left")
     listed = F.coalesce(F.transform("b", lambda s: F.struct(s["eval_id"].alias("eval_id"), s["metrics"].alias("metrics"))), F.array().cast("array<struct<eval_id:string,metrics:array<string>>>"))
-    return out.withColumn("breaches", listed).withColumn("passed", F.size("breaches") == 0).drop("b")
+    out = out.withColumn("breaches", listed).withColumn("checked", F.col(f"{METRICS[0]}_eval_id").isNotNull())
+    return out.withColumn("passed", F.col("checked") & (F.size("breaches") == 0)).drop("b")
+
+
+def unchecked(audited: DataFrame) -> DataFrame:
+    """Violations (rule, row_id, detail): rows whose evaluation rows are all declared related, so that nothing tells whether they leak."""
+    return audited.where("not checked").select(F.lit("no_independent_evaluation_row").alias("rule"), F.col("row_id").cast("string").alias("row_id"), F.lit("").alias("detail"))
 
 
 def exact_matches(rows: DataFrame, evaluation: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomfield.functions import text
@@ -24,29 +25,40 @@ def hash_split(docs: DataFrame, seed: int = 42, ratio: float = 0.25) -> DataFram
 
     A source with fewer than two candidates has none. Wants seed_name, canonical_url, qa_source.
     """
-    own = Window.partitionBy("seed_name", "qa_source")
-    by = own.orderBy("fraction", "canonical_url")
+    by = ["seed_name", "qa_source"]
     out = docs.withColumn("fraction", text.stable_fraction(text.source_seed(seed, F.col("seed_name")), F.col("canonical_url")))
-    out = out.withColumns({"__low": F.col("fraction") < ratio, "__n": F.count("*").over(own), "__nth": F.row_number().over(by)})
-    out = out.withColumn("__lows", F.sum(F.col("__low").cast("int")).over(own))
-    low = F.when(F.col("__lows") == 0, F.col("__nth") == 1).when(F.col("__lows") == F.col("__n"), F.col("__nth") < F.col("__n")).otherwise(F.col("__low"))
-    return out.withColumn("initial_test", ~F.col("qa_source") & (F.col("__n") >= 2) & low).drop("__low", "__n", "__nth", "__lows")
+    place, low = F.struct("fraction", "canonical_url"), F.col("fraction") < ratio
+    found = out.groupBy(*by).agg(F.count("*").alias("__n"), F.sum(low.cast("long")).alias("__lows"), F.min(place).alias("__first"), F.max(place).alias("__last"))
+    found = found.select(*(F.col(c).alias(f"__{c}") for c in by), "__n", "__lows", "__first", "__last")
+    out = out.join(broadcast_if_small(found, 100_000), out["seed_name"].eqNullSafe(F.col("__seed_name")) & out["qa_source"].eqNullSafe(F.col("__qa_source")))
+    low = F.when(F.col("__lows") == 0, place == F.col("__first")).when(F.col("__lows") == F.col("__n"), place != F.col("__last")).otherwise(low)
+    return out.withColumn("initial_test", ~F.col("qa_source") & (F.col("__n") >= 2) & low).drop("__n", "__lows", "__first", "__last", "__seed_name", "__qa_source")
+
+
+def _nearest(sorted_: list[tuple[int, int]], size: int) -> tuple[int, int, int] | None:
+    """(distance, place, size) of the entry (size, place) whose size is nearest to size; the lesser place wins ties."""
+    at = bisect_left(sorted_, (size, -1))
+    found = [(sorted_[at][0] - size, sorted_[at][1], sorted_[at][0])] if at < len(sorted_) else []
+    if at:
+        below = sorted_[at - 1][0]
+        found.append((size - below, sorted_[bisect_left(sorted_, (below, -1))][1], below))
+    return min(found, default=None)
 
 
 def _towards(target: int, urls: list[str], tokens: list[int], test: set[int]) -> set[int]:
-    """Moves the one document that brings the total nearest to target, as long as one does. Rows are in the order that wins ties."""
+    """Moves the one document that brings the total nearest to target, as long as one does. Rows are in the order of their URLs, which wins ties."""
     total = sum(tokens[i] for i in test)
+    inside, outside = (sorted((tokens[i], i) for i in range(len(urls)) if (i in test) == there) for there in (True, False))
     while True:
-        if total < target:
-            moves = [(abs(target - total - tokens[i]), k, i) for k, i in enumerate(range(len(urls))) if i not in test]
-        else:
-            moves = [(abs(target - total + tokens[i]), k, i) for k, i in enumerate(sorted(test, key=urls.__getitem__))] if len(test) > 1 else []
-        best = min(moves, default=None)
-        if best is None or best[0] >= abs(target - total):
-            return test
-        i = best[2]
-        total += -tokens[i] if i in test else tokens[i]
-        test ^= {i}
+        gap = target - total
+        best = _nearest(outside, gap) if gap > 0 else _nearest(inside, -gap) if len(inside) > 1 else None
+        if best is None or best[0] >= abs(gap):
+            return {i for _, i in inside}
+        _, i, size = best
+        old, new = (outside, inside) if gap > 0 else (inside, outside)
+        del old[bisect_left(old, (size, i))]
+        insort(new, (size, i))
+        total += size if gap > 0 else -size
 
 
 def _repair(ratio: float) -> Callable[[pd.DataFrame], pd.DataFrame]:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomfield.functions import text, urls
 from loomfield.operators import blocks, clean, crawl, duplication, evaluation, leakage, split, verify
-from loomfield.plans import derived
+from loomfield.plans import derived, reports
 from loomfield.plans.derived import ANSWERS, CORPUS, JUDGES, MODELS, QA, RAW, SCORES, table, with_
+from loomfield.plans.shared import new_path, spread
+from loomfield.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -39,7 +43,112 @@ _COLLAPSE = lambda c: f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"  # noqa: E7
 _FRACTION = lambda v: f"CAST(CAST('0x' || substr(sha256({v}), 1, 16) AS UBIGINT) AS DOUBLE) / 18446744073709551616.0::DOUBLE"
 
 
-# Sources, sinks, digests
+# Sources, sinks, digests: written to the shared folder and read back
+
+_DOCS = "doc_id long, lang string, source string, text string"
+
+
+def _lines(spark, d):
+    """Documents as JSON lines; the folder that holds them."""
+    at = new_path(spark, "lines")
+    tables.write_jsonl(table(spark, d, "documents").select("doc_id", "lang", "source", "text"), at)
+    return at
+
+
+@query("SELECT doc_id, lang, source, sha256(text) AS text_sha256 FROM documents")
+def s1_s8_json_lines(spark, d):
+    return tables.read_jsonl(spark, _lines(spark, d), _DOCS).select("doc_id", "lang", "source", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("SELECT doc_id, lang FROM documents")
+def s2_permissive_json_lines(spark, d):
+    """Documents, and nothing from a folder that isn't there."""
+    there, absent = (tables.read_jsonl_if_any(spark, at, _DOCS) for at in (_lines(spark, d), new_path(spark, "absent")))
+    return there.unionByName(absent).select("doc_id", "lang")
+
+
+@query("SELECT doc_id, source, length(text) AS n FROM documents")
+def s3_s4_required_fields(spark, d):
+    return tables.read_jsonl_some(spark, _lines(spark, d), _DOCS, ("doc_id", "source", "text")).select("doc_id", "source", F.length("text").cast("long").alias("n"))
+
+
+@query("SELECT CAST(item_id AS VARCHAR) AS instruction, '' AS input, text AS output FROM benchmark")
+def s5_exact_keys(spark, d):
+    b, at = table(spark, d, "benchmark"), new_path(spark, "keys")
+    tables.write_jsonl(b.select(F.col("item_id").cast("string").alias("instruction"), F.lit("").alias("input"), F.col("text").alias("output")), at)
+    return tables.read_jsonl_keys(spark, at, ("instruction", "input", "output"), b.count(), ("input",))
+
+
+@query("SELECT n_nationkey AS key, n_name AS name, 'nations' AS kind FROM nation")
+def s6_json_document(spark, d):
+    """One nested document over several lines."""
+    rows = [r.asDict() for r in table(spark, d, "nation").select("n_nationkey", "n_name").collect()]  # a table of fixed size
+    at = new_path(spark, "config") + ".json"
+    tables.write_text(spark, json.dumps({"kind": "nations", "rows": rows}, indent=1), at)
+    return tables.read_json(spark, at).select("kind", F.explode("rows").alias("r")).select(F.col("r.n_nationkey").cast("int").alias("key"), F.col("r.n_name").alias("name"), "kind")
+
+
+@query("SELECT item_id, CASE WHEN len(w) < 16 THEN len(w) ELSE 16 END AS used FROM (SELECT item_id, regexp_extract_all(text, '\\S+') AS w FROM benchmark)")
+def s7_stored_blocks(spark, d):
+    """Blocks of 16 places, one for the first words of each item, stored and scanned."""
+    at, n = new_path(spark, "blocks"), F.least(F.size("w"), F.lit(16))
+    b = table(spark, d, "benchmark").withColumn("w", F.transform(blocks.words(F.col("text")), F.length))
+    ids, mask = (F.concat(F.slice(x, F.lit(1), n), F.array_repeat(F.lit(pad), 16 - n)) for x, pad in ((F.col("w"), 0), (F.transform("w", lambda _: F.lit(True)), False)))
+    b.select("item_id", ids.alias("input_ids"), mask.alias("attention_mask")).write.parquet(at)
+    return tables.read_blocks(spark, at, 16).select("item_id", F.size(F.filter("attention_mask", lambda m: m)).cast("long").alias("used"))
+
+
+@query("SELECT 'whole' AS state, 2 AS lines, sha256('two' || chr(10) || 'lines') AS text_sha256")
+def s9_replaced_text(spark, d):
+    """A text file that is written and then replaced by a longer one, and its digest from the file."""
+    at = new_path(spark, "text") + ".txt"
+    for t in ("one", "two\nlines"):
+        tables.write_text(spark, t, at)
+    digest = tables.file_digests(spark, at).select("sha256")
+    return spark.read.text(at).agg(F.count("*").cast("int").alias("lines")).join(digest).select(F.lit("whole").alias("state"), "lines", F.col("sha256").alias("text_sha256"))
+
+
+@query(with_(CORPUS) + " SELECT CASE WHEN doc_id % 4 = 1 THEN 'test' ELSE 'train' END AS split, canonical_url, CAST(token_count AS VARCHAR) AS token_count FROM corpus")
+def s10_manifest(spark, d):
+    at = new_path(spark, "manifest")
+    tables.write_manifest(_half(spark, d).select("split", "canonical_url", "token_count"), at)
+    return spark.read.csv(at, header=True)
+
+
+@query("SELECT unnest(['refused', 'replaced']) AS outcome, unnest([1, 2]) AS rows")
+def s11_guarded_output(spark, d):
+    """An output that is there is refused, and replaced only where that is asked for."""
+    at = new_path(spark, "guarded")
+    tables.write_jsonl(spark.range(1), at)
+    try:
+        tables.guard(spark, [at])
+        first = "written"
+    except FileExistsError:
+        first = "refused"
+    before = spark.read.json(at).count()
+    tables.guard(spark, [at], overwrite=True)
+    tables.write_jsonl(spark.range(2), at, overwrite=True)
+    return tables.literal(spark, [(first, before), ("replaced", spark.read.json(at).count())], "outcome string, rows int")
+
+
+@query("""SELECT unnest(['# Nations', '', '## Rows', '', '| n_name | n_regionkey |', '| --- | ---: |']) AS value UNION ALL SELECT '| ' || n_name || ' | ' || CAST(n_regionkey AS VARCHAR) || ' |' FROM nation""")
+def s13_report(spark, d):
+    at = new_path(spark, "report") + ".md"
+    tables.write_text(spark, reports.report("Nations", {"Rows": table(spark, d, "nation").select("n_name", "n_regionkey")}), at)
+    return spark.read.text(at)
+
+
+@query("SELECT unnest(" + "[" + ", ".join(f"'{t}'" for t in text.DENIED_TERMS) + "]) AS name, 'denied_terms' AS rule_set UNION ALL SELECT unnest(" + "[" + ", ".join(f"'{t}'" for t in text.DENIED_OUTPUTS) + "]), 'denied_outputs'")
+def s15_rule_tables(spark, d):
+    return tables.rules(spark).where("rule_set <> 'overclaims'").select("name", "rule_set")
+
+
+@query("SELECT lang, doc_id, source FROM documents")
+def s16_partitioned_write(spark, d):
+    """A folder for each language, read as one table."""
+    at = new_path(spark, "by")
+    tables.write_by(table(spark, d, "documents").select("doc_id", "source", "lang"), "lang", at)
+    return spark.read.schema("doc_id long, source string, lang string").json(at).select("lang", "doc_id", "source")
 
 
 @query("SELECT doc_id, sha256(text) AS text_sha256, sha1(text) AS text_sha1 FROM documents")
@@ -60,12 +169,12 @@ def u1_crawl_url(spark, d):
     return table(spark, d, "pages").select("page_id", urls.crawl_url(F.col("url")).alias("crawl_url"))
 
 
-@query(f"""SELECT page_id, url FROM pages WHERE lower({_part(1)}) IN ('http', 'https') AND {_part(2)} IN (SELECT {_part(2)} FROM pages WHERE page_id < 40)
+#: Hosts that the allow-list of u2 names.
+_HOSTS = ["blog.tionsh.example.net", "thther.example.org", "blog.ththan.example.net", "blog.tiontion.example.com", "m.ththth.example.net", "www.ththhe.example.com", "ththed.example.org"]
+@query(f"""SELECT page_id, url FROM pages WHERE lower({_part(1)}) IN ('http', 'https') AND {_part(2)} IN ({", ".join(f"'{h}'" for h in _HOSTS)})
   AND NOT regexp_matches(lower({_PATH('url')}), '\\.({"|".join(urls.ASSETS)})$') AND (starts_with({_PATH('url')}, '/en') OR starts_with({_PATH('url')}, '/de'))""")
 def u2_allowed_urls(spark, d):
-    pages = table(spark, d, "pages")
-    hosts = [r.h for r in pages.where("page_id < 40").select(urls.authority(F.col("url")).alias("h")).distinct().collect()]
-    return pages.where(urls.is_allowed(F.col("url"), hosts, ["/en", "/de"])).select("page_id", "url")
+    return table(spark, d, "pages").where(urls.is_allowed(F.col("url"), _HOSTS, ["/en", "/de"])).select("page_id", "url")
 
 
 _HREF = r"""(?i)<a\s[^>]*?href\s*=\s*"([^"]*)\""""
@@ -94,14 +203,27 @@ def u4_markdown_links(spark, d):
     return table(spark, d, "pages").select("page_id", F.explode(crawl.markdown_links(t, F.col("url"))).alias("link"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT c_custkey AS src, c_custkey * 7 % 1501 AS dst FROM customer UNION ALL SELECT c_custkey, c_custkey + 40 FROM customer WHERE c_custkey % 3 = 0),
-r(node, depth) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT e.dst, depth + 1 FROM r JOIN e ON e.src = r.node WHERE depth < 60)
-SELECT CAST(node AS BIGINT) AS node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY node""")
-def u5_reachable(spark, d):
+def _edges(spark, d):
     c = table(spark, d, "customer")
     k = F.col("c_custkey")
-    edges = c.select(k.alias("src"), (k * 7 % 1501).alias("dst")).unionByName(c.where(k % 3 == 0).select(k.alias("src"), (k + 40).alias("dst")))
-    return crawl.reachable(edges, spark.range(1, 2).toDF("node"))
+    return c.select(k.alias("src"), (k * 7 % 1501).alias("dst")).unionByName(c.where(k % 3 == 0).select(k.alias("src"), (k + 40).alias("dst")))
+
+
+def _seeds(spark):
+    return tables.literal(spark, [("one", 1), ("five", 5)], "seed string, node long")
+
+
+@query("""WITH RECURSIVE e AS (SELECT c_custkey AS src, c_custkey * 7 % 1501 AS dst FROM customer UNION ALL SELECT c_custkey, c_custkey + 40 FROM customer WHERE c_custkey % 3 = 0),
+r(seed, node, depth) AS (SELECT unnest(['one', 'five']), CAST(unnest([1, 5]) AS BIGINT), 0 UNION SELECT seed, e.dst, depth + 1 FROM r JOIN e ON e.src = r.node WHERE depth < 300)
+SELECT seed, CAST(node AS BIGINT) AS node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY seed, node""")
+def u5_reachable(spark, d):
+    return crawl.reachable(_edges(spark, d), _seeds(spark))
+
+
+@query()
+def u5_capped(spark, d):
+    """At most 300 nodes of a seed, the cap of a crawl."""
+    return crawl.reachable(_edges(spark, d), _seeds(spark), 300)
 
 
 @query("""SELECT page_id, coalesce(nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', '', 'g')), ''),
@@ -368,9 +490,10 @@ def a5_length_stats(spark, d):
     return n.agg(F.lit("all").alias("what"), F.coalesce(F.min("n"), F.lit(0)).alias("least"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("mean"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).join(top)
 
 
-@query("SELECT question, count(*) AS n FROM (SELECT substr(text, 1, 4) AS question FROM conversations) GROUP BY 1 HAVING count(*) > 1 ORDER BY n DESC, question LIMIT 10")
+@query("SELECT sha256(question) AS question_sha256, n FROM (SELECT text AS question, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1 ORDER BY n DESC, question LIMIT 10)")
 def a6_duplicate_questions(spark, d):
-    return evaluation.duplicate_questions(table(spark, d, "conversations").select(F.substring("text", 1, 4).alias("question")))
+    """Whole texts of documents stand for questions, since no turn is there twice."""
+    return evaluation.duplicate_questions(table(spark, d, "documents").select(F.col("text").alias("question"))).select(F.sha2("question", 256).alias("question_sha256"), "n")
 
 
 _ALNUM = lambda c: f"array_to_string(regexp_extract_all(lower({c}), '[a-z0-9]+'), ' ')"
@@ -506,8 +629,14 @@ def a22_output_lengths(spark, d):
   v[least(CAST(floor(len(v) * 50 / 100.0) AS BIGINT), len(v) - 1) + 1] AS floor_index, list_median(v) AS median FROM v""")
 def p1_p2_p3_percentiles(spark, d):
     e = table(spark, d, "events").where("value is not null").select("event_type", F.round(F.col("value") * 4).cast("long").alias("v"))
-    out = e.groupBy("event_type").agg(F.sort_array(F.collect_list("v")).alias("o"), F.median("v").alias("median"))
-    return out.select("event_type", evaluation.nearest_rank(F.col("o"), 0.5).alias("nearest_rank"), evaluation.floor_percentile(F.col("o"), 50).alias("floor_index"), "median")
+    ranks = evaluation.at_ranks(e, "v", ("event_type",), {"nearest_rank": evaluation.nearest_rank_of(0.5), "floor_index": evaluation.floor_rank_of(50)})
+    return ranks.join(e.groupBy("event_type").agg(F.median("v").alias("median")), "event_type")
+
+
+@query("SELECT o_orderkey, CAST(printf('%.2f', o_totalprice / 7) AS DOUBLE) AS rounded FROM orders")
+def p9_rounded(spark, d):
+    """Half to even on the exact binary value."""
+    return table(spark, d, "orders").select("o_orderkey", text.rounded(F.col("o_totalprice") / 7, 2).alias("rounded"))
 
 
 @query(with_(SCORES) + """ SELECT n, round(r, 9) AS r FROM (SELECT count(*) AS n, corr(CAST(a.score AS DOUBLE), CAST(b.score AS DOUBLE)) AS r FROM scores a JOIN scores b ON a.id = b.id AND a.model = b.model AND a.judge = 'first' AND b.judge = 'second')""")
@@ -546,13 +675,37 @@ def p7_concordance(spark, d):
 _ITEMS = "items AS (SELECT item_id AS id, list_distinct(regexp_extract_all(text, '[a-z]{3,}')[1:3]) AS keywords FROM benchmark)"
 
 
-@query("WITH " + _ITEMS + """, k AS (SELECT DISTINCT unnest(keywords) AS k FROM items), n AS (SELECT k, CAST(sum((length(text) - length(replace(text, k, ''))) / length(k)) AS BIGINT) AS n FROM documents, k WHERE contains(text, k) GROUP BY k),
-e AS (SELECT id, unnest(keywords) AS k FROM items), m AS (SELECT id, min(coalesce(n, 0)) AS min_occurrences, CAST(sum(coalesce(n, 0)) AS BIGINT) AS total_occurrences FROM e LEFT JOIN n USING (k) GROUP BY id)
-SELECT *, CASE WHEN min_occurrences = 0 THEN '0' WHEN min_occurrences < 5 THEN '1-4' WHEN min_occurrences < 20 THEN '5-19' ELSE '20+' END AS bucket FROM m""")
-def p8_exposure(spark, d):
+_COUNTS = """k AS (SELECT DISTINCT unnest(keywords) AS k FROM items), n AS (SELECT k, CAST(sum((length(text) - length(replace(text, k, ''))) / length(k)) AS BIGINT) AS n FROM documents, k WHERE contains(text, k) GROUP BY k),
+e AS (SELECT id, unnest(keywords) AS k FROM items), m AS (SELECT id, min(coalesce(n, 0)) AS min_occurrences, CAST(sum(coalesce(n, 0)) AS BIGINT) AS total_occurrences FROM e LEFT JOIN n USING (k) GROUP BY id),
+b AS (SELECT *, CASE WHEN min_occurrences = 0 THEN '0' WHEN min_occurrences < 5 THEN '1-4' WHEN min_occurrences < 20 THEN '5-19' ELSE '20+' END AS bucket FROM m),
+sc AS (SELECT id, max(CASE WHEN model = 'base' THEN score END) AS base, max(CASE WHEN model = 'tuned' THEN score END) AS tuned FROM scores WHERE judge = 'first' GROUP BY id)"""
+
+
+def _exposed(spark, d):
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.array_distinct(F.slice(F.regexp_extract_all("text", F.lit("[a-z]{3,}"), F.lit(0)), 1, 3)).alias("keywords"))
-    out = evaluation.exposure(items, table(spark, d, "documents"))
-    return out.withColumn("bucket", evaluation.exposure_bucket(F.col("min_occurrences")))
+    return evaluation.exposure(items, table(spark, d, "documents"))
+
+
+def _item_scores(spark, d):
+    s = derived.judge_scores(spark, d).where("judge = 'first'")
+    return s.groupBy("id").agg(*(F.max(F.when(F.col("model") == m, F.col("score"))).alias(m) for m in ("base", "tuned")))
+
+
+@query(with_(SCORES, _ITEMS, _COUNTS) + " SELECT *, round(ln(1 + min_occurrences), 9) AS log_min_occurrences, round(ln(1 + total_occurrences), 9) AS log_total_occurrences FROM b")
+def p8_exposure(spark, d):
+    out = _exposed(spark, d).withColumn("bucket", evaluation.exposure_bucket(F.col("min_occurrences")))
+    return out.withColumns({c: F.round(c, 9) for c in ("log_min_occurrences", "log_total_occurrences")})
+
+
+@query(with_(SCORES, _ITEMS, _COUNTS) + """ SELECT unnest(['min_occurrences', 'total_occurrences']) AS count, n, round(unnest([a, z]), 9) AS r
+  FROM (SELECT count(*) AS n, corr(ln(1 + min_occurrences), CAST(tuned AS DOUBLE)) AS a, corr(ln(1 + total_occurrences), CAST(tuned AS DOUBLE)) AS z FROM b JOIN sc USING (id))""")
+def p8_correlations(spark, d):
+    return evaluation.exposure_correlations(_exposed(spark, d), _item_scores(spark, d).select("id", F.col("tuned").alias("score"))).withColumn("r", F.round("r", 9))
+
+
+@query(with_(SCORES, _ITEMS, _COUNTS) + " SELECT bucket, count(*) AS items, avg(base) AS base_mean, avg(tuned) AS tuned_mean, avg(tuned - base) AS delta FROM b JOIN sc USING (id) GROUP BY bucket")
+def p8_buckets(spark, d):
+    return evaluation.exposure_buckets(_exposed(spark, d), _item_scores(spark, d))
 
 
 # Hashing and splitting
@@ -620,6 +773,17 @@ def k1_word_counts(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(blocks.words(F.col("text"))).alias("token_count"))
 
 
+@query()
+def k1_token_ids(spark, d):
+    """Numbers of ids by a public vocabulary, where one is installed; else of words."""
+    try:
+        from public_tokenizers import path
+    except ImportError:
+        return k1_word_counts(spark, d)
+    ids = blocks.token_ids(F.col("text"), blocks.vocabulary(path("word_bpe_49k.json")))
+    return table(spark, d, "documents").select("doc_id", F.size(ids).alias("token_count"))
+
+
 _STREAM = """st AS (SELECT doc_id, canonical_url, split, token_count AS n, ('0x' || substr(sha256('42|' || split || '|' || canonical_url), 1, 15))::BIGINT AS key FROM s)"""
 
 
@@ -646,7 +810,7 @@ def k3_pack_stats(spark, d):
     return blocks.pack_stats(_half(spark, d).select("split", F.col("token_count").alias("n")), 256)
 
 
-_IDS = "x AS (SELECT doc_id, list_transform(regexp_extract_all(text, '\\S+')[1:16], lambda w: CAST(length(w) AS INTEGER)) AS ids FROM documents)"
+_IDS = "x AS (SELECT doc_id, list_transform(regexp_extract_all(text, '\\S+'), lambda w: CAST(length(w) AS INTEGER)) AS ids FROM documents)"
 
 
 @query("WITH " + _IDS + " SELECT doc_id, list_transform(ids, lambda i: CASE WHEN i > 3 THEN i ELSE -100 END) AS labels, CAST(len(list_filter(ids[2:], lambda i: i > 3)) AS INTEGER) AS target_tokens FROM x")
@@ -657,10 +821,11 @@ def k4_labels(spark, d):
 
 
 @query(with_(QA) + """, t AS (SELECT id, list_transform(regexp_extract_all(question, '\\S+'), lambda w: CAST(length(w) AS INTEGER)) AS p, list_transform(regexp_extract_all(answer, '\\S+'), lambda w: CAST(length(w) AS INTEGER)) AS a FROM qa)
-  SELECT id, list_concat(p, a, [0])[1:64] AS ids, list_transform(range(1, least(64, len(p) + len(a) + 1) + 1), lambda i: CASE WHEN i <= len(p) THEN -100 ELSE list_concat(p, a, [0])[i] END) AS labels FROM t""")
+  SELECT id, list_concat(p, a, [0])[1:256] AS ids, list_transform(range(1, least(256, len(p) + len(a) + 1) + 1), lambda i: CASE WHEN i <= len(p) THEN -100 ELSE list_concat(p, a, [0])[i] END) AS labels FROM t WHERE len(p) < 256""")
 def k5_instruction_examples(spark, d):
     ids = lambda c: F.transform(blocks.words(F.col(c)), F.length)
-    return derived.qa(spark, d).select("id", blocks.instruction_example(ids("question"), ids("answer"), 0, 64).alias("x")).select("id", "x.ids", "x.labels")
+    fit = derived.qa(spark, d).where(F.size(ids("question")) < 256)  # a longer one would fail the job
+    return fit.select("id", blocks.instruction_example(ids("question"), ids("answer"), 0, 256).alias("x")).select("id", "x.ids", "x.labels")
 
 
 @query("SELECT p_partkey, CAST(floor(p_size / 6.0) AS BIGINT) * 3 AS steps FROM part")
@@ -700,12 +865,12 @@ def n2_alnum(spark, d):
 _SET = lambda c, p: f"list_distinct(regexp_extract_all(lower({c}), '{p}'))"
 
 
-@query(f"""WITH p AS (SELECT conv_id, turn, {_SET('text', '[a-z0-9]+')} AS a FROM conversations), q AS (SELECT item_id, {_SET('text', '[a-z0-9]+')} AS b FROM benchmark WHERE item_id < 20),
+@query(f"""WITH p AS (SELECT conv_id, turn, {_SET('text', '[a-z0-9]+')} AS a FROM conversations), q AS (SELECT item_id, {_SET('text', '[a-z0-9]+')} AS b FROM benchmark),
 j AS (SELECT conv_id, turn, item_id, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0::DOUBLE ELSE CAST(len(list_intersect(a, b)) AS DOUBLE) / (len(a) + len(b) - len(list_intersect(a, b))) END AS jaccard FROM p, q)
 SELECT conv_id, turn, max(jaccard) AS best FROM j GROUP BY ALL""")
 def n4_jaccard(spark, d):
     """Every turn's greatest token similarity to any benchmark item."""
-    a = table(spark, d, "conversations").select("conv_id", "turn", text.alnum_tokens(F.col("text")).alias("a"))
+    a = spread(table(spark, d, "conversations").select("conv_id", "turn", text.alnum_tokens(F.col("text")).alias("a")))
     out = None
     for part in leakage.parts(table(spark, d, "benchmark").select("item_id", text.alnum_tokens(F.col("text")).alias("b")), "item_id"):
         got = a.join(F.broadcast(part)).groupBy("conv_id", "turn").agg(F.max(text.jaccard(F.col("a"), F.col("b"))).alias("best"))
@@ -721,7 +886,7 @@ def n5_sequence_ratio(spark, d):
     return q.select("id", text.sequence_ratio("a", "b").alias("ratio"), text.sequence_ratio_plain("a", "b").alias("plain_ratio"), text.sequence_bound(F.col("a"), F.col("b")).alias("bound"))
 
 
-@query("WITH t AS (SELECT doc_id, replace(substr(text, 1, 300), ' th', ' `th') AS t FROM documents) SELECT doc_id, regexp_extract_all(t, '`([^`]+)`', 1) AS spans FROM t")
+@query("WITH t AS (SELECT doc_id, replace(text, ' th', ' `th') AS t FROM documents) SELECT doc_id, regexp_extract_all(t, '`([^`]+)`', 1) AS spans FROM t")
 def n6_code_spans(spark, d):
     t = F.replace("text", F.lit(" th"), F.lit(" `th"))
     return table(spark, d, "documents").select("doc_id", text.code_spans(t).alias("spans"))
@@ -757,7 +922,23 @@ def n10_excerpts(spark, d):
 
 @query(with_(QA) + " SELECT id, len(list_filter(keywords, lambda k: NOT contains(lower(question || ' ' || answer), lower(k)))) = 0 AS holds FROM qa")
 def n11_required_tokens(spark, d):
-    return derived.qa(spark, d).select("id", text.holds_all(F.lower(F.concat_ws(" ", "question", "answer")), F.col("keywords")).alias("holds"))
+    return derived.qa(spark, d).select("id", text.holds_all(F.concat_ws(" ", "question", "answer"), F.col("keywords")).alias("holds"))
+
+
+@query()
+def n10_n11_n13_folded(spark, d):
+    """The forms that fold case: excerpts, required tokens, and the rules for an added sentence, each answer being added to its question."""
+    q = derived.qa(spark, d)
+    whole = F.concat_ws(" ", "question", "answer")
+    found = q.select("id", text.excerpt(F.col("answer"), F.col("keywords"), 400, exact=True).alias("excerpt"), text.holds_all(whole, F.col("keywords"), exact=True).alias("holds"), text.addition_violations(F.col("answer"), F.col("question")).alias("violations"))
+    return found
+
+
+@query(with_(QA) + """ SELECT id, list_filter([CASE WHEN NOT length(question) + 1 + length(answer) BETWEEN 100 AND 300 THEN 'combined_length' END, CASE WHEN regexp_matches(answer, '\n|Question:|Answer:') THEN 'continuation' END, CASE WHEN NOT length(answer) BETWEEN 45 AND 180 THEN 'length' END,
+  CASE WHEN NOT regexp_matches(answer, '[.!?]\n?$') THEN 'no_end_mark' END, CASE WHEN regexp_matches(answer, '(?i)""" + "|".join(text.OVERCLAIMS) + """') THEN 'overclaim' END, CASE WHEN contains(lower(question), lower(answer)) OR contains(lower(answer), lower(question)) THEN 'repeats' END], lambda x: x IS NOT NULL) AS violations FROM qa""")
+def n13_added_sentences(spark, d):
+    """Each answer as a sentence added to its question; no turn has code or flags."""
+    return derived.qa(spark, d).select("id", text.addition_violations(F.col("answer"), F.col("question"), exact=False).alias("violations"))
 
 
 _TERMS = "[" + ", ".join(f"'{t}'" for t in text.DENIED_TERMS) + "]"
@@ -784,15 +965,16 @@ def n14_expansions(spark, d):
     return q.select("id", extends.alias("extends"), F.when(extends, F.substring("f", F.length("s") + 2, F.length("f"))).alias("addition"))
 
 
-@query("WITH t AS (SELECT doc_id, list_concat(regexp_extract_all(lower(substr(text, 1, 100)), '\\w+'), ['the', 'end']) AS w FROM documents) SELECT doc_id, list_transform(list_filter(range(1, len(w) + 1), lambda i: list_position(w, w[i]) = i), lambda i: w[i]) AS merged FROM t")
+@query("""WITH t AS (SELECT doc_id, list_concat(regexp_extract_all(lower(text), '\\w+'), ['the', 'end']) AS w FROM documents),
+u AS (SELECT doc_id, unnest(w) AS w, unnest(range(len(w))) AS i FROM t), f AS (SELECT doc_id, w, min(i) AS i FROM u GROUP BY ALL) SELECT doc_id, list(w ORDER BY i) AS merged FROM f GROUP BY doc_id""")
 def n15_ordered_distinct(spark, d):
     return table(spark, d, "documents").select("doc_id", text.merge_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\w+"), F.lit(0)), F.array(F.lit("the"), F.lit("end"))).alias("merged"))
 
 
-@query("SELECT c_custkey, c_mktsegment AS key, c_name || '=' || CAST(c_nationkey AS VARCHAR) AS path FROM customer")
+@query("SELECT c_custkey, c_name AS key, c_mktsegment || '=' || CAST(c_nationkey AS VARCHAR) AS path FROM customer")
 def n17_key_and_path(spark, d):
-    spec = F.concat_ws("=", "c_mktsegment", "c_name", F.col("c_nationkey").cast("string"))
-    return table(spark, d, "customer").select("c_custkey", text.key_and_path(spec).alias("x")).select("c_custkey", "x.key", "x.path")
+    spec = F.concat_ws("=", F.concat(F.lit(" "), "c_name"), "c_mktsegment", F.col("c_nationkey").cast("string"))
+    return text.keys_and_paths(table(spark, d, "customer").select("c_custkey", spec.alias("spec")), "spec").drop("spec")
 
 
 # Duplication
@@ -828,7 +1010,7 @@ def d5_unique_shingles(spark, d):
 
 # Leakage
 
-_EVAL = "ev AS (SELECT 'item' || CAST(item_id AS VARCHAR) AS eval_id, CAST(item_id AS INTEGER) AS position, substr(text, 1, 200) AS question, substr(text, 50, 200) AS answer FROM benchmark WHERE item_id < 40)"
+_EVAL = "ev AS (SELECT 'item' || CAST(item_id AS VARCHAR) AS eval_id, CAST(item_id AS INTEGER) AS position, text AS question, text AS answer FROM benchmark)"
 
 
 def _leak_rows(spark, d):
@@ -843,7 +1025,7 @@ def _evaluation(spark, d):
 
 _WJ = lambda a, b: f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0::DOUBLE ELSE CAST(len(list_intersect({a}, {b})) AS DOUBLE) / (len({a}) + len({b}) - len(list_intersect({a}, {b}))) END"
 _WORD = r"[\pL\pM\p{Nd}_]+"
-_J5 = f"""r AS (SELECT id AS row_id, {_SET('substr(question, 1, 200)', _WORD)} AS q, {_SET('substr(answer, 1, 200)', _WORD)} AS a FROM qa), e AS (SELECT eval_id, position, {_SET('question', _WORD)} AS eq, {_SET('answer', _WORD)} AS ea FROM ev),
+_J5 = f"""r AS (SELECT id AS row_id, {_SET('question', _WORD)} AS q, {_SET('answer', _WORD)} AS a FROM qa), e AS (SELECT eval_id, position, {_SET('question', _WORD)} AS eq, {_SET('answer', _WORD)} AS ea FROM ev),
 sc AS (SELECT row_id, eval_id, position, {_WJ('q', 'eq')} AS question_jaccard, {_WJ('a', 'ea')} AS answer_jaccard FROM r, e)"""
 
 
@@ -878,14 +1060,16 @@ def v1_exact_matches(spark, d):
     return leakage.exact_matches(q.select(F.col("id").alias("row_id"), "question", "answer"), q.where("id % 9 = 0"))
 
 
-@query(with_(QA) + f""", i AS (SELECT id, substr({_COLLAPSE('question')}, 1, 6) AS question, topic, id % 4 = 0 AS related, id % 5 = 0 AS overlapping, CAST(id % 6 AS INTEGER) AS sources, len(keywords) > 2 AS supported FROM qa),
+@query(with_(QA) + f""", i AS (SELECT id, question, topic, id % 4 = 0 AS related, id % 5 = 0 AS overlapping, CAST(id % 6 AS INTEGER) AS sources, len(keywords) > 2 AS supported FROM (SELECT * FROM qa UNION ALL SELECT * REPLACE (id + 1000000 AS id, '  ' || translate(question, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS question) FROM qa WHERE category = 'even')),
 n AS (SELECT *, row_number() OVER (PARTITION BY lower({_COLLAPSE('question')}) ORDER BY id) AS nth FROM i),
-z AS (SELECT id AS eval_id, CASE WHEN nth > 1 THEN 'duplicate_question' WHEN topic = 'topic3' THEN 'malformed' WHEN related THEN 'declared_relation' WHEN overlapping THEN 'similarity_overlap' WHEN sources <> 1 THEN 'source_count' WHEN NOT supported THEN 'missing_evidence' ELSE 'accepted' END AS reason FROM n)
+z AS (SELECT id AS eval_id, CASE WHEN nth > 1 THEN 'duplicate_question' WHEN topic = 'topic3' OR length({_COLLAPSE('question')}) > 1000 THEN 'malformed' WHEN related THEN 'declared_relation' WHEN overlapping THEN 'similarity_overlap' WHEN sources <> 1 THEN 'source_count' WHEN NOT supported THEN 'missing_evidence' ELSE 'accepted' END AS reason FROM n)
 SELECT *, CASE WHEN reason = 'accepted' THEN 'accepted' ELSE 'excluded' END AS status FROM z""")
 def f9_selection(spark, d):
-    i = F.col("id")
-    q = derived.qa(spark, d).select(
-        i.alias("eval_id"), i.alias("position"), F.substring(text.collapse(F.col("question")), 1, 6).alias("question"), "topic", (i % 4 == 0).alias("related"), (i % 5 == 0).alias("overlaps"), (i % 6).cast("int").alias("sources"), (F.size("keywords") > 2).alias("supported")
+    """Half of the questions are there twice, in capitals the second time."""
+    i, q = F.col("id"), derived.qa(spark, d)
+    q = q.unionByName(q.where("category = 'even'").withColumns({"id": i + 1_000_000, "question": F.concat(F.lit("  "), F.translate("question", ascii_lowercase, ascii_uppercase))}))
+    q = q.select(
+        i.alias("eval_id"), i.alias("position"), "question", "topic", (i % 4 == 0).alias("related"), (i % 5 == 0).alias("overlaps"), (i % 6).cast("int").alias("sources"), (F.size("keywords") > 2).alias("supported")
     )
     return leakage.selection(q, ["topic3"]).select("eval_id", "reason", "status")
 

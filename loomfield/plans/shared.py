@@ -17,11 +17,13 @@ _shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that setting is absent, as in tests."""
+    """The folder of spark.checkpoint.dir. Where that setting is absent, a temporary one if all executors are in this process; else that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return f"{named.rstrip('/')}/loomfield"
     app = spark.sparkContext.applicationId
+    if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="loomfield-")
         atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
@@ -52,6 +54,12 @@ def discard(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt evenly over all cores if it has fewer partitions than there are, for steps that cost far more than moving their rows."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def broadcast_if_small(df: DataFrame, most_rows: int) -> DataFrame:
     """df with a broadcast hint if it has at most most_rows rows; else the join shuffles and sorts. df should be a stored table, which is cheap to count."""
     return F.broadcast(df) if df.count() <= most_rows else df.hint("merge")

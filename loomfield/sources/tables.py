@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,9 +32,10 @@ def read_jsonl_some(spark: SparkSession, path: str, schema: str | T.StructType,
     rows = read_jsonl(spark, path, schema)
     if rows.isEmpty():
         raise ValueError(f"{path} has no rows")
-    for c in required:
-        if not rows.where(F.coalesce(F.col(c).cast("string"), F.lit("")) == "").isEmpty():
-            raise ValueError(f"{path} has rows without {c}")
+    if required:
+        lacks = rows.agg(*(F.count_if(F.coalesce(F.col(c).cast("string"), F.lit("")) == "").alias(c) for c in required)).first()
+        if bad := [c for c in required if lacks[c]]:
+            raise ValueError(f"{path} has rows without {', '.join(bad)}")
     return rows
 
 
@@ -89,18 +93,57 @@ def write_manifest(docs: DataFrame, path: str, overwrite: bool = False) -> None:
 
 
 def write_text(spark: SparkSession, text: str, path: str) -> None:
-    """One file, under a temporary name until it is whole."""
+    """One file, under a temporary name until it is whole. The rename replaces what is there in one step, so readers find the old text or the new one."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     to, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
-    fs = to.getFileSystem(conf)
-    out = fs.create(part)
-    out.write(bytearray(text.encode()))
-    out.close()
-    fs.delete(to, False)
-    if not fs.rename(part, to):
-        raise OSError(f"{path} can't be written")
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri(), conf) if to.toUri().getScheme() else jvm.org.apache.hadoop.fs.FileContext.getFileContext(conf)
+    out = to.getFileSystem(conf).create(part)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files.rename(part, to, options)
+
+
+def literal(spark: SparkSession, rows: list[tuple], schema: str | T.StructType) -> DataFrame:
+    """A relation of rows stated in code, checked against the schema."""
+    return spark.createDataFrame(rows, schema)
+
+
+def rules(spark: SparkSession) -> DataFrame:
+    """The rule tables of loomfield.functions.text as a relation: rule_set, place, name, value."""
+    from loomfield.functions import text
+
+    sets = {
+        "denied_terms": [(t, t) for t in text.DENIED_TERMS],
+        "denied_outputs": list(text.DENIED_OUTPUTS.items()),
+        "overclaims": [(f"overclaim {i}", p) for i, p in enumerate(text.OVERCLAIMS)],
+    }
+    return literal(spark, [(n, i, name, value) for n, entries in sets.items() for i, (name, value) in enumerate(entries)], "rule_set string, place int, name string, value string")
+
+
+#: Bytes of a file that are read at once for its digest.
+CHUNK = 4 << 20
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """path, length, sha256 of each file."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """path, length, sha256 of each file, read in chunks, so files of any size do."""
+    found = spark.read.format("binaryFile").load(path).select("path", "length")
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            out = []
+            for uri in batch.column(0).to_pylist():
+                store, at = fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
+                h = hashlib.sha256()
+                with store.open_input_stream(at) as f:
+                    while data := f.read(CHUNK):
+                        h.update(data)
+                out.append(h.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=["path", "length", "sha256"])
+
+    return found.mapInArrow(digest, "path string, length long, sha256 string")

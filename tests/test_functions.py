@@ -1,6 +1,7 @@
 """URL and text functions against plain Python."""
 
 import hashlib
+import math
 import random
 import re
 import unicodedata
@@ -99,14 +100,42 @@ def test_excerpts(spark):
 def test_additions(spark):
     original = "Use the `run --all` form when every module has to be built again from the start."
     good = "This also rebuilds modules that did not change since the last time it was started."
-    rows = column(spark, [good, "Short.", good[:-1], "It will always ensure `new` --flag results for all of the modules in there."], lambda t: text.addition_violations(t, F.lit(original)))
-    assert rows == [[], ["length", "combined_length"], ["no_end_mark"], ["new_code", "flag", "overclaim"]]
+    for exact in (True, False):
+        rows = column(spark, [good, "Short.", good[:-1], "It will always ensure `new` --flag results for all of the modules in there."], lambda t: text.addition_violations(t, F.lit(original), exact))
+        assert rows == [[], ["combined_length", "length"], ["no_end_mark"], ["flag", "new_code", "overclaim"]]
+    street = "Die Straße vor dem Haus ist heute gesperrt, weil dort eine Baustelle ist und niemand fahren darf, auch kein Rad."
+    (found,) = column(spark, ["DIE STRASSE VOR DEM HAUS IST HEUTE GESPERRT, WEIL DORT"], lambda t: text.addition_violations(t, F.lit(street)))
+    assert "repeats" in found
+
+
+def test_folded_case(spark):
+    df = spark.createDataFrame([("Die STRASSE ist lang.", ["`Straße`"]), ("Kein Wort", ["Straße"]), (None, ["a"]), ("x", None)], "t string, k array<string>")
+    got = [tuple(r) for r in df.select(text.holds_all(F.col("t"), F.col("k"), exact=True), text.excerpt(F.col("t"), F.col("k"), exact=True)).collect()]
+    assert got[0] == (False, "Die STRASSE ist lang.") and got[1] == (False, None) and got[2][1] is None and got[3] == (None, None)
+    assert df.limit(1).select(text.holds_all(F.col("t"), F.array(F.lit("straße")), exact=True)).first()[0] is True
+
+
+def test_rounding_half_to_even(spark):
+    values = [2.675, 0.5, 1.5, 2.5, -2.5, 1.005, 1e20, None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for places in (0, 2):
+        assert [r[0] for r in df.select(text.rounded(F.col("v"), places)).collect()] == [None if v is None else round(v, places) for v in values]
+
+
+def test_keys_and_paths(spark):
+    good = spark.createDataFrame([(" a = /x=y ",), ("b=z",)], "spec string")
+    assert sorted((r.key, r.path) for r in text.keys_and_paths(good, "spec").collect()) == [("a", "/x=y"), ("b", "z")]
+    for bad in ("none", "=x", "x= ", "b=again"):
+        with pytest.raises(ValueError):
+            text.keys_and_paths(good.unionByName(spark.createDataFrame([(bad,)], "spec string")), "spec")
+    with pytest.raises(ValueError):
+        text.keys_and_paths(spark.createDataFrame([(None,)], "spec string"), "spec")
 
 
 def test_percentiles(spark):
-    df = spark.createDataFrame([([1, 2, 3, 4],), ([],), ([9],)], "v array<int>")
-    rows = df.select(evaluation.nearest_rank(F.col("v"), 0.5).alias("a"), evaluation.nearest_rank(F.col("v"), 0.95).alias("b"), evaluation.floor_percentile(F.col("v"), 50).alias("c")).collect()
-    assert [tuple(r) for r in rows] == [(2, 4, 3), (None, None, None), (9, 9, 9)]
+    df = spark.createDataFrame([("four", v) for v in (4, 2, 3, 1)] + [("one", 9)], "g string, v int")
+    ranks = {"a": evaluation.nearest_rank_of(0.5), "b": evaluation.nearest_rank_of(0.95), "c": evaluation.floor_rank_of(50)}
+    assert {r.g: (r.a, r.b, r.c) for r in evaluation.at_ranks(df, "v", ("g",), ranks).collect()} == {"four": (2, 4, 3), "one": (9, 9, 9)}
 
 
 def test_pages(spark):
@@ -170,6 +199,55 @@ def test_judge_problems(spark):
 def test_templates(spark):
     df = spark.createDataFrame([("q{a}", "x")], "q string, a string")
     assert df.select(blocks.template("Q: {q} A", q=F.col("q")).alias("t")).first().t == "Q: q{a} A"
+    assert df.select(blocks.template("{q}{a}{b}", a=F.col("a"), q=F.col("q")).alias("t")).first().t == "q{a}x{b}"
+
+
+def test_instruction_examples_need_an_answer_token(spark):
+    df = spark.createDataFrame([([1, 2, 3], [4, 5])], "p array<int>, a array<int>")
+    made = lambda n, strict=True: df.select(blocks.instruction_example(F.col("p"), F.col("a"), 9, n, strict).alias("x")).first().x
+    assert made(4).labels == [-100, -100, -100, 4] and made(9).ids == [1, 2, 3, 4, 5, 9] and made(3, False).labels == [-100] * 3
+    with pytest.raises(Exception, match="no answer token"):
+        made(3)
+
+
+def test_pluggable_tokenizer(spark):
+    df = spark.createDataFrame([("a bb",), (None,), ("",)], "t string")
+    got = df.select(blocks.token_ids(F.col("t"), lambda: lambda texts: [[len(w) for w in t.split()] for t in texts])).collect()
+    assert [r[0] for r in got] == [[1, 2], [], []]
+
+
+def test_patches_that_do_not_apply(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id long, q string")
+    fix = lambda *f: spark.createDataFrame(list(f), "id long, value string")
+    assert sorted(map(tuple, clean.patched(rows, fix((2, "new")), "id", "q").collect())) == [(1, "a"), (2, "new")]
+    for bad in ([(3, "x")], [(1, "x"), (1, "y")], [(1, "x" * 1001)]):
+        with pytest.raises(ValueError):
+            clean.patched(rows, fix(*bad), "id", "q")
+    with pytest.raises(ValueError):
+        clean.patched(rows.unionByName(rows), fix((1, "x")), "id", "q")
+
+
+def test_ranks_of_groups(spark):
+    rows = [("a", v) for v in (5, 1, 1, 3, None)] + [("b", 7), ("c", None), (None, 2), (None, 4)]
+    df = spark.createDataFrame(rows, "g string, v int")
+    got = {r.g: (r.low, r.high) for r in evaluation.at_ranks(df, "v", ("g",), {"low": evaluation.nearest_rank_of(0.5), "high": evaluation.floor_rank_of(95)}).collect()}
+    assert got == {"a": (1, 5), "b": (7, 7), None: (2, 4)}
+    timed = {r.g: (r["count"], r.p95_seconds) for r in evaluation.timing(df, "v", "g").collect()}
+    assert timed == {"a": (4, 5), "b": (1, 7), "c": (0, None), None: (2, 4)}
+    assert evaluation.timing(df, "v").first().p95_seconds == 7 and {r.g: r.p95 for r in evaluation.lengths(df, "g", "v").collect()}[None] == 4
+
+
+def test_exposure(spark):
+    corpus = spark.createDataFrame([("aaa b",), ("aa",), (None,), ("",), ("b\ue000b",)], "text string")
+    items = spark.createDataFrame([(1, ["aa", "b"]), (2, ["zz"]), (3, []), (4, None)], "id long, keywords array<string>")
+    got = {r.id: (r.min_occurrences, r.total_occurrences, r.log_min_occurrences) for r in evaluation.exposure(items, corpus).collect()}
+    assert got == {1: (2, 5, math.log1p(2)), 2: (0, 0, 0.0)}
+    counted = {r.k: r.n for r in evaluation.occurrences_in(corpus, ["", "b\ue000"]).collect()}
+    assert counted == {"": 6 + 3 + 1 + 4, "b\ue000": 1}
+    scores = spark.createDataFrame([(1, 2.0, 5.0), (2, 3.0, 1.0)], "id long, base double, tuned double")
+    exposed = evaluation.exposure(items, corpus)
+    assert {r["count"]: (r.n, round(r.r, 9)) for r in evaluation.exposure_correlations(exposed, scores.withColumnRenamed("tuned", "score")).collect()} == {"min_occurrences": (2, 1.0), "total_occurrences": (2, 1.0)}
+    assert {r.bucket: (r.items, r.delta) for r in evaluation.exposure_buckets(exposed, scores).collect()} == {"0": (1, -2.0), "1-4": (1, 3.0)}
 
 
 @pytest.mark.parametrize("length", [1, 4, 7])

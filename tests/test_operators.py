@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import random
 from difflib import SequenceMatcher
 
 import pytest
@@ -86,13 +87,52 @@ def test_audit(spark):
     assert got[1].question_sequence_eval_id == "e2" and [b.eval_id for b in got[1].breaches] == ["e1", "e2"] and not got[1].passed and got[2].passed
     assert got[2].answer_sequence == max(SequenceMatcher(None, "a graph without cycles.", x[3].lower()).ratio() for x in ev)
     related = spark.createDataFrame([(1, ["e1", "e2"])], "row_id long, eval_ids array<string>")
-    assert leakage.audit(leakage.all_scores(r, e), related).where("passed").count() == 2
+    audited = leakage.audit(leakage.all_scores(r, e), related)
+    assert audited.where("passed").count() == 2 and leakage.unchecked(audited).count() == 0
+    everything = leakage.audit(leakage.all_scores(r, e), spark.createDataFrame([(1, ["e1", "e2", "e3"])], "row_id long, eval_ids array<string>"))
+    assert [(x.rule, x.row_id) for x in leakage.unchecked(everything).collect()] == [("no_independent_evaluation_row", "1")]
+    assert [x.row_id for x in everything.where("passed").collect()] == [2] and not everything.where("row_id = 1").first().passed
+
+
+def test_similar_pairs_with_a_word_in_every_row(spark):
+    rng = random.Random(3)
+    some = lambda n: " ".join(["the", *(f"w{int(rng.paretovariate(0.7)) % 300}" for _ in range(n))])
+    rows = [(i, some(rng.randrange(1, 30)), some(rng.randrange(1, 12)) if i % 5 else "") for i in range(120)]
+    ev = [(f"e{i}", some(rng.randrange(1, 30)), some(rng.randrange(1, 12))) for i in range(60)] + [("e60", None, "the")]
+    r, e = spark.createDataFrame(rows, "row_id long, question string, answer string"), spark.createDataFrame(ev, "eval_id string, question string, answer string")
+    like = lambda a, b: len(a & b) / len(a | b) if a and b else 0.0
+    sets = lambda t: [set((x or "").split()) for x in t[1:]]
+    for least in (0.1, 0.35, 0.8):
+        want = {(a[0], b[0]) for a in rows for b in ev if max(like(x, y) for x, y in zip(sets(a), sets(b))) >= least}
+        got = {(x.row_id, x.eval_id) for x in leakage.token_scores(r, e, least).collect()}
+        assert want and got == want
 
 
 def test_reachability(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (9, 1)], "src long, dst long")
-    got = crawl.reachable(edges, spark.createDataFrame([(1,)], "node long")).collect()
-    assert sorted(map(tuple, got)) == [(1, 0), (2, 1), (3, 2), (4, 3)]
+    seeds = spark.createDataFrame([("a", 1), ("b", 9), ("b", 9)], "seed string, node long")
+    got = crawl.reachable(edges, seeds).collect()
+    assert sorted(map(tuple, got)) == [("a", 1, 0), ("a", 2, 1), ("a", 3, 2), ("a", 4, 3), ("b", 1, 1), ("b", 2, 2), ("b", 3, 3), ("b", 4, 4), ("b", 9, 0)]
+    assert crawl.reachable(edges, seeds.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("cap", [1, 7, 40])
+def test_reachability_up_to_a_cap(spark, cap):
+    """Breadth first with a queue, links in their order."""
+    rng = random.Random(cap)
+    links = {i: [rng.randrange(60) for _ in range(rng.randrange(5))] for i in range(60)}
+    edges = spark.createDataFrame([(i, k, n) for i, to in links.items() for n, k in enumerate(to)], "src long, dst long, order int")
+    got = {(r.seed, r.node): r.depth for r in crawl.reachable(edges, spark.createDataFrame([("a", 3), ("b", 5)], "seed string, node long"), cap).collect()}
+    want = {}
+    for seed, start in (("a", 3), ("b", 5)):
+        queue, depth = [start], {start: 0}
+        for node in queue:
+            for k in links[node]:
+                if k not in depth:
+                    depth[k] = depth[node] + 1
+                    queue.append(k)
+        want |= {(seed, n): depth[n] for n in queue[:cap]}
+    assert got == want
 
 
 def test_sources(spark, tmp_path):
@@ -131,6 +171,10 @@ def test_sinks(spark, tmp_path):
     assert [r.canonical_url for p in sorted((tmp_path / "manifest").glob("part-*")) for r in spark.read.csv(f"file://{p}", header=True).collect()] == ["u3", "u1", "u2"]
     tables.write_text(spark, reports.report("T", {"one": df, "two": "text"}), f"{at}/r.md")
     assert (tmp_path / "r.md").read_text().startswith("# T\n\n## one\n\n| b | a | c |\n| --- | --- | ---: |\n") and "| z | é | - |" in (tmp_path / "r.md").read_text()
+    tables.write_text(spark, "again", f"{at}/again.md")
+    tables.write_text(spark, "and again", f"{at}/again.md")
+    assert (tmp_path / "again.md").read_text() == "and again" and not list(tmp_path.glob("again.md.*"))
+    assert {r.rule_set for r in tables.rules(spark).collect()} == {"denied_terms", "denied_outputs", "overclaims"}
     (digest,) = tables.file_digests(spark, f"{at}/r.md").collect()
     assert digest.sha256 == hashlib.sha256((tmp_path / "r.md").read_bytes()).hexdigest()
     spark.createDataFrame([([1, 2], [True, False])], "input_ids array<int>, attention_mask array<boolean>").write.parquet(f"{at}/blocks")

@@ -1,4 +1,4 @@
-"""Prefix sums, key ranges, components and stored tables against plain Python."""
+"""Prefix sums, components and stored tables against plain Python."""
 
 import random
 
@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomfield.plans import components, prefix, ranges, shared
+from loomfield.plans import components, prefix, shared
 
 
 @pytest.mark.parametrize("bits", [0, 3])
@@ -33,15 +33,6 @@ def test_prefix_sums_without_broadcast(spark, monkeypatch):
         total += v
 
 
-@pytest.mark.parametrize("n", [1, 2, 7, 60])
-def test_ranges(spark, n):
-    ids = [random.Random(n).randrange(-1000, 1000) for _ in range(400)] + [5] * 100
-    df = spark.createDataFrame([(i,) for i in ids] + [(None,)], "id long")
-    bounds = ranges.range_bounds(df, "id", n)
-    rows = df.select("id", ranges.range_of(F.col("id"), bounds).alias("r")).collect()
-    assert len(bounds) < n + (n == 1) and all(r.r == (0 if r.id is None else sum(b < r.id for b in bounds)) for r in rows)
-
-
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.tuples(st.integers(-20, 20), st.integers(-20, 20)), max_size=30))
 def test_components(spark, edges):
@@ -73,3 +64,17 @@ def test_stored_tables(spark):
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
         spark.read.parquet(at)
     assert shared.materialize(df.limit(0), "t").count() == 0
+
+
+def test_a_cluster_must_name_its_shared_folder(monkeypatch):
+    class Context:
+        applicationId, master = "cluster", "spark://host:7077"
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(Session())
+    Session.conf = {"spark.checkpoint.dir": "hdfs://x/y/"}
+    assert shared.shared_dir(Session()) == "hdfs://x/y/loomfield"
