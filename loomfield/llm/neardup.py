@@ -85,6 +85,7 @@ def _digests(h: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return words.sums(words.mix(h ^ U(0x5851F42D4C957F2D)), ptr).view(np.int64), words.sums(words.mix(h * U(3) ^ U(0x14057B7EF767814F)), ptr).view(np.int64)
 
 
+@words.thrifty
 def _sketched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, buf, at in words.chunks(batch.column(1)):
@@ -101,6 +102,7 @@ def _sketched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+@words.thrifty
 def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, buf, at in words.chunks(batch.column(0)):
@@ -110,6 +112,7 @@ def _sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(d1), pa.array(d2), lists], names=["d1", "d2", "set"])
 
 
+@words.thrifty
 def _alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose sketches agree often enough to be held against each other in full."""
     for batch in batches:
@@ -118,6 +121,7 @@ def _alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select([0, 1]).filter(pa.array((x == y).sum(axis=1) >= LEAST_AGREE))
 
 
+@words.thrifty
 def _bitmaps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bitmaps of a power of two of bits: a larger one folds onto a smaller one half by half."""
     for batch in batches:
@@ -164,6 +168,7 @@ def _near(n: np.ndarray, bits: list[bytes], component: np.ndarray, side: np.ndar
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
+@words.thrifty
 def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (bucket, lo, hi): the pairs of each run that may be linked."""
     waits: list[pa.RecordBatch] = []

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomfield.llm import tokens
+from loomfield.llm import tokens, words
 from loomfield.plans.shared import materialize, ship
 
 END = 1
@@ -69,6 +69,7 @@ _BINS = "bin long, done boolean, used long, pieces binary"
 
 
 def _local(path: str, capacity: int):
+    @words.thrifty
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -93,6 +94,7 @@ def _local(path: str, capacity: int):
 def _merge(level: int, capacity: int, last: bool):
     """Packs the bins of each node, which is a partition, in the order of their ids."""
 
+    @words.thrifty
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [b for b in batches if b.num_rows]
         if found:
@@ -105,6 +107,7 @@ def _merge(level: int, capacity: int, last: bool):
     return run
 
 
+@words.thrifty
 def _placed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [np.frombuffer(b, PIECE) for b in batch.column(1).to_pylist()]

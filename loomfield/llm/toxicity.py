@@ -88,6 +88,7 @@ def token_hashes(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out.view(np.int64), first
 
 
+@words.thrifty
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of (doc_id, t, label, text) with the minima of each text's shingles in place of the text; 0 without words."""
     seeds = words.mix(np.arange(1, MINIMA + 1, dtype=words.U) * words.U(0xD6E8FEB86659FD93))
@@ -105,6 +106,7 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, len(out)) for c in range(3)), lists], names=["doc_id", "t", "label", "minima"])
 
 
+@words.thrifty
 def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(token, y1, y0) for each chunk of (text, label, weight): weights of the documents that have a token, by label."""
     for batch in batches:
@@ -305,6 +307,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     fits = materialize(bounded(rows.where("calibrates") if apart else rows, MOST_LABELLED, "toxicity"), "tox-fits")
 
+    @words.thrifty
     def greatest(batches):
         for batch in batches:
             m, n = model.greatest(batch.column(0))
@@ -313,6 +316,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     clean = texts_of(fits.where("label = 0")).mapInArrow(greatest, "m double, n double, w long").toPandas()
     model.rate, model.scale = law(*(clean[c].to_numpy(float) / (UNIT if c == "w" else 1) for c in ("m", "n", "w")))
 
+    @words.thrifty
     def evidence(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(model.evidence(batch.column(0))), batch.column(1), batch.column(2)], names=["x", "y", "w"])
@@ -325,9 +329,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 def score(model: Model, text: str = "text") -> Column:
     """The probability that a text is toxic."""
 
+    @words.thrifty
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(model.probability(texts))
+
     @F.arrow_udf("double")
-    def of(texts: pa.Array) -> pa.Array:
-        return pa.array(model.probability(texts))
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return scored(batches)
 
     return of(F.col(text))
 

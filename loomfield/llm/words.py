@@ -6,7 +6,9 @@ found for the whole chunk with numpy, so the cost per document is small whatever
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,23 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def thrifty(f: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
+    """f over the batches of a task, which gives free memory back to the system when the task ends: workers live on from task to task."""
+
+    @wraps(f)
+    def run(batches: Iterable) -> Iterator:
+        try:
+            yield from f(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # only the GNU library has it
+                pass
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
