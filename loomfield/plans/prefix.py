@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomfield.plans.shared import broadcast_if_small
 
 #: Rows that one bucket of a group holds on average, at most.
-BUCKET_ROWS = 10_000
+BUCKET_ROWS = 2_000
 #: A table of bucket offsets of so many rows at most is broadcast.
 MOST_BUCKETS = 200_000
 
