@@ -8,6 +8,11 @@ columns of documents:
 - secrets replaces every secret in a text by a mark and keeps all rows;
 - mixing repeats and cuts documents until each source has the words that its weight gives it;
 - packing cuts the texts' ids into pieces and places them in sequences.
+
+Cases: a null text counts as the empty one, which is neither toxic by evidence nor linked, holds no secret, has no words
+and packs as its end id; it stays null. Rows with null or repeated ids are judged each by its own text. Repeated rows go
+or stay by what their stage says of each. Ties are broken by hashes and ids, so reruns agree. Texts are read whole. Empty
+tables give empty results. Further columns are kept under any name until packing.
 """
 
 from __future__ import annotations
