@@ -95,3 +95,26 @@ def test_bootstrap_has_all_resamples(spark):
         x, n, draw = groups[k], len(groups[k]), random.Random(20260815).randrange
         means = sorted(sum(x[draw(n)] for _ in range(n)) / n for _ in range(20_000))
         assert got[k] == (means[500], means[19_500], means[500] > 0 or means[19_500] < 0)
+
+
+def test_token_counts_by_a_vocabulary(spark):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    d = "/root/testdata/sf0.001"
+    library = Tokenizer.from_file(path("word_bpe_49k.json"))
+    want = {r.doc_id: len(library.encode(r.text, add_special_tokens=False).ids) for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    assert {r.doc_id: r.token_count for r in catalog.QUERIES["k1_token_ids"](spark, d).collect()} == want
+
+
+def test_capped_reachability_of_the_query(spark):
+    d = "/root/testdata/sf0.001"
+    got = catalog.QUERIES["u5_capped"](spark, d).collect()
+    whole = {(r.seed, r.node): r.depth for r in catalog.QUERIES["u5_reachable"](spark, d).collect()}
+    by = {}
+    for r in got:
+        assert whole[r.seed, r.node] == r.depth
+        by.setdefault(r.seed, []).append(r.depth)
+    for seed, depths in by.items():
+        every = sorted(v for (s, _), v in whole.items() if s == seed)
+        assert sorted(depths) == every[:300]
