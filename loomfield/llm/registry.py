@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL."""
 
-from loomfield.llm import fingerprints, idfile, mixing, neardup, packing, quality, secrets, sharding, topk, toxicity
+from loomfield.llm import fingerprints, idfile, mixing, neardup, packing, quality, resampling, secrets, sharding, topk, toxicity
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
@@ -13,10 +13,12 @@ QUERIES = {
     "op8_fingerprints": fingerprints.op8_fingerprints,
     "op9_sharding": sharding.op9_sharding,
     "op10_quality": quality.op10_quality,
+    "op12_importance_resampling": resampling.op12_importance_resampling,
 }
 SQL: dict[str, str] = {
     "op1_secret_scans": secrets.OP1_SQL,
     "op2_top_k": topk.OP2_SQL,
     "op4_near_dedup": neardup.OP4_SQL,
     "op5_mixing": mixing.OP5_SQL,
+    "op12_importance_resampling": resampling.OP12_SQL,
 }

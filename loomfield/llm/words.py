@@ -24,6 +24,9 @@ BLANK = np.zeros(256, bool)
 BLANK[[0x20, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Bytes between terms, which are runs of ASCII digits, lower-case ASCII letters and all that isn't ASCII.
+BETWEEN = np.ones(256, bool)
+BETWEEN[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
 
 def thrifty(f: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
