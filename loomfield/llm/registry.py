@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL."""
 
-from loomfield.llm import fingerprints, idfile, mixing, neardup, packing, quality, resampling, secrets, sharding, topk, toxicity
+from loomfield.llm import fingerprints, idfile, lexical, mixing, neardup, packing, quality, resampling, secrets, sharding, topk, toxicity
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_sharding": sharding.op9_sharding,
     "op10_quality": quality.op10_quality,
     "op12_importance_resampling": resampling.op12_importance_resampling,
+    "op13_ranked_search": lexical.op13_ranked_search,
 }
 SQL: dict[str, str] = {
     "op1_secret_scans": secrets.OP1_SQL,
@@ -21,4 +22,5 @@ SQL: dict[str, str] = {
     "op4_near_dedup": neardup.OP4_SQL,
     "op5_mixing": mixing.OP5_SQL,
     "op12_importance_resampling": resampling.OP12_SQL,
+    "op13_ranked_search": lexical.OP13_SQL,
 }
