@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL."""
 
-from loomfield.llm import fingerprints, idfile, lexical, mixing, neardup, packing, quality, resampling, secrets, sharding, topk, toxicity
+from loomfield.llm import fingerprints, idfile, langid, lexical, mixing, neardup, packing, quality, resampling, secrets, sharding, topk, toxicity
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_fingerprints": fingerprints.op8_fingerprints,
     "op9_sharding": sharding.op9_sharding,
     "op10_quality": quality.op10_quality,
+    "op11_language_id": langid.op11_language_id,
     "op12_importance_resampling": resampling.op12_importance_resampling,
     "op13_ranked_search": lexical.op13_ranked_search,
 }

@@ -97,10 +97,10 @@ def spans(buf: np.ndarray, at: np.ndarray, blank: np.ndarray = BLANK) -> tuple[n
     return starts, ends, np.searchsorted(starts, at)
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words, from prefix sums of a polynomial over the bytes."""
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = BYTE) -> np.ndarray:
+    """64-bit hashes of the words, from prefix sums of a polynomial over the values of bytes."""
     sums = np.zeros(len(buf) + 1, U)
-    np.cumsum(BYTE[buf] * powers(_BASE, len(buf))[: len(buf)], out=sums[1:])
+    np.cumsum(values[buf] * powers(_BASE, len(buf))[: len(buf)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * powers(_UNBASE, len(buf) + 1)[starts])
 
 
