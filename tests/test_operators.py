@@ -78,6 +78,44 @@ def test_near_pairs(spark):
     assert got == want
 
 
+def brute_pairs(texts, k=8, similarity=0.3, containment=0.6):
+    """{(group, a, b, shared, union, least)} of (group, key, text)."""
+    sets = [(g, i, {" ".join(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if (w := (t or "").split()) else {""}) for g, i, t in texts if g is not None and t is not None]
+    out = set()
+    for g, a, x in sets:
+        for h, b, y in sets:
+            n = len(x & y)
+            if g == h and a < b and n and (n / len(x | y) >= similarity or n / min(len(x), len(y)) >= containment):
+                out.add((g, a, b, n, len(x | y), min(len(x), len(y))))
+    return out
+
+
+@pytest.mark.parametrize("hot", [1_000, 3])
+def test_near_pairs_of_copies_parts_and_common_passages(spark, monkeypatch, hot):
+    monkeypatch.setattr(duplication, "HOT", hot)
+    rng = random.Random(5)
+    some = lambda n: [f"w{rng.randrange(200)}" for _ in range(n)]
+    common, whole = some(30), some(120)
+    texts = [("g", i, " ".join(common + some(rng.randrange(5, 80)))) for i in range(40)]
+    texts += [("g", 100 + i, " ".join(whole)) for i in range(6)] + [("g", 200 + i, " ".join(whole[i * 9 : i * 9 + 40])) for i in range(8)]
+    texts += [("g", 300 + i, " ".join(whole[: rng.randrange(20, 120)] + some(rng.randrange(40)))) for i in range(30)]
+    texts += [("h", 400, " ".join(whole)), ("h", 401, "few words"), ("h", 402, "few words"), ("h", 403, ""), ("h", 404, ""), ("h", 405, None), (None, 406, " ".join(whole)), (None, 407, " ".join(whole))]
+    df = spark.createDataFrame(texts, "g string, k long, text string")
+    found = duplication.near_pairs(duplication.shingle_table(df, "g", "k"), "g", "k")
+    assert found.columns == ["g", "a", "b", "shared", "union_size", "least"]
+    rows = [tuple(r) for r in found.collect()]
+    want = brute_pairs(texts)
+    assert len(rows) == len(set(rows)) and set(rows) == want and len(want) > 100
+
+
+def test_a_passage_of_all_documents_joins_none(spark):
+    """Where a shingle is in every document but isn't among the rare ones of any, no candidate comes from it."""
+    rows = [("g", i, "a passage that every document of the group holds " + " ".join(f"w{i}x{j}" for j in range(20))) for i in range(3_000)]
+    shingles = duplication.shingle_table(spark.createDataFrame(rows, "g string, k long, text string"), "g", "k")
+    assert shingles.groupBy("shingle").count().agg(F.max("count")).first()[0] == 3_000
+    assert duplication.near_pairs(shingles, "g", "k").count() == 0
+
+
 def test_audit(spark):
     rows = [(1, "How do I list files?", "Use ls."), (2, "What is a tree?", "A graph without cycles.")]
     ev = [("e1", 0, "how do i list files", "use dir."), ("e2", 1, "How do I list files?", "Use ls."), ("e3", 2, "unlike", "nothing")]
