@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomfield.functions import text
+from loomfield.operators import nearest
 from loomfield.plans.shared import materialize, ship, spread
 
 #: A similarity from here on is a breach.
 QUESTION_JACCARD, ANSWER_JACCARD, SEQUENCE = 0.35, 0.35, 0.80
 METRICS = ("question_jaccard", "question_sequence", "answer_jaccard", "answer_sequence")
-#: Evaluation rows are sent to all tasks in parts of so many at most.
-PART = 5_000
+#: Evaluation rows are sent to all tasks in parts of about so many bytes of text, and of so many rows at most.
+PART_BYTES, PART = 2 << 20, 5_000
 
 
-def parts(evaluation: DataFrame, key: str = "eval_id") -> list[DataFrame]:
-    n = max(1, -(-evaluation.count() // PART))
+def parts(evaluation: DataFrame, key: str = "eval_id", *texts: str) -> list[DataFrame]:
+    """evaluation in parts of bounded size, by a hash of its key."""
+    size = evaluation.agg(F.count("*").alias("n"), *(F.sum(F.octet_length(F.col(t).cast("string"))).alias(f"b{i}") for i, t in enumerate(texts))).first()
+    n = max(1, -(-size.n // PART), *(-(-(size[f"b{i}"] or 0) // PART_BYTES) for i in range(len(texts))))
     return [evaluation.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
 
 
@@ -61,57 +69,140 @@ def prefix_pairs(x: DataFrame, a: str, xs: str, y: DataFrame, b: str, ys: str, l
     return left.join(right, "w").where(f"nx >= {least} * ny - 1e-9 and ny >= {least} * nx - 1e-9").select(a, b).distinct()
 
 
-def all_scores(rows: DataFrame, evaluation: DataFrame) -> DataFrame:
-    """row_id, eval_id, position and the four METRICS; sequence ratios of texts in lower case."""
-    ship(rows.sparkSession)
-    out, rows = None, spread(rows)
-    for part in parts(evaluation):
-        pairs = rows.join(F.broadcast(part.select("eval_id", F.col("position"), F.col("question").alias("eq"), F.col("answer").alias("ea"))))
-        low = [F.lower(c) for c in ("question", "eq", "answer", "ea")]
-        got = pairs.select(
-            "row_id", "eval_id", "position", text.jaccard(text.word_tokens(F.col("question")), text.word_tokens(F.col("eq"))).alias("question_jaccard"), text.sequence_ratio(low[0], low[1]).alias("question_sequence"),
-            text.jaccard(text.word_tokens(F.col("answer")), text.word_tokens(F.col("ea"))).alias("answer_jaccard"), text.sequence_ratio(low[2], low[3]).alias("answer_sequence"),
-        )
-        out = got if out is None else out.unionByName(got)
-    return out
-
-
-def unrelated(scores: DataFrame, related: DataFrame) -> DataFrame:
-    """Without the pairs that related(row_id, eval_ids) declares."""
-    r = related.select(F.col("row_id").alias("__r"), F.col("eval_ids").alias("__ids"))
-    joined = scores.join(r, scores["row_id"] == F.col("__r"), "left")
-    return joined.where(F.col("__ids").isNull() | ~F.array_contains("__ids", F.col("eval_id"))).drop("__r", "__ids")
-
+def best_sets(rows: DataFrame, evaluation: DataFrame, key: str = "row_id") -> DataFrame:
+    """key, eval_id, position, similarity of the evaluation row most alike each row by Jaccard similarity; the earliest of equals, which may share nothing.
 
-def firsts(scores: DataFrame, metric: str) -> DataFrame:
-    """row_id, eval_id and the greatest value of metric; the earliest evaluation row wins ties."""
-    nth = F.row_number().over(Window.partitionBy("row_id").orderBy(F.desc(metric), "position"))
-    return scores.withColumn("__n", nth).where("__n = 1").select("row_id", F.col("eval_id").alias(f"{metric}_eval_id"), F.col(metric).alias(metric))
-
-
-def audit(scores: DataFrame, related: DataFrame | None = None) -> DataFrame:
+    rows(key, tokens, optionally without: eval_ids that don't count), evaluation(eval_id, position, tokens). Each part of the evaluation rows is an inverted
+    index in the tasks, so rows aren't joined with them. A row without a token set, or whose evaluation rows are all left out, has nulls.
+    Rows of one key are one: the best of any of them.
+    """
+    ship(rows.sparkSession)
+    rows = rows if "without" in rows.columns else rows.withColumn("without", F.lit(None).cast("array<string>"))
+    rows, found = spread(rows.select(key, "tokens", "without")), None
+    kind = rows.schema[key].dataType.simpleString()
+    for part in parts(evaluation.withColumn("joined", F.array_join("tokens", " ")), "eval_id", "joined"):  # a stated set against all rows, in parts of bounded size
+        stated = part.select("eval_id", "position", "tokens").orderBy("position", "eval_id").toArrow()
+        names, positions = (stated.column(c).to_pylist() for c in ("eval_id", "position"))
+        sent = rows.sparkSession.sparkContext.broadcast((names, positions, nearest.Sets(stated.column("tokens").to_pylist())))
+
+        def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            names, positions, index = sent.value
+            place = {n: i for i, n in enumerate(names)}
+            for batch in batches:
+                out = []
+                for tokens, without in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                    got = None if tokens is None else index.best(tokens, frozenset(place[n] for n in without or () if n in place))
+                    out.append(None if got is None else {"similarity": got[1], "before": -positions[got[0]], "eval_id": names[got[0]]})
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, _BEST)], names=[key, "best"])
+
+        got = rows.mapInArrow(run, f"`{key}` {kind}, best struct<similarity:double,before:long,eval_id:string>")
+        found = got if found is None else found.unionByName(got)
+    best = found.groupBy(key).agg(F.max("best").alias("best"))
+    return best.select(key, F.col("best.eval_id").alias("eval_id"), (-F.col("best.before")).alias("position"), F.col("best.similarity").alias("similarity"))
+
+
+_BEST = pa.struct([("similarity", pa.float64()), ("before", pa.int64()), ("eval_id", pa.string())])
+_BREACH = pa.list_(pa.struct([("position", pa.int64()), ("eval_id", pa.string()), ("metrics", pa.list_(pa.string()))]))
+
+
+class Stated:
+    """A part of the evaluation rows, by position, with the indexes of both sides."""
+
+    def __init__(self, names: list[str], positions: list[int], questions: list[str | None], answers: list[str | None], sets: tuple[list, list]):
+        self.names, self.positions = names, positions
+        self.place = {n: i for i, n in enumerate(names)}
+        self.sets, self.texts = tuple(map(nearest.Sets, sets)), (nearest.Texts(questions), nearest.Texts(answers))
+
+    def against(self, texts: tuple[str | None, str | None], tokens: tuple[list | None, list | None], without: list[str] | None) -> dict:
+        """The best of each metric, the nearest by the mean of all, and the breaches, of one row: ratios are computed only where their bounds leave it open."""
+        n = len(self.names)
+        exact = [np.full(n, np.nan) if t is None else s.all(t) for s, t in zip(self.sets, tokens)]
+        bound = [np.full(n, np.nan) if t is None else s.bounds(t) for s, t in zip(self.texts, texts)]
+        known: list[dict[int, float]] = [{}, {}]
+
+        def ratio(side: int, i: int) -> float:
+            if i not in known[side]:
+                known[side][i] = self.texts[side].ratio(texts[side], i)
+            return known[side][i]
+
+        def greatest(value, upper: np.ndarray, open_: np.ndarray) -> tuple[int, float] | None:
+            """The first place of the greatest value, which upper bounds."""
+            best = None
+            places = np.flatnonzero(open_ & ~np.isnan(upper))
+            for i in places[np.argsort(-upper[places], kind="stable")].tolist():
+                if best is not None and upper[i] < best[1]:
+                    break
+                v = value(i)
+                if best is None or v > best[1] or v == best[1] and i < best[0]:
+                    best = (i, v)
+            return best
+
+        own = np.ones(n, bool)
+        own[[self.place[x] for x in without or () if x in self.place]] = False
+        out = {}
+        for side in (0, 1):
+            out[METRICS[2 * side]] = greatest(lambda i: float(exact[side][i]), exact[side], own)
+            out[METRICS[2 * side + 1]] = greatest(lambda i: ratio(side, i), bound[side], own)
+        mean = lambda q, a: (exact[0] + q + exact[1] + a) / len(METRICS)
+        one = lambda i: (exact[0][i] + ratio(0, i) + exact[1][i] + ratio(1, i)) / len(METRICS)
+        out["nearest"] = greatest(lambda i: float(one(i)), mean(*bound), np.ones(n, bool))
+        out = {k: None if v is None else {"similarity": v[1], "before": -self.positions[v[0]], "eval_id": self.names[v[0]]} for k, v in out.items()}
+        over = [(exact[0] >= QUESTION_JACCARD), (bound[0] >= SEQUENCE), (exact[1] >= ANSWER_JACCARD), (bound[1] >= SEQUENCE)]
+        out["breaches"] = []
+        for i in np.flatnonzero(own & np.any(over, axis=0)).tolist():
+            broken = [m for k, m in enumerate(METRICS) if over[k][i] and (k % 2 == 0 or ratio(k // 2, i) >= SEQUENCE)]
+            if broken:
+                out["breaches"].append({"position": self.positions[i], "eval_id": self.names[i], "metrics": broken})
+        return out
+
+
+def audit(rows: DataFrame, evaluation: DataFrame, related: DataFrame | None = None) -> DataFrame:
     """Per row the nearest evaluation row by the mean of METRICS, each metric's greatest value and where, breaches, and whether it passes.
 
-    checked tells whether any evaluation row is left that isn't declared related; a row that can't be checked doesn't pass.
+    rows(row_id, question, answer), evaluation(eval_id, position, question, answer), related(row_id, eval_ids), whose pairs are declared and
+    don't count but for the nearest. The earliest of equal evaluation rows is named. Each part of the evaluation rows is indexed in the tasks; ratios
+    of texts in lower case are computed only for pairs that can still be a greatest one, the nearest or a breach.
+
+    Cases: every row of rows is in the result, rows of one row_id as one. A null text has no metrics of its side. checked tells whether all four metrics
+    could be taken from an evaluation row that isn't declared related; a row that can't be checked doesn't pass, so none does where evaluation is empty.
     """
-    scores = materialize(scores, "leakage")
-    mean = sum((F.col(m) for m in METRICS), F.lit(0.0)) / len(METRICS)
-    nearest = firsts(scores.withColumn("combined", mean), "combined").select("row_id", F.col("combined_eval_id").alias("nearest_eval_id"))
-    own = unrelated(scores, related) if related is not None else scores
-    out = nearest
-    for m in METRICS:
-        out = out.join(firsts(own, m), "row_id", "left")
-    limits = {"question_jaccard": QUESTION_JACCARD, "question_sequence": SEQUENCE, "answer_jaccard": ANSWER_JACCARD, "answer_sequence": SEQUENCE}
-    breached = F.array_compact(F.array(*(F.when(F.col(m) >= v, m) for m, v in limits.items())))
-    breaches = own.withColumn("metrics", breached).where("size(metrics) > 0").groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("position", "eval_id", "metrics"))).alias("b"))
-    out = out.join(breaches, "row_id", "left")
-    listed = F.coalesce(F.transform("b", lambda s: F.struct(s["eval_id"].alias("eval_id"), s["metrics"].alias("metrics"))), F.array().cast("array<struct<eval_id:string,metrics:array<string>>>"))
-    out = out.withColumn("breaches", listed).withColumn("checked", F.col(f"{METRICS[0]}_eval_id").isNotNull())
-    return out.withColumn("passed", F.col("checked") & (F.size("breaches") == 0)).drop("b")
+    ship(rows.sparkSession)
+    side = lambda d: [F.lower("question").alias("q"), F.lower("answer").alias("a"), text.word_tokens(F.col("question")).alias("qs"), text.word_tokens(F.col("answer")).alias("as")]
+    own = rows.select("row_id", *side(rows))
+    kind = own.schema["row_id"].dataType.simpleString()
+    if related is not None:
+        declared = related.groupBy(F.col("row_id").alias("r")).agg(F.flatten(F.collect_list("eval_ids")).alias("without"))
+        own = own.join(declared, F.col("row_id") == F.col("r"), "left").drop("r")
+    else:
+        own = own.withColumn("without", F.lit(None).cast("array<string>"))
+    own, found = spread(own), None
+    best = (*METRICS, "nearest")
+    for part in parts(evaluation, "eval_id", "question", "answer"):  # a stated set against all rows, in parts of bounded size
+        stated = part.select("eval_id", F.col("position").cast("long").alias("position"), *side(part)).orderBy("position", "eval_id").toArrow()
+        names, positions, questions, answers, qs, as_ = (stated.column(c).to_pylist() for c in ("eval_id", "position", "q", "a", "qs", "as"))
+        sent = rows.sparkSession.sparkContext.broadcast(Stated(names, positions, questions, answers, (qs, as_)))
+
+        def run(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(0, batch.num_rows, 256):
+                    some = batch.slice(i, 256)
+                    got = [sent.value.against((q, a), (qs, as_), w) for q, a, qs, as_, w in zip(*(some.column(c).to_pylist() for c in ("q", "a", "qs", "as", "without")))]
+                    columns = [pa.array([g[c] for g in got], _BREACH if c == "breaches" else _BEST) for c in (*best, "breaches")]
+                    yield pa.RecordBatch.from_arrays([some.column("row_id"), *columns], names=["row_id", *best, "breaches"])
+
+        schema = ", ".join([f"row_id {kind}", *(f"{c} struct<similarity:double,before:long,eval_id:string>" for c in best), "breaches array<struct<position:long,eval_id:string,metrics:array<string>>>"])
+        got = own.mapInArrow(run, schema)
+        found = got if found is None else found.unionByName(got)
+    merged = found.groupBy("row_id").agg(*(F.max(c).alias(c) for c in best), F.array_distinct(F.array_sort(F.flatten(F.collect_list("breaches")))).alias("breaches"))
+    each = [c for m in METRICS for c in (F.col(f"{m}.eval_id").alias(f"{m}_eval_id"), F.col(f"{m}.similarity").alias(m))]
+    listed = F.transform("breaches", lambda s: F.struct(s["eval_id"].alias("eval_id"), s["metrics"].alias("metrics"))).alias("breaches")
+    checked = reduce(lambda x, y: x & y, (F.col(m).isNotNull() for m in METRICS))
+    out = merged.select("row_id", F.col("nearest.eval_id").alias("nearest_eval_id"), *each, listed).withColumn("checked", checked)
+    return materialize(out.withColumn("passed", F.col("checked") & (F.size("breaches") == 0)), "leakage")
 
 
 def unchecked(audited: DataFrame) -> DataFrame:
-    """Violations (rule, row_id, detail): rows whose evaluation rows are all declared related, so that nothing tells whether they leak."""
+    """Violations (rule, row_id, detail): rows without a metric, as no evaluation row or text is left to take it from, so that nothing tells whether they leak."""
     return audited.where("not checked").select(F.lit("no_independent_evaluation_row").alias("rule"), F.col("row_id").cast("string").alias("row_id"), F.lit("").alias("detail"))
 
 

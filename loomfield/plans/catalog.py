@@ -868,12 +868,9 @@ j AS (SELECT conv_id, turn, item_id, CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0.0
 SELECT conv_id, turn, max(jaccard) AS best FROM j GROUP BY ALL""")
 def n4_jaccard(spark, d):
     """Every turn's greatest token similarity to any benchmark item."""
-    a = spread(table(spark, d, "conversations").select("conv_id", "turn", text.alnum_tokens(F.col("text")).alias("a")))
-    out = None
-    for part in leakage.parts(table(spark, d, "benchmark").select("item_id", text.alnum_tokens(F.col("text")).alias("b")), "item_id"):
-        got = a.join(F.broadcast(part)).groupBy("conv_id", "turn").agg(F.max(text.jaccard(F.col("a"), F.col("b"))).alias("best"))
-        out = got if out is None else out.unionByName(got)
-    return out.groupBy("conv_id", "turn").agg(F.max("best").alias("best"))
+    a = table(spark, d, "conversations").select(F.struct("conv_id", "turn").alias("row_id"), text.alnum_tokens(F.col("text")).alias("tokens"))
+    b = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("eval_id"), F.col("item_id").cast("long").alias("position"), text.alnum_tokens(F.col("text")).alias("tokens"))
+    return leakage.best_sets(a, b).select("row_id.conv_id", "row_id.turn", F.col("similarity").alias("best"))
 
 
 @query()
@@ -1040,15 +1037,15 @@ def j5_similar_pairs(spark, d):
 @query(with_(QA, _EVAL, _J5) + """ SELECT row_id, eval_id AS question_jaccard_eval_id, question_jaccard FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY question_jaccard DESC, position) AS n FROM sc WHERE NOT (row_id % 5 = 0 AND eval_id IN ('item1', 'item2'))) WHERE n = 1""")
 def j6_v1_unrelated_maxima(spark, d):
     rows, ev = _leak_rows(spark, d), _evaluation(spark, d)
-    related = rows.where("row_id % 5 = 0").select("row_id", F.array(F.lit("item1"), F.lit("item2")).alias("eval_ids"))
-    s = leakage.unrelated(leakage.token_scores(rows, ev), related).join(ev.select("eval_id", "position"), "eval_id")
-    return leakage.firsts(s, "question_jaccard")
+    declared = F.when(F.col("row_id") % 5 == 0, F.array(F.lit("item1"), F.lit("item2")))
+    best = leakage.best_sets(rows.select("row_id", text.word_tokens(F.col("question")).alias("tokens"), declared.alias("without")), ev.select("eval_id", "position", text.word_tokens(F.col("question")).alias("tokens")))
+    return best.select("row_id", F.col("eval_id").alias("question_jaccard_eval_id"), F.col("similarity").alias("question_jaccard"))
 
 
 @query()
 def v1_v2_audit(spark, d):
     """All four metrics against all evaluation rows."""
-    return leakage.audit(leakage.all_scores(_leak_rows(spark, d), _evaluation(spark, d))).withColumn("breaches", F.size("breaches"))
+    return leakage.audit(_leak_rows(spark, d), _evaluation(spark, d)).withColumn("breaches", F.size("breaches"))
 
 
 @query(with_(QA) + f""" SELECT q.id AS row_id, side FROM (SELECT id, 'question' AS side, {_ALNUM('question')} AS k FROM qa UNION ALL SELECT id, 'answer', {_ALNUM('answer')} FROM qa) q

@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+import re
 from difflib import SequenceMatcher
 
 import pytest
@@ -10,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomfield.operators import crawl, duplication, leakage, split, verify
+from loomfield.operators import crawl, duplication, leakage, nearest, split, verify
 from loomfield.plans import reports
 from loomfield.sources import tables
 
@@ -120,18 +121,101 @@ def test_audit(spark):
     rows = [(1, "How do I list files?", "Use ls."), (2, "What is a tree?", "A graph without cycles.")]
     ev = [("e1", 0, "how do i list files", "use dir."), ("e2", 1, "How do I list files?", "Use ls."), ("e3", 2, "unlike", "nothing")]
     r, e = spark.createDataFrame(rows, "row_id long, question string, answer string"), spark.createDataFrame(ev, "eval_id string, position int, question string, answer string")
-    got = {x.row_id: x for x in leakage.audit(leakage.all_scores(r, e)).collect()}
+    got = {x.row_id: x for x in leakage.audit(r, e).collect()}
     assert got[1].question_jaccard == 1.0 and got[1].question_jaccard_eval_id == "e1" and got[1].nearest_eval_id == "e2"  # the first of equal maxima
     assert got[1].question_sequence_eval_id == "e2" and [b.eval_id for b in got[1].breaches] == ["e1", "e2"] and not got[1].passed and got[2].passed
     assert got[2].answer_sequence == max(SequenceMatcher(None, "a graph without cycles.", x[3].lower()).ratio() for x in ev)
-    related = spark.createDataFrame([(1, ["e1", "e2"])], "row_id long, eval_ids array<string>")
-    audited = leakage.audit(leakage.all_scores(r, e), related)
+    related = spark.createDataFrame([(1, ["e1"]), (1, ["e2"])], "row_id long, eval_ids array<string>")
+    audited = leakage.audit(r, e, related)
     assert audited.where("passed").count() == 2 and leakage.unchecked(audited).count() == 0
-    everything = leakage.audit(leakage.all_scores(r, e), spark.createDataFrame([(1, ["e1", "e2", "e3"])], "row_id long, eval_ids array<string>"))
+    everything = leakage.audit(r, e, spark.createDataFrame([(1, ["e1", "e2", "e3"])], "row_id long, eval_ids array<string>"))
     assert [(x.rule, x.row_id) for x in leakage.unchecked(everything).collect()] == [("no_independent_evaluation_row", "1")]
     assert [x.row_id for x in everything.where("passed").collect()] == [2] and not everything.where("row_id = 1").first().passed
 
 
+def test_what_cannot_be_audited_does_not_pass(spark):
+    r = spark.createDataFrame([(1, "a question", None), (2, None, "an answer"), (3, "a question", "an answer"), (4, None, None)], "row_id long, question string, answer string")
+    kinds = "eval_id string, position int, question string, answer string"
+    none = leakage.audit(r, spark.createDataFrame([], kinds))
+    assert {(x.row_id, x.checked, x.passed) for x in none.collect()} == {(i, False, False) for i in (1, 2, 3, 4)}
+    with pytest.raises(ValueError, match="no_independent_evaluation_row"):
+        verify.gate(leakage.unchecked(none))
+    some = leakage.audit(r, spark.createDataFrame([("e1", 0, "other words", "unlike")], kinds))
+    assert {x.row_id: (x.checked, x.passed) for x in some.collect()} == {1: (False, False), 2: (False, False), 3: (True, True), 4: (False, False)}
+    half = leakage.audit(r, spark.createDataFrame([("e1", 0, "other words", None), ("e2", 1, "a question", None)], kinds))
+    got = {x.row_id: x for x in half.collect()}
+    assert not got[3].checked and got[3].question_jaccard == 1.0 and got[3].answer_jaccard is None and got[3].nearest_eval_id is None
+    assert [tuple(b) for b in got[3].breaches] == [("e2", ["question_jaccard", "question_sequence"])]
+
+
+@pytest.mark.parametrize("part", [5_000, 4])
+def test_audit_against_every_pair(spark, monkeypatch, part):
+    monkeypatch.setattr(leakage, "PART", part)
+    rng = random.Random(11)
+    some = lambda n: "".join(rng.choice("etaoin shrdlu etaoin .") for _ in range(n))
+    ev = [(f"e{i}", i, some(rng.choice([0, 5, 90, 210, 300])), some(rng.choice([30, 199, 200, 400]))) for i in range(14)]
+    ev += [("e14", 14, ev[0][2], ev[0][3]), ("e15", 15, None, some(50))]
+    rows = [(i, some(rng.choice([0, 30, 150, 260])), some(rng.choice([10, 180, 350]))) for i in range(12)]
+    rows += [(20, ev[3][2], ev[4][3][:-9] + "end"), (21, ev[1][2] + " more", ev[2][3]), (22, ev[0][2], ev[0][3])]
+    related = {3: ["e1", "e2"], 21: ["e2"], 22: ["e0", "nowhere"]}
+    sets = lambda t: set(re.findall(r"\w+", t.lower()))
+    like = lambda x, y: len(sets(x) & sets(y)) / len(sets(x) | sets(y)) if sets(x) and sets(y) else 0.0
+    ratio = lambda x, y: SequenceMatcher(None, x.lower(), y.lower()).ratio()
+    r, e = spark.createDataFrame(rows, "row_id long, question string, answer string"), spark.createDataFrame(ev, "eval_id string, position int, question string, answer string")
+    given = spark.createDataFrame(list(related.items()), "row_id long, eval_ids array<string>")
+    limits = dict(zip(leakage.METRICS, (0.35, 0.8, 0.35, 0.8)))
+    for x in leakage.audit(r, e, given).collect():
+        _, q, a = next(y for y in rows if y[0] == x.row_id)
+        each = {n: dict(zip(leakage.METRICS, (None if eq is None else like(q, eq), None if eq is None else ratio(q, eq), like(a, ea), ratio(a, ea)))) for n, _, eq, ea in ev}
+        own = {n: m for n, m in each.items() if n not in related.get(x.row_id, [])}
+        for m in leakage.METRICS:
+            best = max(v[m] for v in own.values() if v[m] is not None)
+            assert x[m] == best and x[f"{m}_eval_id"] == next(n for n, v in own.items() if v[m] == best)
+        assert x.checked and [(b.eval_id, b.metrics) for b in x.breaches] == [(n, got) for n, v in own.items() if (got := [m for m in leakage.METRICS if v[m] is not None and v[m] >= limits[m]])]
+        mean = {n: sum(v.values()) / 4 for n, v in each.items() if None not in v.values()}
+        assert x.nearest_eval_id == max(mean, key=lambda n: round(mean[n], 12)) and x.passed == (not x.breaches)
+
+
+_texts = st.text(st.sampled_from("abcdé \U0001f600"), max_size=260) | st.text(st.sampled_from("ab "), min_size=190, max_size=230)
+
+
+@settings(max_examples=150, deadline=None)
+@given(_texts, st.lists(_texts, min_size=1, max_size=3))
+def test_ratios_and_their_bounds(text, others):
+    index = nearest.Texts([*others, None])
+    bound = index.bounds(text)
+    assert bound[-1] != bound[-1]
+    for i, other in enumerate(others):
+        ratio = SequenceMatcher(None, text, other).ratio()
+        assert index.ratio(text, i) == ratio <= bound[i]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from("abcdefghijklmnop"), max_size=30), st.lists(st.none() | st.lists(st.sampled_from("abcdefghijklmnopq"), max_size=30), min_size=1, max_size=9), st.sets(st.integers(0, 8)))
+def test_most_alike_sets(tokens, stated, without):
+    index, without = nearest.Sets(stated), frozenset(i for i in without if i < len(stated))
+    like = [len(set(tokens) & set(s)) / len(set(tokens) | set(s)) if s and tokens else 0.0 for s in stated if s is not None]
+    assert [v for v in index.all(tokens) if v == v] == like
+    values = {i: len(set(tokens) & set(s)) / len(set(tokens) | set(s)) if s and tokens else 0.0 for i, s in enumerate(stated) if s is not None and i not in without}
+    got = index.best(tokens, without)
+    assert got == (max(((i, v) for i, v in values.items()), key=lambda x: (x[1], -x[0])) if values else None)
+
+
+@pytest.mark.parametrize("part", [5_000, 7])
+def test_best_sets(spark, monkeypatch, part):
+    monkeypatch.setattr(leakage, "PART", part)
+    rng = random.Random(4)
+    some = lambda n: sorted({f"t{int(rng.paretovariate(0.6)) % 60}" for _ in range(n)})
+    ev = [(f"e{i}", i, some(rng.randrange(0, 20))) for i in range(40)] + [("none", 40, None)]
+    rows = [(i, some(rng.randrange(0, 25)), [f"e{j}" for j in range(0, 40, 3)] if i % 2 else None) for i in range(60)] + [(98, None, None), (99, ["t1"], [f"e{j}" for j in range(40)])]
+    got = leakage.best_sets(spark.createDataFrame(rows, "row_id long, tokens array<string>, without array<string>"), spark.createDataFrame(ev, "eval_id string, position int, tokens array<string>"))
+    want = {}
+    for i, t, without in rows:
+        like = [(len({*t} & {*s}) / len({*t} | {*s}) if t and s else 0.0, -p, n) for n, p, s in ev if s is not None and n not in (without or [])] if t is not None else []
+        want[i] = (max(like)[2], -max(like)[1], max(like)[0]) if like else (None, None, None)
+    assert {x.row_id: (x.eval_id, x.position, x.similarity) for x in got.collect()} == want
+
+
 def test_similar_pairs_with_a_word_in_every_row(spark):
     rng = random.Random(3)
     some = lambda n: " ".join(["the", *(f"w{int(rng.paretovariate(0.7)) % 300}" for _ in range(n))])
