@@ -208,12 +208,12 @@ def denied_terms(text: Column, terms=DENIED_TERMS) -> Column:
 
 
 def matching(text: Column, patterns: dict[str, str]) -> Column:
-    """Names of the patterns that text matches."""
-    return F.array_compact(F.array(*(F.when(text.rlike(p), n) for n, p in patterns.items())))
+    """Names of the patterns that text matches, in whatever case of letters."""
+    return F.array_compact(F.array(*(F.when(text.rlike(f"(?i){p}"), n) for n, p in patterns.items())))
 
 
 def addition_violations(addition: Column, original: Column, exact: bool = True) -> Column:
-    """Names, in their order, of the rules that a sentence added to an answer breaks. exact: case is folded; else letters are put in lower case."""
+    """Names, in alphabetical order, of the rules that a sentence added to an answer breaks. exact: case is folded; else letters are put in lower case."""
     fold = casefold if exact else F.lower
     spans, given = code_spans(addition), code_spans(original)
     says = lambda pattern: addition.rlike(pattern)

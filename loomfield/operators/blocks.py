@@ -57,15 +57,20 @@ def starts(docs: DataFrame, seed: int = 42) -> DataFrame:
 def pack(docs: DataFrame, length: int, end: int, pad: int, seed: int = 42) -> DataFrame:
     """split, block, input_ids, attention_mask from docs(split, canonical_url, ids). Documents may span blocks; the last block is padded.
 
-    A document is sent as one slice for each block that it lies in, so what moves is a row for each slice, not for each token.
+    A document is sent as one slice for each block that it lies in, so what moves is a row for each slice, not for each token, and no row
+    holds more of a document than its slice.
     """
     placed = docs.join(starts(docs.select("split", "canonical_url", F.size("ids").alias("n")), seed).drop("n"), ["split", "canonical_url"])
     ids, start = F.concat("ids", F.array(F.lit(end))), F.col("start")
-    first, last = F.floor(start / length).cast("long"), F.floor((start + F.size("ids")) / length).cast("long")
-    each = placed.select("split", "start", ids.alias("ids"), F.explode(F.sequence(first, last)).alias("block"))
-    begins = F.greatest(F.lit(0), F.col("block") * length - start).cast("int")
-    at = (start + begins - F.col("block") * length).cast("int")
-    pieces = each.select("split", "block", F.struct(at.alias("at"), F.slice("ids", begins + 1, F.lit(length) - at).alias("ids")).alias("piece"))
+    placed = placed.select("split", "start", ids.alias("ids"))
+
+    def piece(block):  # of one document in one block
+        begins = F.greatest(F.lit(0), block * length - start).cast("int")
+        at = (start + begins - block * length).cast("int")
+        return F.struct(block.alias("block"), F.struct(at.alias("at"), F.slice("ids", begins + 1, F.lit(length) - at).alias("ids")).alias("piece"))
+
+    first, last = F.floor(start / length).cast("long"), F.floor((start + F.size("ids") - 1) / length).cast("long")
+    pieces = placed.select("split", F.explode(F.transform(F.sequence(first, last), piece)).alias("p")).select("split", "p.block", "p.piece")
     blocks = pieces.groupBy("split", "block").agg(F.array_sort(F.collect_list("piece")).alias("x")).withColumn("x", F.flatten(F.transform("x", lambda p: p["ids"])))
     free = F.lit(length) - F.size("x")
     return blocks.select(

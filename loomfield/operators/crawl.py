@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomfield.functions import urls
-from loomfield.plans.shared import discard, materialize_at, ship
+from loomfield.plans.shared import broadcast_if_small, discard, materialize_at, ship
 
 #: A Markdown link to an absolute or root-relative place.
 MARKDOWN_LINK = r"\[([^\]]+)\]\((https?://[^)]+|/[^)]+)\)"
@@ -124,31 +124,60 @@ def extracted(pages: DataFrame) -> DataFrame:
     return text.withColumn("content_length", F.length("content"))
 
 
+#: Depths that one job goes down; of an unbounded search one only, once so many rows are found at a time.
+HOPS, WIDE = 8, 1_000_000
+#: So many links at most, of some 30 bytes each, are sent to all tasks.
+MOST_LINKS = 500_000
+
+
+def _hop(state: DataFrame, links: DataFrame, depth: int, cap: int | None) -> DataFrame:
+    """state(seed, node, depth, place) with what its nodes of that depth link to, each node where it comes first."""
+    step = state.join(links, (F.col("node") == F.col("src")) & (F.col("depth") == depth), "left")
+    own = F.struct("node", F.struct("depth", "place", F.lit(None).cast(links.schema["order"].dataType).alias("order"), F.lit(0).alias("new")).alias("at"))
+    next_ = F.struct(F.col("dst").alias("node"), F.struct(F.lit(depth + 1).alias("depth"), "place", "order", F.lit(1).alias("new")).alias("at"))
+    both = step.select("seed", F.inline(F.array(own, next_))).where("node is not null")
+    first = both.groupBy("seed", "node").agg(F.min("at").alias("at"))
+    if cap is None:
+        return first.select("seed", "node", "at.depth", F.lit(0).cast("long").alias("place"))
+    nth = F.row_number().over(Window.partitionBy("seed").orderBy("at", "node"))
+    return first.withColumn("nth", nth).where(F.col("nth") <= cap).select("seed", "node", "at.depth", F.col("nth").cast("long").alias("place"))
+
+
 def reachable(edges: DataFrame, seeds: DataFrame, cap: int | None = None) -> DataFrame:
     """(seed, node, depth): what can be reached from each of seeds(seed, node) over edges(src, dst), breadth first.
 
-    cap: the most nodes of a seed. Where a depth has more than are left, those reached from the earliest nodes stay, by
-    order if edges has that column, then by node; the next depth goes on from them. Rounds go on until none finds a node.
-    Each is stored by itself and joins its frontier only; all rounds are united at the end.
+    cap: the most nodes of a seed, which are those a queue gives first: start nodes by order if seeds has that column, then by node;
+    what a node links to by order if edges has that column, then by node. Jobs go down HOPS depths each until no node is found, and each stores what
+    it found. With a cap that is a seed's whole queue, cap rows at most, with their places. Without one it is the new nodes only; walks of a
+    job may come back over nodes found before, so where they are many a job goes down one depth.
+
+    Cases: repeated seeds and links count once, at their first place; null nodes are none; without seeds or a positive cap there are no rows.
     """
     spark = edges.sparkSession
     order = F.col("order") if "order" in edges.columns else F.col("dst")
-    new, at = materialize_at(seeds.groupBy("seed", "node").agg(F.lit(0).alias("depth"), F.lit(0).cast("long").alias("place")), "reach")
-    rounds, seen = [at], new
+    links, drawn = materialize_at(edges.select("src", "dst", order.alias("order")).where("src is not null and dst is not null"), "links")
+    links = broadcast_if_small(links, MOST_LINKS)
+    first = F.col("order") if "order" in seeds.columns else F.col("node")
+    start = seeds.where("node is not null").groupBy("seed", "node").agg(F.min(first).alias("order"), F.lit(0).alias("depth"))
+    start = start.withColumn("place", F.row_number().over(Window.partitionBy("seed").orderBy("order", "node")).cast("long") if cap is not None else F.lit(0).cast("long"))
+    start = start.where(F.lit(True) if cap is None else F.col("place") <= cap).select("seed", "node", "depth", "place")
+    new, at = materialize_at(start, "reach")
+    rounds, seen, depth, hops = [at], new, 0, HOPS
     while True:
-        step = new.join(edges.select("src", "dst", order.alias("order")), F.col("node") == F.col("src"))
-        found = step.groupBy("seed", F.col("dst").alias("node")).agg(F.min(F.struct(F.col("place").alias("p"), F.col("order").alias("o"))).alias("first"))
-        found = found.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(len(rounds)))
+        state = new if cap is not None else new.where(F.col("depth") == depth)
+        for k in range(hops):
+            state = _hop(state, links, depth + k, cap)
+        depth += hops
         if cap is None:
-            found = found.select("seed", "node", "depth", F.lit(0).cast("long").alias("place"))
-        else:
-            nth = F.row_number().over(Window.partitionBy("seed").orderBy("first", "node")).cast("long")
-            left = F.lit(cap) - F.coalesce("have", F.lit(0))
-            found = found.withColumn("place", nth).join(seen.groupBy("seed").agg(F.count("*").alias("have")), "seed", "left").where(F.col("place") <= left)
-            found = found.select("seed", "node", "depth", "place")
-        new, at = materialize_at(found, "reach")
-        if new.isEmpty():
-            discard(spark, at)
-            return seen.select("seed", "node", "depth")
+            state = state.where(F.col("depth") > depth - hops).join(seen.select("seed", "node"), ["seed", "node"], "left_anti")
+        new, at = materialize_at(state, "reach")
+        n, deepest = new.agg(F.count("*"), F.max("depth")).first()
+        if cap is not None:
+            discard(spark, *rounds)
+            rounds = []
         rounds.append(at)
         seen = spark.read.schema(new.schema).parquet(*rounds)
+        if deepest != depth:
+            discard(spark, drawn)
+            return seen.select("seed", "node", "depth")
+        hops = HOPS if cap is not None or n <= WIDE else 1

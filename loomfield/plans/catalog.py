@@ -939,9 +939,15 @@ def n13_added_sentences(spark, d):
 _TERMS = "[" + ", ".join(f"'{t}'" for t in text.DENIED_TERMS) + "]"
 
 
-@query(f"WITH t AS (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN text || ' Coding Agent and rm -rf / MCP' ELSE text END AS t FROM benchmark) SELECT item_id, list_filter({_TERMS}, lambda x: contains(lower(t), x)) AS terms, CASE WHEN regexp_matches(t, '(?:^|\\s)rm\\s+-rf(?:\\s|$)') THEN ['destructive rm'] ELSE CAST([] AS VARCHAR[]) END AS outputs FROM t")
+_SAID = {0: " Coding Agent and rm -rf / MCP", 1: " RM -Rf / then Git RESET --HARD", 2: " docker SYSTEM prune; CHMOD 777; kill -9 1", 3: " git clean -xdF\nanswer: no"}
+
+
+@query(f"""WITH t AS (SELECT item_id, text || CASE CAST(item_id % 5 AS INTEGER) {" ".join(f"WHEN {k} THEN {' || chr(10) || '.join(f"'{p}'" for p in v.split(chr(10)))}" for k, v in _SAID.items())} ELSE '' END AS t FROM benchmark)
+SELECT item_id, list_filter({_TERMS}, lambda x: contains(lower(t), x)) AS terms, list_filter([{", ".join(f"CASE WHEN regexp_matches(t, '(?i){p}') THEN '{n}' END" for n, p in text.DENIED_OUTPUTS.items())}], lambda x: x IS NOT NULL) AS outputs FROM t""")
 def n12_denied(spark, d):
-    t = F.when(F.col("item_id") % 2 == 0, F.concat("text", F.lit(" Coding Agent and rm -rf / MCP"))).otherwise(F.col("text"))
+    """Items with denied terms and outputs added, in letters of either case."""
+    said = F.coalesce(*(F.when(F.col("item_id") % 5 == k, F.lit(v)) for k, v in _SAID.items()), F.lit(""))
+    t = F.concat("text", said)
     return table(spark, d, "benchmark").select("item_id", text.denied_terms(t).alias("terms"), text.matching(t, text.DENIED_OUTPUTS).alias("outputs"))
 
 

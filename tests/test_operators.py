@@ -11,7 +11,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomfield.operators import crawl, duplication, leakage, nearest, split, verify
+from loomfield.functions import text
+from loomfield.operators import blocks, crawl, duplication, leakage, nearest, split, verify
 from loomfield.plans import reports
 from loomfield.sources import tables
 
@@ -79,6 +80,24 @@ def test_near_pairs(spark):
     assert got == want
 
 
+def test_denied_outputs_in_any_case(spark):
+    said = ["rm -rf /", "RM -RF /", "please GIT RESET --HARD", "Kill -9 1", "CHMOD 777", "x\nanswer: y", "harm -rf", "git  Clean -xdF", "DOCKER system\tPRUNE"]
+    df = spark.createDataFrame([(t,) for t in said], "t string").select("t", text.matching(F.col("t"), text.DENIED_OUTPUTS).alias("found"))
+    want = {t: [n for n, p in text.DENIED_OUTPUTS.items() if re.search(p, t, re.IGNORECASE)] for t in said}
+    assert {r.t: r.found for r in df.collect()} == want and sum(map(bool, want.values())) == 8
+
+
+@pytest.mark.parametrize("length", [1, 4, 7])
+def test_blocks_of_documents_of_any_length(spark, length):
+    docs = [("a", f"u{i}", list(range(100 * i, 100 * i + n))) for i, n in enumerate([0, 1, 3, 4, 7, 50, 8])]
+    df = spark.createDataFrame(docs, "split string, canonical_url string, ids array<int>")
+    begin = {r.canonical_url: r.start for r in blocks.starts(df.select("split", "canonical_url", F.size("ids").alias("n"))).collect()}
+    stream = [t for _, u, ids in sorted(docs, key=lambda x: begin[x[1]]) for t in [*ids, -5]]
+    got = sorted((r.block, r.input_ids, r.attention_mask) for r in blocks.pack(df, length, -5, -1).collect())
+    assert [b for b, *_ in got] == list(range(-(-len(stream) // length))) and all(len(x) == len(m) == length for _, x, m in got)
+    assert [t for _, x, m in got for t, on in zip(x, m) if on] == stream and all(t == -1 for _, x, m in got for t, on in zip(x, m) if not on)
+
+
 def brute_pairs(texts, k=8, similarity=0.3, containment=0.6):
     """{(group, a, b, shared, union, least)} of (group, key, text)."""
     sets = [(g, i, {" ".join(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if (w := (t or "").split()) else {""}) for g, i, t in texts if g is not None and t is not None]
@@ -238,6 +257,30 @@ def test_reachability(spark):
     assert crawl.reachable(edges, seeds.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("hops", [1, 3, 8])
+@pytest.mark.parametrize("cap", [0, 1, 2, 9, None])
+def test_reachability_from_several_start_nodes(spark, monkeypatch, hops, cap):
+    """A queue that begins with the start nodes in their order."""
+    monkeypatch.setattr(crawl, "HOPS", hops)
+    rng = random.Random(8)
+    links = {i: [rng.randrange(40) for _ in range(rng.randrange(4))] for i in range(40)} | {100 + i: [101 + i] for i in range(20)}
+    starts = {"a": [7, 3, 7, 11], "b": [100, 2], "c": [999]}
+    edges = spark.createDataFrame([(i, k, n) for i, to in links.items() for n, k in enumerate(to)] + [(3, None, 9)], "src long, dst long, order int")
+    seeds = spark.createDataFrame([(s, n, i) for s, nodes in starts.items() for i, n in enumerate(nodes)] + [("a", None, 0)], "seed string, node long, order int")
+    got = {(r.seed, r.node): r.depth for r in crawl.reachable(edges, seeds, cap).collect()}
+    want = {}
+    for seed, first in starts.items():
+        queue = list(dict.fromkeys(first))
+        depth = dict.fromkeys(queue, 0)
+        for node in queue:
+            for k in links.get(node, []):
+                if k not in depth:
+                    depth[k] = depth[node] + 1
+                    queue.append(k)
+        want |= {(seed, n): depth[n] for n in queue[:cap]}
+    assert got == want
+
+
 @pytest.mark.parametrize("cap", [1, 7, 40])
 def test_reachability_up_to_a_cap(spark, cap):
     """Breadth first with a queue, links in their order."""
