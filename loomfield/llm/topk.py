@@ -14,7 +14,7 @@ Every task returns k rows a query at most, and the best k of those remain.
 
 Cases: rows without an id or a vector, or with null, NaN or infinite components, take no part. A vector shorter
 than the query's counts as if it ended in zeros. Rows with the query's own id aren't candidates for it; a
-repeated query row is answered once per id with its greatest scores. Ties go to the smaller id, repeated
+query id with several vectors is answered once, each candidate row with its greatest score for any of them. Ties go to the smaller id, repeated
 candidates count as often as they are there. An empty table gives no rows; fewer than k candidates give all.
 Products beyond the exact range of doubles are summed as exact integers; a score that doesn't fit 64 bits is an error. Other columns aren't read.
 """
@@ -108,8 +108,11 @@ def ranges(x: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def search(queries: Queries, ids: np.ndarray, x: np.ndarray, k: int, best_s: np.ndarray, best_i: np.ndarray) -> int:
-    """Merges the best of x into best_s, best_i (queries by k, NONE where none); returns the number of scored pairs."""
+def search(queries: Queries, ids: np.ndarray, x: np.ndarray, k: int, best_s: np.ndarray, best_i: np.ndarray, rows_of: tuple[np.ndarray, np.ndarray] | None = None) -> int:
+    """Merges the best of x into best_s, best_i (queries by k, NONE where none); returns the number of scored pairs.
+
+    rows_of: numbers of the rows of x, and where those of the best are kept beside best_i.
+    """
     width = max(queries.vectors.shape[1], x.shape[1])
     q = np.pad(queries.vectors, ((0, 0), (0, width - queries.vectors.shape[1])))
     x = np.pad(x, ((0, 0), (0, width - x.shape[1])))
@@ -138,6 +141,9 @@ def search(queries: Queries, ids: np.ndarray, x: np.ndarray, k: int, best_s: np.
             top = np.lexsort((all_i, ~all_s), axis=1)[:, :k]
             best_s[who] = np.take_along_axis(all_s, top, 1)
             best_i[who] = np.take_along_axis(all_i, top, 1)
+            if rows_of is not None:
+                nth, best_n = rows_of
+                best_n[who] = np.take_along_axis(np.concatenate([best_n[who], np.broadcast_to(nth[rows], s.shape)], axis=1), top, 1)
     return done
 
 
@@ -146,12 +152,22 @@ def _task(sent, k: int) -> Callable:
         queries: Queries = sent.value
         best_s = np.full((len(queries.ids), k), NONE)
         best_i = np.full((len(queries.ids), k), np.iinfo(np.int64).max)
+        repeats = len(np.unique(queries.ids)) < len(queries.ids)
+        best_n, seen = np.zeros_like(best_i) if repeats else None, 0
         for batch in batches:
-            if batch.num_rows:
+            if n := batch.num_rows:
                 x = matrix(batch.column(1), queries.vectors.shape[1])
-                search(queries, batch.column(0).to_numpy(), x, k, best_s, best_i)
+                search(queries, batch.column(0).to_numpy(), x, k, best_s, best_i, (np.arange(seen, seen + n), best_n) if repeats else None)
+                seen += n
         i, j = np.nonzero(best_s != NONE)
-        yield pa.RecordBatch.from_arrays([pa.array(queries.ids[i]), pa.array(best_i[i, j]), pa.array(best_s[i, j])], names=["query_id", "vec_id", "score"])
+        query, vec, score = queries.ids[i], best_i[i, j], best_s[i, j]
+        if repeats:  # a candidate row once for each query id, with its greatest score
+            row = best_n[i, j]
+            order = np.lexsort((-score, row, query))
+            query, vec, score, row = query[order], vec[order], score[order], row[order]
+            once = np.concatenate([[True], (np.diff(query) != 0) | (np.diff(row) != 0)]) if len(row) else np.empty(0, bool)
+            query, vec, score = query[once], vec[once], score[once]
+        yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(vec), pa.array(score)], names=["query_id", "vec_id", "score"])
 
     return run
 
