@@ -44,7 +44,7 @@ ORDER, SHARE, MOST_ENTRIES = 4, 1e-6, 8_000_000
 #: One learning text in CALIBRATION calibrates where a language has FEWEST of them; so many texts at most.
 CALIBRATION, FEWEST, MOST_CALIBRATING = 10, 20, 20_000
 #: Bytes of text whose distinct words are taken together.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 BLANK, UNIT = 0x20, 1 << 20
 FOLDS, HELD_OUT = 4, 2
 U = np.uint64
