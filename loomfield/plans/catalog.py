@@ -14,7 +14,7 @@ from loomfield.operators import blocks, clean, crawl, duplication, evaluation, l
 from loomfield.plans import derived, reports
 from loomfield.plans.derived import ANSWERS, CORPUS, JUDGES, MODELS, QA, RAW, SCORES, table, with_
 from loomfield.plans.shared import new_path, spread
-from loomfield.sources import tables
+from loomfield.sources import numbered, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -60,6 +60,33 @@ def s1_s8_json_lines(spark, d):
     return tables.read_jsonl(spark, _lines(spark, d), _DOCS).select("doc_id", "lang", "source", F.sha2("text", 256).alias("text_sha256"))
 
 
+def _ordered_lines(df, by, tag):
+    """Lines of text(by, value) over several files in the order of by, with a blank line after every tenth; the folder that holds them."""
+    at = new_path(df.sparkSession, tag)
+    each = df.select(by, F.inline(F.array(F.struct(F.lit(0).alias("k"), "value"), F.struct(F.lit(1).alias("k"), F.when(F.col(by) % 10 == 0, " ").alias("value"))))).where("value is not null")
+    each.repartitionByRange(4, by).sortWithinPartitions(by, "k").select("value").write.text(at)
+    return at
+
+
+@query("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS position, doc_id, sha256(text) AS text_sha256 FROM documents")
+def s1_numbered_json_lines(spark, d):
+    """Documents as JSON lines, with the positions of rows over all files; blank lines don't count."""
+    rows = table(spark, d, "documents").select("doc_id", F.to_json(F.struct("doc_id", "text")).alias("value"))
+    return numbered.read_jsonl_numbered(spark, _ordered_lines(rows, "doc_id", "numbered"), "doc_id long, text string").select("position", "doc_id", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("""WITH x AS (SELECT doc_id, doc_id + 1 + CASE WHEN doc_id = 0 THEN 0 ELSE (doc_id + 9) // 10 END AS line FROM documents) SELECT doc_id, CAST(line AS BIGINT) AS line FROM x WHERE doc_id % 37 = 5""")
+def s1_bad_lines(spark, d):
+    """The lines of one file that are no objects: every 37th is cut short. Blank lines count."""
+    text_ = F.to_json(F.struct("doc_id", F.substring("text", 1, 40).alias("text")))
+    rows = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 37 == 5, F.expr("substring(to_json(struct(doc_id, lang)), 1, length(to_json(struct(doc_id, lang))) - 2)")).otherwise(text_).alias("value"))
+    at = new_path(spark, "bad-lines")
+    each = rows.select("doc_id", F.inline(F.array(F.struct(F.lit(0).alias("k"), "value"), F.struct(F.lit(1).alias("k"), F.when(F.col("doc_id") % 10 == 0, " ").alias("value"))))).where("value is not null")
+    each.repartition(1).sortWithinPartitions("doc_id", "k").select("value").write.text(at)
+    bad = numbered.bad_lines(spark, at, "doc_id long, text string")
+    return bad.select(F.regexp_extract("value", '"doc_id":([0-9]+)', 1).cast("long").alias("doc_id"), "line")
+
+
 @query("SELECT doc_id, lang FROM documents")
 def s2_permissive_json_lines(spark, d):
     """Documents, and nothing from a folder that isn't there."""
@@ -434,6 +461,41 @@ def j10_v3_parity(spark, d):
     return verify.differing(q, chat, "id", ["question", "answer"], "chat_differs")
 
 
+@query(with_(QA) + """, o AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS position, count(*) OVER () AS n FROM qa)
+SELECT 'chat_differs' AS rule, CAST(position AS VARCHAR) AS row_id, '' AS detail FROM o WHERE id % 13 = 0 AND position < n - 1 UNION ALL SELECT 'chat_row', CAST(n - 1 AS VARCHAR), 'missing' FROM o WHERE position = 0
+UNION ALL SELECT 'row_index', CAST(position AS VARCHAR), '' FROM o WHERE id % 17 = 0 UNION ALL SELECT 'output_hash', CAST(position AS VARCHAR), '' FROM o WHERE id % 11 = 0 UNION ALL SELECT 'items_row', CAST(n AS VARCHAR), 'extra' FROM o WHERE position = 0""")
+def j10_v3_positions(spark, d):
+    """Three files held against each other by position: chat rows with some answers changed and the last one gone; metadata with wrong indexes and digests and one row too many."""
+    q = derived.qa(spark, d).select("id", F.col("question").alias("instruction"), F.col("answer").alias("output"))
+    last = q.agg(F.max("id").alias("m"), F.count("*").alias("n")).first()
+    message = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
+    chat = q.select("id", F.array(message("user", F.col("instruction")), message("assistant", F.when(F.col("id") % 13 == 0, F.concat("output", F.lit("!"))).otherwise(F.col("output")))).alias("messages"))
+    ordered = _ordered_lines(q.select("id", F.to_json(F.struct("id", "instruction", "output")).alias("value")), "id", "instructions")
+    rows = numbered.read_jsonl_numbered(spark, ordered, "id long, instruction string, output string")
+    meta = rows.select("id", F.when(F.col("id") % 17 == 0, F.col("position") + 1).otherwise(F.col("position")).alias("row_index"), F.sha2("instruction", 256).alias("instruction_sha256"), F.sha2(F.when(F.col("id") % 11 == 0, "?").otherwise(F.col("output")), 256).alias("output_sha256"))
+    meta = meta.unionByName(spark.range(1).select((F.lit(last.m) + 1).alias("id"), F.lit(last.n).cast("long").alias("row_index"), F.lit("").alias("instruction_sha256"), F.lit("").alias("output_sha256")))
+    chat_at = _ordered_lines(chat.where(F.col("id") < last.m).select("id", F.to_json(F.struct("messages")).alias("value")), "id", "chat")
+    meta_at = _ordered_lines(meta.select("id", F.to_json(F.struct("row_index", "instruction_sha256", "output_sha256")).alias("value")), "id", "metadata")
+    chat = numbered.read_jsonl_numbered(spark, chat_at, "messages array<struct<role:string,content:string>>").drop("file")
+    items = numbered.read_jsonl_numbered(spark, meta_at, "row_index long, instruction_sha256 string, output_sha256 string").drop("file")
+    return verify.positional_parity(rows.select("position", "instruction", "output"), chat, items)
+
+
+@query(with_(QA, SCORES) + """ SELECT q.id, q.question, CASE WHEN q.id % 3 = 0 THEN q.answer || ' (again)' ELSE q.answer END AS answer, s.score AS first_score FROM qa q LEFT JOIN (SELECT id, max(score) AS score FROM scores WHERE judge = 'first' GROUP BY id) s ON s.id = q.id""")
+def j8_last_row_wins(spark, d):
+    """The joined view of files in which ids are there several times: of each id the last row counts."""
+    q = derived.qa(spark, d)
+    answers = q.select("id", F.posexplode(F.array(F.lit("first try"), F.col("answer"), F.when(F.col("id") % 3 == 0, F.concat("answer", F.lit(" (again)"))))).alias("k", "answer")).where("answer is not null")
+    scores = derived.judge_scores(spark, d).where("judge = 'first'").select("id", F.col("score").alias("k"), F.col("model"))
+    read = {}
+    for name, rows, columns in (("answer", answers, ("id", "answer")), ("score", scores, ("id", "k", "model"))):
+        keyed = rows.withColumn("place", F.col("k").cast("long") * 1_000_000_000 + F.col("id"))  # all of the first rows, then all of the second
+        at = _ordered_lines(keyed.select("place", F.to_json(F.struct(*columns)).alias("value")), "place", name)
+        read[name] = numbered.last_rows(numbered.read_jsonl_numbered(spark, at, "id long, answer string" if name == "answer" else "id long, k int, model string").drop("file"), "id")
+    view = q.select("id", "question").join(read["answer"].select("id", "answer"), "id", "left")
+    return view.join(read["score"].select("id", F.col("k").alias("first_score")), "id", "left")
+
+
 @query(with_(QA, SCORES) + """, ids AS (SELECT id, 'qa' AS t FROM qa UNION SELECT id, 'scores' FROM scores UNION SELECT conv_id * 1000, 'even' FROM conversations)
   SELECT 'id_sets_differ' AS rule, CAST(id AS VARCHAR) AS row_id, array_to_string(list_filter(['even', 'qa', 'scores'], lambda x: NOT list_contains(list(t), x)), ',') AS detail FROM ids GROUP BY id HAVING count(*) < 3""")
 def j12_id_sets(spark, d):

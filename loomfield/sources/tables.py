@@ -11,9 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomfield.sources.numbered import check_lines
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """Strict: a line that is no object of the schema fails the job; blank lines are skipped, absent keys are null."""
+    """Strict: lines that are no objects of the schema are an error, which names file and line; blank lines are skipped, absent keys are null.
+
+    The lines are parsed once for that check, before the result is read.
+    """
+    check_lines(spark, path, schema)
     return spark.read.schema(schema).json(path, mode="FAILFAST")
 
 
