@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 
 from loomfield.functions import text
 from loomfield.functions.urls import strip
-from loomfield.plans.shared import ship, spread
+from loomfield.plans.shared import broadcast_if_small, materialize, ship, spread
 
 #: Fixed values of the paired bootstrap.
 SEED, RESAMPLES = 20260815, 20_000
 #: Words of the generator drawn at once.
 DRAWS = 1 << 20
-#: Keywords sent to all tasks at once.
-KEYWORDS = 10_000
+#: Keywords sent to all tasks at once, and characters of all of those, each a node of some 50 bytes at most.
+KEYWORDS, KEYWORD_CHARS = 100_000, 1 << 20
 
 
 def answer_metrics(answers: DataFrame, qa: DataFrame, normal: Callable[[Column], Column] = text.alnum) -> DataFrame:
@@ -64,15 +64,59 @@ def separate(wide: DataFrame) -> DataFrame:
     return wide.select("id", F.explode("answers").alias("model", "answer"))
 
 
+#: Ranges that a group's values are cut into, and distinct values that are sorted in one task.
+CUTS, SORTED = 1_024, 10_000
+#: Groups of so many at most are sent to all tasks, some 200 bytes each.
+MOST_GROUPS = 100_000
+
+
 def at_ranks(values: DataFrame, value: str, by: tuple[str, ...], ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """by and, for each name in ranks, the value at a rank, from 1, which is a function of the number of values that aren't null.
 
-    Values are counted before they are sorted, and the sorted counts are summed as a stream, so no group is ever one array.
+    Values are numbers. They are counted before anything else. While the values that may hold a rank are more than SORTED, they are cut into
+    CUTS ranges between their least and greatest, the ranges are counted, and only the one with the rank is kept: a round reads
+    counts, and what goes through a window is a row for each range. The few values left are sorted. So no task or buffer holds a
+    group's values, be it one of all rows.
+
+    Cases: nulls don't count; groups, which may be null, without a value aren't there; equal values take as many ranks as there are.
     """
-    counts = values.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__m"))
-    own = Window.partitionBy(*by)
-    counts = counts.withColumns({"__to": F.sum("__m").over(own.orderBy(value)), "__n": F.sum("__m").over(own)})
-    return counts.groupBy(*by).agg(*(F.min(F.when(F.col("__to") >= rank(F.col("__n")), F.col(value))).alias(name) for name, rank in ranks.items()))
+    made = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
+    counts = materialize(values.where(F.col(value).isNotNull()).select(made.alias("g"), F.col(value).alias("v")).groupBy("g", "v").agg(F.count("*").alias("m")), "counts")
+    groups = counts.groupBy("g").agg(F.sum("m").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("d"))
+    wanted = F.array(*(F.struct(F.lit(name).alias("name"), rank(F.col("n")).cast("long").alias("rank")) for name, rank in ranks.items()))
+    sought = materialize(groups.select("g", "low", "high", "d", F.lit(0).cast("long").alias("before"), F.inline(wanted)), "ranks")
+    own = Window.partitionBy("g", "name")
+
+    def within(some: DataFrame) -> DataFrame:
+        return counts.join(broadcast_if_small(some, MOST_GROUPS), "g").where(F.col("v").between(F.col("low"), F.col("high")))
+
+    largest = sought.agg(F.max("d")).first()[0] or 0
+    while largest > SORTED:
+        many = sought.where(F.col("d") > SORTED)
+        span = F.col("high").cast("double") - F.col("low").cast("double")
+        cut = F.least(F.lit(CUTS - 1), F.floor(F.coalesce(F.try_divide(F.col("v").cast("double") - F.col("low").cast("double"), span), F.lit(0.0)) * CUTS))
+        cuts = within(many).groupBy("g", "name", "rank", "before", cut.alias("cut")).agg(F.sum("m").alias("m"), F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("d"))
+        cuts = cuts.withColumn("upto", F.col("before") + F.sum("m").over(own.orderBy("cut"))).where(F.col("upto") >= F.col("rank"))
+        first = cuts.withColumn("nth", F.row_number().over(own.orderBy("cut"))).where("nth = 1")
+        first = first.select("g", "low", "high", "d", (F.col("upto") - F.col("m")).alias("before"), "name", "rank")
+        sought = materialize(first.unionByName(sought.where(F.col("d") <= SORTED)), "ranks")
+        last, largest = largest, sought.agg(F.max("d")).first()[0]
+        if largest == last:  # distinct numbers that are one as doubles
+            break
+    upto = F.col("before") + F.sum("m").over(own.orderBy("v"))
+    found = within(sought).withColumn("upto", upto).where(F.col("upto") >= F.col("rank")).groupBy("g", "name").agg(F.min("v").alias("v"))
+    wide = found.groupBy("g").agg(*(F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in ranks))
+    return wide.select(*(F.col("g")[c].alias(c) for c in by), *ranks)
+
+
+def halves_of(names: tuple[str, str] = ("lower", "upper")) -> dict[str, Callable[[Column], Column]]:
+    """The ranks of the two middle values, which are one where the number of values is odd."""
+    return {names[0]: lambda n: F.floor((n + 1) / 2), names[1]: lambda n: F.floor(n / 2) + 1}
+
+
+def middle(lower: str = "lower", upper: str = "upper") -> Column:
+    """The interpolated median of the values at the ranks of halves_of()."""
+    return F.col(lower) + (F.col(upper) - F.col(lower)) * 0.5
 
 
 def nearest_rank_of(q: float) -> Callable[[Column], Column]:
@@ -87,8 +131,9 @@ def floor_rank_of(p: int) -> Callable[[Column], Column]:
 
 def lengths(values: DataFrame, group: str, value: str) -> DataFrame:
     """Mean, interpolated median and floor-index 95th percentile."""
-    out = values.groupBy(group).agg(F.avg(value).alias("mean"), F.median(value).alias("median"))
-    ranks = at_ranks(values, value, (group,), {"p95": floor_rank_of(95)}).withColumnRenamed(group, "__g")
+    out = values.groupBy(group).agg(F.avg(value).alias("mean"))
+    ranks = at_ranks(values, value, (group,), {**halves_of(), "p95": floor_rank_of(95)})
+    ranks = ranks.select(F.col(group).alias("__g"), middle().alias("median"), "p95")
     return out.join(ranks, out[group].eqNullSafe(F.col("__g")), "left").drop("__g")
 
 
@@ -236,21 +281,42 @@ def judge_problems(raw: Column, letters: list[str]) -> Column:
     return F.array_compact(F.array(*(F.when(c, n) for n, c in rules.items())))
 
 
+def overlapping(keyword: str) -> bool:
+    """Whether two occurrences of keyword can overlap: whether it begins as it ends."""
+    return any(keyword.startswith(keyword[i:]) for i in range(1, len(keyword)))
+
+
 def occurrences_in(corpus: DataFrame, keywords: list[str]) -> DataFrame:
     """k, n: occurrences of each keyword, from the left and without overlaps in a text, summed over all texts of corpus(text) that aren't null.
 
-    The stated keywords go to every task, which counts each in all texts of a batch at once, with a character between the texts that no keyword has.
+    The stated keywords are one Aho-Corasick automaton in every task, so a text is read once whatever their number. It meets all
+    occurrences; of keywords that can overlap themselves, those that begin within the last one counted are left out. The empty keyword is at every place.
     """
-    used = set("".join(keywords))
-    mark = next(c for c in map(chr, range(0xE000, 0xF8FF)) if c not in used)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = [0] * len(keywords)
+        import ahocorasick
+
+        found, length = ahocorasick.Automaton(), [len(k) for k in keywords]
+        for i, k in enumerate(keywords):
+            if k:
+                found.add_word(k, i)
+        found.make_automaton()
+        some = len(found) > 0
+        watched = {i for i, k in enumerate(keywords) if overlapping(k)}
+        total, places = [0] * len(keywords), 0
         for batch in batches:
-            texts = [t for t in batch.column(0).to_pylist() if t is not None]
-            whole = mark.join(texts)
-            for i, k in enumerate(keywords):
-                total[i] += whole.count(k) if k else sum(len(t) + 1 for t in texts)
+            for text in batch.column(0).to_pylist():
+                if text is None:
+                    continue
+                places += len(text) + 1
+                ends: dict[int, int] = {}  # of the last occurrence counted
+                for end, i in found.iter(text) if some else ():
+                    if i in watched:
+                        if end - length[i] < ends.get(i, -1):
+                            continue
+                        ends[i] = end
+                    total[i] += 1
+        total = [n if k else places for k, n in zip(keywords, total)]
         yield pa.RecordBatch.from_arrays([pa.array(keywords, pa.string()), pa.array(total, pa.int64())], names=["k", "n"])
 
     return spread(corpus.select("text")).mapInArrow(count, "k string, n long").groupBy("k").agg(F.sum("n").alias("n"))
@@ -259,8 +325,9 @@ def occurrences_in(corpus: DataFrame, keywords: list[str]) -> DataFrame:
 def exposure(items: DataFrame, corpus: DataFrame) -> DataFrame:
     """id, min_occurrences, total_occurrences and log1p of both, of items(id, keywords) in corpus(text); items without keywords have no row."""
     each = items.select("id", F.explode("keywords").alias("k"))
-    keywords = each.select("k").distinct()
-    n = max(1, -(-keywords.count() // KEYWORDS))
+    keywords = materialize(each.select("k").distinct(), "keywords")
+    size = keywords.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("k")), F.lit(0)).alias("chars")).first()
+    n = max(1, -(-size.n // KEYWORDS), -(-size.chars // KEYWORD_CHARS))
     counted = None
     for i in range(n):  # a stated set of keywords against all texts, in parts of bounded size
         part = sorted(r.k for r in keywords.where((F.pmod(F.xxhash64("k"), F.lit(n)) == i) & F.col("k").isNotNull()).collect())
@@ -305,9 +372,9 @@ def throughput(steps: DataFrame, warm_up: int, *by: str) -> DataFrame:
 
 def timing(values: DataFrame, value: str, *by: str) -> DataFrame:
     """Count, mean, median and nearest-rank 95th percentile; null where there is no value."""
-    out = values.groupBy(*by).agg(F.count(value).alias("count"), F.avg(value).alias("mean_seconds"), F.median(value).alias("median_seconds"))
-    ranks = at_ranks(values, value, by, {"p95_seconds": nearest_rank_of(0.95)})
-    ranks = ranks.select(*(F.col(c).alias(f"__{c}") for c in by), "p95_seconds")
+    out = values.groupBy(*by).agg(F.count(value).alias("count"), F.avg(value).alias("mean_seconds"))
+    ranks = at_ranks(values, value, by, {**halves_of(), "p95_seconds": nearest_rank_of(0.95)})
+    ranks = ranks.select(*(F.col(c).alias(f"__{c}") for c in by), middle().alias("median_seconds"), "p95_seconds")
     same = F.lit(True)
     for c in by:
         same = same & out[c].eqNullSafe(F.col(f"__{c}"))

@@ -691,8 +691,9 @@ def a22_output_lengths(spark, d):
   v[least(CAST(floor(len(v) * 50 / 100.0) AS BIGINT), len(v) - 1) + 1] AS floor_index, list_median(v) AS median FROM v""")
 def p1_p2_p3_percentiles(spark, d):
     e = table(spark, d, "events").where("value is not null").select("event_type", F.round(F.col("value") * 4).cast("long").alias("v"))
-    ranks = evaluation.at_ranks(e, "v", ("event_type",), {"nearest_rank": evaluation.nearest_rank_of(0.5), "floor_index": evaluation.floor_rank_of(50)})
-    return ranks.join(e.groupBy("event_type").agg(F.median("v").alias("median")), "event_type")
+    ranks = {"nearest_rank": evaluation.nearest_rank_of(0.5), "floor_index": evaluation.floor_rank_of(50), **evaluation.halves_of()}
+    found = evaluation.at_ranks(e, "v", ("event_type",), ranks)
+    return found.select("event_type", "nearest_rank", "floor_index", evaluation.middle().alias("median"))
 
 
 @query("SELECT o_orderkey, CAST(printf('%.2f', o_totalprice / 7) AS DOUBLE) AS rounded FROM orders")
