@@ -42,8 +42,11 @@ def greedy(docs, ratio, seed):
         test ^= {min(options)[2]}
 
 
-def test_split_against_the_rule(spark):
+@pytest.mark.parametrize("urls", [4, 1])
+def test_split_against_the_rule(spark, monkeypatch, urls):
+    monkeypatch.setattr(split, "URLS", urls)
     rows = [(f"s{i % 4}", f"https://s{i % 4}/{i}", 10 + i * 37 % 400, i % 9 == 0) for i in range(90)] + [("one", "https://one/1", 50, False), ("none", "https://none/1", 50, True)]
+    rows += [("same", f"https://same/{i:03d}", 7, False) for i in range(60)] + [("big", f"https://big/{i:03d}", 5 if i else 5000, False) for i in range(50)]  # many moves of one size
     df = spark.createDataFrame(rows, "seed_name string, canonical_url string, token_count int, qa_source boolean")
     got = {r.canonical_url: r.split for r in split.split(df).collect()}
     assert len(got) == len(rows)
@@ -54,14 +57,39 @@ def test_split_against_the_rule(spark):
     assert not any(got[r[1]] == "test" for r in rows if r[3])
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.integers(1, 100), min_size=2, max_size=12), st.integers(0, 300), st.data())
-def test_moves_only_ever_come_nearer(tokens, target, data):
-    urls = [f"u{i:02d}" for i in range(len(tokens))]
-    start = set(data.draw(st.sets(st.sampled_from(range(len(tokens))), min_size=1)))
-    before = abs(target - sum(tokens[i] for i in start))
-    end = split._towards(target, urls, tokens, set(start))
-    assert end and abs(target - sum(tokens[i] for i in end)) <= before
+def by_hand(target, tokens, test):
+    """One document at a time, all of them tried; tokens by URL."""
+    test = set(test)
+    while True:
+        total = sum(tokens[u] for u in test)
+        if total < target:
+            options = [(abs(target - total - n), u) for u, n in tokens.items() if u not in test]
+        else:
+            options = [(abs(target - total + tokens[u]), u) for u in test] if len(test) > 1 else []
+        if not options or min(options)[0] >= abs(target - total):
+            return test
+        test ^= {min(options)[1]}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 30), min_size=2, max_size=14), st.integers(0, 200), st.integers(1, 3), st.data())
+def test_moves_by_token_counts(sizes, target, urls, data):
+    tokens = {f"u{i:02d}": n for i, n in enumerate(data.draw(st.permutations(sizes)))}
+    start = {f"u{i:02d}" for i in data.draw(st.sets(st.sampled_from(range(len(sizes))), min_size=1))}
+    while True:
+        sides = split._Side(), split._Side()
+        for k, side in enumerate(sides):
+            for n in set(tokens.values()):
+                if own := sorted(u for u in tokens if tokens[u] == n and (u in start) == (k == 0)):
+                    side.add(n, len(own), own[:urls])
+        try:
+            changed = split._towards(target, *sides)
+            break
+        except split._Unknown:
+            urls += 1
+    end = start ^ changed
+    assert end == by_hand(target, tokens, start)
+    assert end and abs(target - sum(tokens[u] for u in end)) <= abs(target - sum(tokens[u] for u in start))
 
 
 def test_near_pairs(spark):
