@@ -45,6 +45,39 @@ def crawl_url(url: Column) -> Column:
     return F.concat(scheme(url), F.lit("://"), authority(url), p, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
 
 
+def without_dots(p: Column, keep: Column) -> Column:
+    """A path that begins with a slash without . and .. segments, which take the one before away. Empty segments within stay where keep holds; after a last . or .. comes a slash."""
+    segments = F.split(p, "/")
+    last = F.element_at(segments, -1)
+    inner = F.slice(segments, F.lit(2), F.greatest(F.size(segments) - 2, F.lit(0)))
+
+    def add(before: Column, x: Column) -> Column:
+        return F.when(x == ".", before).when(x == "..", F.slice(before, F.lit(1), F.greatest(F.size(before) - 1, F.lit(0)))).otherwise(F.concat(before, F.array(x)))
+
+    whole = F.aggregate(F.concat(F.filter(inner, lambda x: keep | (x != "")), F.array(last)), F.array(F.lit("")), add)
+    joined = F.array_join(F.concat(whole, F.when(last.isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))), "/")
+    return F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
+
+
+def resolve(ref: Column, base: Column) -> Column:
+    """What a reference on the page base names, without fragment: a whole URL, or one relative to base by scheme, host, path or query.
+
+    An empty or null base leaves a reference as it is. Parameters belong to their segment.
+    """
+    asks = lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise("")
+    plain = F.regexp_replace(ref, r"(?s)#.*\z", "")
+    s, a, p, q = (part(plain, n) for n in (1, 2, 3, 4))
+    whole = (s != "") & (F.lower(s) != scheme(base))
+    merged = F.when(p.startswith("/"), p).otherwise(F.concat(F.when(part(base, 3) == "", "/").otherwise(F.regexp_replace(part(base, 3), r"[^/]*\z", "")), p))
+    here = F.concat(scheme(base), F.lit("://"), authority(base))
+    return (
+        F.when((F.coalesce(base, F.lit("")) == "") | whole, plain)
+        .when(a != "", F.concat(scheme(base), F.lit("://"), a, p, asks(q)))
+        .when(p == "", F.concat(here, part(base, 3), asks(F.when(q != "", q).otherwise(part(base, 4)))))
+        .otherwise(F.concat(here, without_dots(merged, p.startswith("/")), asks(q)))
+    )
+
+
 def is_allowed(url: Column, hosts: list[str], prefixes: list[str]) -> Column:
     """http or https, one of the hosts exactly, no asset, and a path with one of the prefixes."""
     prefixed = F.lit(False)

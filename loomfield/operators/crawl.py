@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from html.parser import HTMLParser
-from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -35,27 +34,19 @@ def markdown_links(text: Column, base: Column) -> Column:
     return F.transform(found, lambda h: urls.crawl_url(F.when(h.startswith("/"), F.concat(urls.scheme(base), F.lit("://"), urls.authority(base), h)).otherwise(h)))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def resolved_links(html: pd.Series, base: pd.Series) -> pd.Series:
-    """All anchors' links, resolved against base, of any relative form."""
+#: Character references that stand in attributes of links.
+REFERENCES = {"&quot;": '"', "&#39;": "'", "&lt;": "<", "&gt;": ">", "&amp;": "&"}
 
-    class Anchors(HTMLParser):
-        def __init__(self):
-            super().__init__()
-            self.found: list[str] = []
 
-        def handle_starttag(self, tag, attrs):
-            href = (dict(attrs).get("href") or "").strip() if tag == "a" else ""
-            if href and not href.startswith(("#", "javascript:")):
-                self.found.append(href)
+def resolved_links(html: Column, base: Column) -> Column:
+    """All anchors' links, resolved against base, of any relative form, without fragments."""
 
-    def one(page, at):
-        p = Anchors()
-        p.feed(page or "")
-        p.close()
-        return [urljoin(at, h) for h in p.found]
+    def plain(h: Column) -> Column:
+        for said, meant in REFERENCES.items():
+            h = F.replace(h, F.lit(said), F.lit(meant))
+        return h
 
-    return pd.Series([one(p, at) for p, at in zip(html, base)])
+    return F.transform(hrefs(html), lambda h: urls.resolve(plain(h), base))
 
 
 def title(html: Column, url: Column) -> Column:

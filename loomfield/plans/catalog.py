@@ -216,10 +216,25 @@ def u3_root_links(spark, d):
     return links.groupBy("page_id", "link").agg(F.count("*").alias("n"))
 
 
-@query()
+#: References of several forms to the word w of a page's root-relative link.
+_FORMS = ("/{w}", "{w}", "../{w}?x=1", "./a/../{w}/.", "?q={w}", "//cdn.example.org/{w}#top", "../../../../{w}//b/..", "https://other.example.org/{w}/")
+_BASE_PATH = _part(3)
+_FOLD = lambda p: f"""list_reduce(string_split({p}, '/')[2:], lambda b, x: CASE WHEN x IN ('', '.') THEN b WHEN x = '..' THEN regexp_replace(b, '/[^/]*$', '') ELSE b || '/' || x END, '') || CASE WHEN string_split({p}, '/')[-1] IN ('', '.', '..') THEN '/' ELSE '' END"""
+
+
+@query(f"""WITH h AS (SELECT page_id, url, substr(unnest(regexp_extract_all(html, '{_HREF}', 1)), 2) AS w FROM pages),
+f AS (SELECT page_id, url, unnest([{", ".join("'" + f.replace("{w}", "' || w || '") + "'" for f in _FORMS)}]) AS f FROM h),
+g AS (SELECT page_id, url, regexp_replace(f, '#.*$', '') AS f, {_ROOT} AS root, lower({_part(1)}) AS scheme, {_BASE_PATH} AS bp, {_part(4)} AS bq FROM f),
+m AS (SELECT *, {_part(3, 'f')} AS p, CASE WHEN {_part(4, 'f')} <> '' THEN '?' || {_part(4, 'f')} ELSE '' END AS q FROM g),
+n AS (SELECT *, CASE WHEN starts_with(p, '/') THEN p WHEN bp = '' THEN '/' || p ELSE regexp_replace(bp, '[^/]*$', '') || p END AS merged FROM m)
+SELECT page_id, CASE WHEN regexp_matches(f, '^https?:') THEN f WHEN starts_with(f, '//') THEN scheme || ':' || f WHEN p = '' THEN root || bp || q ELSE root || {_FOLD('merged')} || q END AS link, count(*) AS n FROM n GROUP BY ALL""")
 def u3_resolved_links(spark, d):
-    crawl.ship(spark)
-    return table(spark, d, "pages").select("page_id", F.explode(crawl.resolved_links("html", "url")).alias("h")).select("page_id", urls.crawl_url(F.col("h")).alias("link"))
+    """Links of every relative form to what pages link to, resolved against the pages."""
+    h = table(spark, d, "pages").select("page_id", "url", F.explode(crawl.hrefs(F.col("html"))).alias("h")).select("page_id", "url", F.expr("substring(h, 2)").alias("w"))
+    anchors = [F.concat(F.lit('<a href="'), F.lit(a), "w", F.lit(b), F.lit('">x</a> ')) for a, b in (f.split("{w}") for f in _FORMS)]
+    page = h.select("page_id", "url", F.concat(*anchors).alias("html"))
+    links = page.select("page_id", F.explode(crawl.resolved_links(F.col("html"), F.col("url"))).alias("link"))
+    return links.groupBy("page_id", "link").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH m AS (SELECT page_id, url, 'See [one](/docs/' || CAST(page_id AS VARCHAR) || '/) and [two](' || url || ') or [none](ftp://x)' AS t FROM pages),

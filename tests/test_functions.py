@@ -143,8 +143,25 @@ def test_pages(spark):
     df = spark.createDataFrame([(1, "https://ex.com/d/p", page), (2, "https://ex.com/d/q", "plain"), (3, "https://ex.com/", None)], "page_id long, url string, html string")
     rows = crawl.extracted(df).orderBy("page_id").collect()
     assert rows[0].title == "Head line" and rows[0].content == "One\ntwo\ngo\nf" and rows[1].content == "plain" and rows[1].title == "q" and rows[2].content == ""
-    links = df.where("page_id = 1").select(crawl.resolved_links("html", "url").alias("l")).first().l
-    assert links == [urljoin("https://ex.com/d/p", h) for h in ("/n", "a/b?x#y")]
+    links = df.where("page_id = 1").select(crawl.resolved_links(F.col("html"), F.col("url")).alias("l")).first().l
+    assert links == [urldefrag(urljoin("https://ex.com/d/p", h))[0] for h in ("/n", "a/b?x#y")]
+
+
+def test_references_against_bases(spark):
+    """As urllib's urljoin, without fragments."""
+    refs = ["x", "../x", "./x", "/x/../y", "..", ".", "../", "?a=b", "//h.org/z/../q", "http://h.org/a/../b", "HTTPS://H.org", "mailto:a@b", "a//b", "../../../..", "x/./y/", "/", "//h.org", "x?y=../z", "./", "../.", "b/../../c", "/..", "?", "x#f?g", "/a;p/../b", "http:x"]
+    bases = ["http://e.org", "http://e.org/", "http://e.org/a", "http://e.org/a/", "https://e.org/a/b/c?q=1#f", "http://e.org/a//b/../c", "", None]
+    rng = random.Random(5)
+    rows = [(r, b) for r in refs for b in bases] + [("".join(rng.choice(["a", "..", ".", "/", "/", "b", "?"]) for _ in range(rng.randrange(1, 9))), rng.choice(bases[:-2])) for _ in range(1500)]
+    got = spark.createDataFrame(rows, "r string, b string").select("r", "b", urls.resolve(F.col("r"), F.col("b")).alias("x")).collect()
+    assert [(g.r, g.b, g.x) for g in got] == [(g.r, g.b, urldefrag(urljoin(g.b, g.r))[0]) for g in got]
+
+
+def test_links_of_every_form(spark):
+    page = "<a href='?q=1&amp;r=2'>a</a><A class=x HREF=\"../../up/./x#y\">b</A><a href='//h.org/p'>c</a><a href=''>d</a><a href=' javascript:x()'>e</a><a name='n'>f</a>"
+    df = spark.createDataFrame([("https://e.org/a/b/c", page), (None, page), ("https://e.org", None)], "url string, html string")
+    got = [r.l for r in df.select(crawl.resolved_links(F.col("html"), F.col("url")).alias("l")).collect()]
+    assert got == [["https://e.org/a/b/c?q=1&r=2", "https://e.org/up/x", "https://h.org/p"], ["?q=1&r=2", "../../up/./x", "//h.org/p"], None]
 
 
 def test_reasons(spark):
