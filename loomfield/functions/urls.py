@@ -66,16 +66,21 @@ def resolve(ref: Column, base: Column) -> Column:
     """
     asks = lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise("")
     plain = F.regexp_replace(ref, r"(?s)#.*\z", "")
-    s, a, p, q = (part(plain, n) for n in (1, 2, 3, 4))
-    whole = (s != "") & (F.lower(s) != scheme(base))
-    merged = F.when(p.startswith("/"), p).otherwise(F.concat(F.when(part(base, 3) == "", "/").otherwise(F.regexp_replace(part(base, 3), r"[^/]*\z", "")), p))
-    here = F.concat(scheme(base), F.lit("://"), authority(base))
-    return (
-        F.when((F.coalesce(base, F.lit("")) == "") | whole, plain)
-        .when(a != "", F.concat(scheme(base), F.lit("://"), a, p, asks(q)))
-        .when(p == "", F.concat(here, part(base, 3), asks(F.when(q != "", q).otherwise(part(base, 4)))))
-        .otherwise(F.concat(here, without_dots(merged, p.startswith("/")), asks(q)))
-    )
+    names = ("scheme", "host", "path", "query")
+    both = F.struct(plain.alias("ref"), *(part(plain, i + 1).alias(n) for i, n in enumerate(names)), *(part(base, i + 1).alias(f"base_{n}") for i, n in enumerate(names)))
+
+    def named(x: Column) -> Column:  # x: the parts, found once
+        own = F.lower(x["base_scheme"])
+        here = F.concat(own, F.lit("://"), x["base_host"])
+        merged = F.when(x["path"].startswith("/"), x["path"]).otherwise(F.concat(F.when(x["base_path"] == "", "/").otherwise(F.regexp_replace(x["base_path"], r"[^/]*\z", "")), x["path"]))
+        return (
+            F.when((F.coalesce(base, F.lit("")) == "") | (x["scheme"] != "") & (F.lower(x["scheme"]) != own), x["ref"])
+            .when(x["host"] != "", F.concat(own, F.lit("://"), x["host"], x["path"], asks(x["query"])))
+            .when(x["path"] == "", F.concat(here, x["base_path"], asks(F.when(x["query"] != "", x["query"]).otherwise(x["base_query"]))))
+            .otherwise(F.concat(here, without_dots(merged, x["path"].startswith("/")), asks(x["query"])))
+        )
+
+    return F.element_at(F.transform(F.array(both), named), 1)
 
 
 def is_allowed(url: Column, hosts: list[str], prefixes: list[str]) -> Column:

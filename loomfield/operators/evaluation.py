@@ -49,9 +49,9 @@ def continuations(answers: DataFrame, marker: str = "question:", after: int = 20
 
 
 def pairwise_matches(answers: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """Ids where two models answer alike, for each pair."""
+    """Ids where two models answer alike, for each pair; an answer that isn't there is like none."""
     wide = answers.groupBy("id").pivot("model", sorted({m for p in pairs for m in p})).agg(F.first("answer"))
-    each = F.array(*(F.struct(F.lit(f"{a}__{b}").alias("pair"), F.col(a).eqNullSafe(F.col(b)).alias("same")) for a, b in pairs))
+    each = F.array(*(F.struct(F.lit(f"{a}__{b}").alias("pair"), F.coalesce(F.col(a) == F.col(b), F.lit(False)).alias("same")) for a, b in pairs))
     return wide.select(F.inline(each)).groupBy("pair").agg(F.sum(F.col("same").cast("long")).alias("matches"))
 
 
@@ -251,13 +251,33 @@ def standings(scores: DataFrame, models: list[str]) -> DataFrame:
     return names.join(wins, "model", "left").join(means, "model", "left").fillna(0, ["wins"])
 
 
-def ranking(scores: DataFrame) -> DataFrame:
-    """Mean score, wins with and without shared ones, and rank by mean, of scores(id, model, score)."""
-    best = F.max("score").over(Window.partitionBy("id"))
-    top = scores.withColumn("top", (F.col("score") == best).cast("long"))
-    top = top.withColumn("tops", F.sum("top").over(Window.partitionBy("id")))
-    out = top.groupBy("model").agg(F.avg("score").alias("mean_score"), F.sum("top").alias("wins_with_ties"), F.sum(((F.col("top") == 1) & (F.col("tops") == 1)).cast("long")).alias("unique_wins"))
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mean_score"), "model")))
+def ranking(scores: DataFrame, *by: str) -> DataFrame:
+    """Mean score, wins with and without shared ones, and rank by mean, of scores(id, model, score), by subset if columns of scores name one.
+
+    An id's scores are reduced to its best one and how many models have it before they meet them again; models are as many as are named.
+    """
+    best = scores.groupBy(*by, "id").agg(F.max("score").alias("best"))
+    top = scores.join(best, [*by, "id"]).withColumn("top", (F.col("score") == F.col("best")).cast("long"))
+    shared = top.where("top = 1").groupBy(*by, "id").agg(F.sum("top").alias("tops"))
+    top = top.join(shared, [*by, "id"], "left")
+    out = top.groupBy(*by, "model").agg(F.avg("score").alias("mean_score"), F.sum("top").alias("wins_with_ties"), F.sum(((F.col("top") == 1) & (F.col("tops") == 1)).cast("long")).alias("unique_wins"))
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("mean_score"), "model")))
+
+
+def subset_deltas(scores: DataFrame, subsets: DataFrame, versions: dict[str, str]) -> DataFrame:
+    """subset, model, source, items, mean_score, good_mean, delta: how far a model's mean score is from that of the model it was made from.
+
+    scores(id, model, score), subsets(id, subset, good), which may overlap; versions names a model's source. delta is over the ids that both have,
+    good_mean over ids with a good reference; both are null without any.
+    """
+    each = scores.join(subsets, "id")
+    means = each.groupBy("subset", "model").agg(F.count("*").alias("items"), F.avg("score").alias("mean_score"), F.avg(F.when(F.col("good"), F.col("score"))).alias("good_mean"))
+    pairs = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.lit(s).alias("source")) for m, s in sorted(versions.items()))))
+    named = scores.sparkSession.range(1).select(pairs.alias("p")).select("p.model", "p.source")  # as many rows as models
+    own = each.join(F.broadcast(named), "model").select("subset", "id", "model", "source", "score")
+    base = scores.select("id", F.col("model").alias("source"), F.col("score").alias("source_score"))
+    both = own.join(base, ["id", "source"]).groupBy("subset", "model", "source").agg(F.avg(F.col("score") - F.col("source_score")).alias("delta"))
+    return means.join(F.broadcast(named), "model").join(both, ["subset", "model", "source"], "left").select("subset", "model", "source", "items", "mean_score", "good_mean", "delta")
 
 
 def judge_problems(raw: Column, letters: list[str]) -> Column:

@@ -631,6 +631,31 @@ def a12_ranking(spark, d):
     return evaluation.ranking(derived.judge_scores(spark, d).where("judge = 'first'"))
 
 
+_SUBSETS = "ss AS (SELECT doc_id AS id, 'all' AS subset, quality = 1 AS good FROM labels UNION ALL SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'sft_seen' ELSE 'heldout' END, quality = 1 FROM labels)"
+
+
+def _subsets(spark, d):
+    part = F.array(F.lit("all"), F.when(F.col("doc_id") % 3 == 0, "sft_seen").otherwise("heldout"))
+    return table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.explode(part).alias("subset"), (F.col("quality") == 1).alias("good"))
+
+
+@query(with_(SCORES, _SUBSETS) + """, f AS (SELECT subset, scores.* FROM scores JOIN ss USING (id) WHERE judge = 'first'), g AS (SELECT *, max(score) OVER (PARTITION BY subset, id) AS top FROM f),
+h AS (SELECT *, sum(CASE WHEN score = top THEN 1 ELSE 0 END) OVER (PARTITION BY subset, id) AS tops FROM g),
+t AS (SELECT subset, model, avg(score) AS mean_score, CAST(sum(CASE WHEN score = top THEN 1 ELSE 0 END) AS BIGINT) AS wins_with_ties, CAST(sum(CASE WHEN score = top AND tops = 1 THEN 1 ELSE 0 END) AS BIGINT) AS unique_wins FROM h GROUP BY ALL)
+SELECT *, CAST(row_number() OVER (PARTITION BY subset ORDER BY mean_score DESC, model) AS INTEGER) AS rank FROM t""")
+def a12_subset_ranking(spark, d):
+    scores = derived.judge_scores(spark, d).where("judge = 'first'").join(_subsets(spark, d), "id")
+    return evaluation.ranking(scores.select("subset", "id", "model", "score"), "subset")
+
+
+@query(with_(SCORES, _SUBSETS) + """, f AS (SELECT subset, good, scores.* FROM scores JOIN ss USING (id) WHERE judge = 'first'), v AS (SELECT unnest(['tuned', 'short']) AS model, unnest(['base', 'tuned']) AS source)
+SELECT f.subset, f.model, v.source, count(*) AS items, avg(f.score) AS mean_score, avg(f.score) FILTER (WHERE f.good) AS good_mean, avg(f.score - b.score) AS delta
+FROM f JOIN v USING (model) LEFT JOIN scores b ON b.judge = 'first' AND b.id = f.id AND b.model = v.source GROUP BY ALL""")
+def a12_subset_deltas(spark, d):
+    """Mean scores by subset, and their difference to the mean of the model that a model was made from."""
+    return evaluation.subset_deltas(derived.judge_scores(spark, d).where("judge = 'first'").drop("judge"), _subsets(spark, d), {"tuned": "base", "short": "tuned"})
+
+
 @query(with_(QA, ANSWERS) + ", v AS (SELECT model, list_sort(list(CAST(length(answer) AS INTEGER))) AS v FROM answers GROUP BY model) SELECT model, list_avg(v) AS mean, list_median(v) AS median, v[least(CAST(floor(len(v) * 95 / 100.0) AS BIGINT), len(v) - 1) + 1] AS p95 FROM v")
 def a13_answer_lengths(spark, d):
     a = derived.answers(spark, d).select("model", F.length("answer").alias("n"))
@@ -835,11 +860,11 @@ def h7_hashed_map(spark, d):
 def h8_block_order(spark, d):
     """Rows in the order of a digest."""
     key = F.sha2(F.concat(F.lit("5|"), F.col("doc_id").cast("string")), 256)
-    from loomfield.plans.prefix import prefix_in_groups
+    from loomfield.plans.prefix import bits_for, high_bits, prefix_in_groups
     from loomfield.plans.shared import materialize
 
     b = materialize(table(spark, d, "labels").select("doc_id", key.alias("h"), F.lit(0).alias("g"), F.lit(1).cast("long").alias("one")), "order")
-    b = b.withColumn("b", F.conv(F.substring("h", 1, 3), 16, 10).cast("int"))
+    b = b.withColumn("b", high_bits(F.conv(F.substring("h", 1, 15), 16, 10).cast("long"), bits_for(b.count())))
     return prefix_in_groups(b, "g", "b", ["h"], "one", "place").select("doc_id", "place")
 
 
