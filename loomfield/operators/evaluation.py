@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomfield.functions import text
+from loomfield.functions import text, twister
 from loomfield.functions.urls import strip
 from loomfield.plans.shared import broadcast_if_small, materialize, ship, spread
 
@@ -20,6 +20,8 @@ from loomfield.plans.shared import broadcast_if_small, materialize, ship, spread
 SEED, RESAMPLES = 20260815, 20_000
 #: Words of the generator drawn at once.
 DRAWS = 1 << 20
+#: Words of a segment of the sequence at least, and segments of a cell at most.
+SEGMENT, SEGMENTS = 1 << 24, 1_024
 #: Keywords sent to all tasks at once, and characters of all of those, each a node of some 50 bytes at most.
 KEYWORDS, KEYWORD_CHARS = 100_000, 1 << 20
 
@@ -166,40 +168,81 @@ def paired(d: DataFrame) -> DataFrame:
     )
 
 
-def resampled_means(x: list[float], seed: int, resamples: int) -> np.ndarray:
-    """sum(x[draw(n)] for _ in range(n)) / n again and again, draw being random.Random(seed).randrange and n = len(x).
+def accepted(words: np.random.Generator, n: int, most: int | None = None) -> Iterator[np.ndarray]:
+    """What random.Random.randrange(n) gives of the next words: their high bits, where those are below n. most: the words that are drawn."""
+    shift, left = np.uint32(32 - n.bit_length()), most
+    while left is None or left > 0:
+        at = words.integers(0, 1 << 32, DRAWS if left is None else min(DRAWS, left), dtype=np.uint32) >> shift
+        left = None if left is None else left - len(at)
+        yield at[at < n]
 
-    numpy's Mersenne Twister takes over the state of Python's, so both give the same words. randrange(n) is the high
-    bits of the next word that are below n.
-    """
-    n, state = len(x), random.Random(seed).getstate()[1]
-    words = np.random.MT19937()
-    words.state = {"bit_generator": "MT19937", "state": {"key": np.array(state[:-1], np.uint32), "pos": state[-1]}}
-    words, shift = np.random.Generator(words), np.uint32(32 - n.bit_length())
-    values = np.array(x, float)
+
+def resampled_means(x: list[float], words: np.random.Generator, resamples: int, skip: int = 0) -> list[float]:
+    """sum(x[draw(n)] for _ in range(n)) / n again and again, n = len(x) and draw() being randrange(n) on these words, after skip draws."""
+    n, values = len(x), np.array(x, float)
     whole = bool((values == np.rint(values)).all() and np.abs(values).sum() < 2.0**53 / n)  # sums are exact in any order
     out, rest = [], np.empty(0, float)
-    while len(out) < resamples:
-        at = words.integers(0, 1 << 32, DRAWS, dtype=np.uint32) >> shift
-        rest = np.concatenate([rest, values[at[at < n]]])
+    for at in accepted(words, n):
+        skip, at = max(0, skip - len(at)), at[skip:]
+        rest = np.concatenate([rest, values[at]])
         full = len(rest) // n
         drawn, rest = rest[: full * n].reshape(full, n), rest[full * n :]
-        out += (drawn.sum(axis=1) / n).tolist() if whole else [sum(r.tolist()) / n for r in drawn]
-    return np.array(out[:resamples])
+        out += (drawn.sum(axis=1) / n).tolist() if whole else [sum(r.tolist()) / n for r in drawn[: resamples - len(out)]]
+        if len(out) >= resamples:
+            return out[:resamples]
 
 
 def bootstrap(d: DataFrame, seed: int = SEED, resamples: int = RESAMPLES) -> DataFrame:
-    """A 95 % interval of the mean delta by resampling ids in their order, and whether it leaves out 0."""
+    """A 95 % interval of the mean delta by resampling ids in their order, and whether it leaves out 0.
+
+    All resamples of a cell take draws from one sequence of words. It is cut into segments, which tasks reach by jumping ahead. They first count the
+    draws of each segment; sums of those tell in which segment a resample begins and after how many draws, so the resamples, too, are dealt over tasks.
+    The result doesn't depend on how. A cell's deltas are one array in a task, and so are its means.
+
+    Cases: null deltas don't count, and a cell without others isn't there; ids are unique in a cell.
+    """
     ship(d.sparkSession)
+    by = ["split", "comparison", "judge"]
+    kinds = ", ".join(f"{c} {d.schema[c].dataType.simpleString()}" for c in by)
+    cells = d.where("delta is not null").groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("id", F.col("delta").cast("double").alias("delta")))).alias("x"))
+    cells = materialize(cells.select(*by, F.size("x").cast("long").alias("n"), F.col("x.delta").alias("values")), "cells")
+    sizes = cells.select("n").distinct()
+    bits = F.length(F.conv(F.col("n").cast("string"), 10, 2))
+    every = (F.lit(float(resamples)) * F.pow(F.lit(2.0), bits)).cast("long")  # words that all resamples take, as expected
+    length = F.greatest(F.lit(SEGMENT), F.ceil(every / SEGMENTS)).cast("long")
+    plan = sizes.select("n", length.alias("length"), F.ceil(every / length).cast("int").alias("segments"))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        x = rows.sort_values("id", kind="stable")["delta"].tolist()
-        means = np.sort(resampled_means(x, seed, resamples)).tolist()
-        low, high = means[int(0.025 * resamples)], means[int(0.975 * resamples)]
-        first = rows.iloc[0]
-        return pd.DataFrame([[first["split"], first["comparison"], first["judge"], low, high, low > 0 or high < 0]], columns=["split", "comparison", "judge", "ci95_low", "ci95_high", "significant"])
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = twister.seeded(seed)
+        for batch in batches:
+            n, length, segment = (batch.column(i).to_pylist() for i in range(3))
+            found = [sum(map(len, accepted(twister.generator(twister.jumped(state, k * size)), m, size))) for m, size, k in zip(n, length, segment)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], names=["n", "length", "segment", "draws"])
 
-    return d.groupBy("split", "comparison", "judge").applyInPandas(run, "split string, comparison string, judge string, ci95_low double, ci95_high double, significant boolean")
+    def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = twister.seeded(seed)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i].as_py() for c in ("values", "length", "before", "first", "last")}
+                draws = row["first"] * len(row["values"])
+                segment = max(k for k, before in enumerate(row["before"]) if before <= draws)
+                words = twister.generator(twister.jumped(state, segment * row["length"]))
+                got = resampled_means(row["values"], words, row["last"] - row["first"], draws - row["before"][segment])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in by), pa.array([got], pa.list_(pa.float64()))], names=[*by, "means"])
+
+    each = plan.where("segments > 1").select("n", "length", F.explode(F.sequence(F.lit(0), F.col("segments") - 2)).alias("segment"))  # none begins after the last
+    tasks = d.sparkSession.sparkContext.defaultParallelism
+    counts = materialize(each.repartition(tasks, "n", "segment").mapInArrow(count, "n long, length long, segment int, draws long"), "draws")
+    sums = F.coalesce(F.sum("draws").over(Window.partitionBy("n").orderBy("segment")), F.lit(0))
+    begins = counts.withColumn("before", sums).groupBy("n").agg(F.array_sort(F.collect_list("before")).alias("b"))  # SEGMENTS entries at most
+    begins = plan.join(begins, "n", "left").select("n", "length", "segments", F.concat(F.array(F.lit(0).cast("long")), F.coalesce("b", F.array().cast("array<long>"))).alias("before"))
+    at = lambda k: F.floor(k * F.lit(resamples) / F.col("segments")).cast("int")
+    parts = cells.join(begins, "n").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("segments") - 1)))
+    parts = parts.select(*by, "values", "length", "before", at(F.col("part")).alias("first"), at(F.col("part") + 1).alias("last")).where("last > first")
+    drawn = parts.repartition(tasks, *by, "first").mapInArrow(means, f"{kinds}, means array<double>")
+    sorted_ = drawn.groupBy(*by).agg(F.sort_array(F.flatten(F.collect_list("means"))).alias("m"))
+    low, high = (F.col("m")[int(q * resamples)] for q in (0.025, 0.975))
+    return sorted_.select(*by, low.alias("ci95_low"), high.alias("ci95_high"), ((low > 0) | (high < 0)).alias("significant"))
 
 
 def concordance(cells: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from urllib.parse import urldefrag, urljoin, urlparse, urlsplit, urlunsplit
 import pytest
 from pyspark.sql import functions as F
 
-from loomfield.functions import text, urls
+from loomfield.functions import text, twister, urls
 from loomfield.operators import blocks, clean, crawl, evaluation
 
 URLS = ["HTTP://Ex.com:80/a/b.md", "https://ex.com/a/b.MD//", "https://ex.com", "https://ex.com/", "https://ex.com/a/?q=1#f", "  https://ex.com/x.md/ ", "https://ex.com/docs;p=1/x;y=2?z", "ftp://ex.com/a",
@@ -200,6 +200,40 @@ def test_bootstrap(spark):
     assert (got.ci95_low, got.ci95_high) == (means[5], means[195]) and got.significant == (means[5] > 0 or means[195] < 0)
 
 
+@pytest.mark.parametrize("segment", [1 << 24, 100, 2_000])
+def test_bootstrap_by_any_segments(spark, monkeypatch, segment):
+    """The same intervals however the sequence of words is cut, to the last bit."""
+    monkeypatch.setattr(evaluation, "SEGMENT", segment)
+    rng = random.Random(3)
+    cells = {("s", "c", "j"): [rng.random() for _ in range(23)], ("s", "c", "k"): [float(rng.randrange(-3, 4)) for _ in range(64)], ("t", "c", "j"): [0.5], (None, "c", "j"): [1.0, 2.0], ("s", "d", "j"): [rng.gauss(0, 1) for _ in range(31)]}
+    rows = [(*c, i, x) for c, v in cells.items() for i, x in enumerate(v)] + [("s", "c", "j", 99, None), ("none", "c", "j", 1, None)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "split string, comparison string, judge string, id long, delta double").repartition(3)
+    got = {(r.split, r.comparison, r.judge): (r.ci95_low, r.ci95_high, r.significant) for r in evaluation.bootstrap(df, 11, 200).collect()}
+    want = {}
+    for c, x in cells.items():
+        draw = random.Random(11).randrange
+        means = sorted(sum(x[draw(len(x))] for _ in x) / len(x) for _ in range(200))
+        want[c] = (means[5], means[195], means[5] > 0 or means[195] < 0)
+    assert got == want
+
+
+@pytest.mark.parametrize("words", [0, 1, 623, 624, 70_000, 80_000, 123_457])
+def test_jumps_of_the_generator(words):
+    state = twister.seeded(20260815)
+    rng = random.Random(20260815)
+    for _ in range(words):
+        rng.getrandbits(32)
+    assert twister.generator(twister.jumped(state, words)).integers(0, 1 << 32, 700, dtype="uint32").tolist() == [rng.getrandbits(32) for _ in range(700)]
+
+
+def test_jumps_add_up():
+    state = twister.seeded(5)
+    far, near = twister.jumped(state, 10**12 + 10**6), twister.jumped(twister.jumped(state, 10**12), 10**6)
+    give = lambda s: twister.generator(s).integers(0, 1 << 32, 700, dtype="uint32").tolist()
+    assert give(far) == give(near)
+
+
 def test_pearson_without_variance(spark):
     df = spark.createDataFrame([("a", 1, 2), ("a", 1, 3), ("b", 1, 2), ("b", 2, 4)], "g string, x int, y int")
     got = {r.g: r.r for r in evaluation.pearson(df, "x", "y", "g").collect()}

@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
+from loomfield.functions import twister
 from loomfield.operators import evaluation
 from loomfield.plans import catalog
 
@@ -81,7 +82,7 @@ def test_sequence_ratios_of_whole_answers(spark, tables):
 def test_resamples_are_those_of_pythons_generator(monkeypatch, x):
     monkeypatch.setattr(evaluation, "DRAWS", 1 << 10)
     n, draw = len(x), random.Random(7).randrange
-    assert evaluation.resampled_means(x, 7, 300).tolist() == [sum(x[draw(n)] for _ in range(n)) / n for _ in range(300)]
+    assert evaluation.resampled_means(x, twister.generator(twister.seeded(7)), 300) == [sum(x[draw(n)] for _ in range(n)) / n for _ in range(300)]
 
 
 def test_bootstrap_has_all_resamples(spark):
