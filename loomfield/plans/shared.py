@@ -17,11 +17,15 @@ _shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Where that setting is absent, a temporary one if all executors are in this process; else that is an error."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """A folder of this application's in that of spark.checkpoint.dir, removed when the driver's process ends. Where that setting is absent, a temporary one if all executors are in this process; else that is an error."""
+    named, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
     if named:
-        return f"{named.rstrip('/')}/loomfield"
-    app = spark.sparkContext.applicationId
+        folder = f"{named.rstrip('/')}/loomfield/{app}"
+        if _own.get(app) != folder:
+            _own[app] = folder
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            atexit.register(_remove, at, spark.sparkContext._jsc.hadoopConfiguration())
+        return folder
     if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if app not in _own:
@@ -30,6 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own[app]}"
 
 
+def _remove(at, conf) -> None:
+    try:
+        at.getFileSystem(conf).delete(at, True)
+    except Exception:  # the JVM has ended first; what is left is in a folder of its own
+        pass
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
 

@@ -2,6 +2,11 @@
 
 import random
 
+import subprocess
+import sys
+from pathlib import Path
+from unittest.mock import MagicMock
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -77,4 +82,23 @@ def test_a_cluster_must_name_its_shared_folder(monkeypatch):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared.shared_dir(Session())
     Session.conf = {"spark.checkpoint.dir": "hdfs://x/y/"}
-    assert shared.shared_dir(Session()) == "hdfs://x/y/loomfield"
+    Context._jvm, Context._jsc, left = MagicMock(), MagicMock(), []
+    monkeypatch.setattr(shared.atexit, "register", lambda *a: left.append(a))
+    assert shared.shared_dir(Session()) == shared.shared_dir(Session()) == "hdfs://x/y/loomfield/cluster"
+    ((remove, at, _),) = left  # once, when the process ends
+    remove(at, None)
+    at.getFileSystem.return_value.delete.assert_called_once_with(at, True)
+    shared._own.pop("cluster")
+
+
+def test_tables_go_with_the_driver(tmp_path):
+    code = f"""
+from pyspark.sql import SparkSession
+from loomfield.plans import shared
+s = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "file://{tmp_path}").getOrCreate()
+assert shared.materialize(s.range(3), "t").count() == 3
+import os
+assert os.listdir("{tmp_path}/loomfield") == [s.sparkContext.applicationId]
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[1], timeout=120)
+    assert list((tmp_path / "loomfield").iterdir()) == []
