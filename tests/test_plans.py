@@ -1,7 +1,6 @@
 """Prefix sums, components and stored tables against plain Python."""
 
 import random
-
 import subprocess
 import sys
 from pathlib import Path
