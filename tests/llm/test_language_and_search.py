@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomfield.llm import langid, lexical, registry, resampling, words
+from loomfield.llm import langid, lexical, quality, registry, resampling, words
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -250,3 +250,30 @@ def test_queries_equal_their_sql(spark, name):
     assert sorted(got.columns) == sorted(names)
     plain = lambda r: tuple(round(v, 9) if isinstance(v, float) else v for v in r)
     assert Counter(map(plain, got.select(*names).collect())) == Counter(map(plain, cur.fetchall()))
+
+
+# ---------------------------------------------------------------- quality
+
+
+def test_quality_query(spark, docs, tmp_path):
+    """Held-out labels, languages, sources and ids don't matter; scores are those of the rules by hand; the threshold is 0.3."""
+    sf = "/root/testdata/sf0.001"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    labels.withColumn("quality", F.when(out, 1 - F.col("quality")).otherwise(F.col("quality")).cast("int")).write.parquet(f"{tmp_path}/labels.parquet")
+    docs.withColumns({"lang": F.lit("?"), "source": F.lit("?")}).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, quality.op10_quality(spark, sf).collect()))
+    assert got == sorted(map(tuple, quality.op10_quality(spark, str(tmp_path)).collect())) and len(got) == docs.count()
+    model = quality.train(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    stats = quality.statistics(pa.array([texts[g[0]] for g in got]))
+    for (i, held, score, predicted), x in zip(got, stats):
+        z = model.intercept + sum(w for rule, w in zip(model.rules, model.weights) if all((x[f] > cut) == above for f, above, cut in rule))
+        assert held == (zlib.crc32(str(i).encode()) % 5 == 0) and score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9) and predicted == (score >= 0.3)
+
+
+def test_quality_without_documents(spark, empty):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    model = quality.train(empty, labels)
+    assert model.rules == [] and model.probability(np.zeros((1, len(quality.STATISTICS))))[0] < 0.01
+    assert empty.select(model.compiled(quality.measured()).alias("s")).collect() == []
