@@ -15,7 +15,7 @@ on a byte and has BLOCK ids (the last fewer), and a checkpoint every STEP ids te
 reads from all checkpoints at once through one table of the next LIMIT bits.
 
 Files go to the shared folder under a temporary name and are renamed, so a task that runs again does no harm. The
-driver gathers the counts of the vocabulary and one row for each file.
+driver gathers the counts of the vocabulary; where each file's ids begin is a distributed prefix sum over files.
 
 Cases: a null text is the empty text and has only the end id. Rows with equal or null document ids stay rows of
 their own; null ids come first, equal ids by a hash of the text and the text, so ranges may part them. A text may be of any length. An empty table writes no file and
@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from loomfield.llm import tokens
 from loomfield.llm.labelled import MOST_RANGES, ranges_for
+from loomfield.plans.prefix import prefix_in_groups
 from loomfield.plans.shared import materialize, new_path, ship
 
 MAGIC = b"LFIDS\x00\x00\x01"
@@ -244,17 +245,16 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, ranges: i
     for r in told.where("part < 0").groupBy("key").agg(F.sum("n").alias("n")).collect():  # a row for each id of the vocabulary
         counts[r.key] = r.n
     lengths = code_lengths(counts).tobytes()
-    starts, total = [], 0
-    for r in told.where("part >= 0").orderBy("part", "key").collect():  # a row for each file
-        starts.append((r.part, r.key, total))
-        total += r.n
-    if starts:
-        tasks = min(MOST_RANGES, len(starts))
-        todo = spark.createDataFrame(pa.table(dict(zip(("part", "key", "before", "at"), zip(*((*r, i % tasks) for i, r in enumerate(starts)))))))
-        todo.repartitionById(tasks, F.col("at").cast("int")).mapInArrow(_coded(stage, folder, lengths), "part long").count()
+    files = told.where("part >= 0").withColumns({"of": F.lit(0), "one": F.lit(1)})
+    n, total = files.agg(F.count("*"), F.sum("n")).first()
+    if n:
+        placed = materialize(prefix_in_groups(files, "of", "part", ["key"], "n", "before"), "file-starts")
+        tasks = min(MOST_RANGES, n)
+        todo = prefix_in_groups(placed, "of", "part", ["key"], "one", "nth").select("part", "key", "before", F.pmod("nth", F.lit(tasks)).cast("int").alias("at"))
+        todo.repartitionById(tasks, F.col("at")).mapInArrow(_coded(stage, folder, lengths), "part long").count()
         store, path = _fs(stage)
         store.delete_dir(path)
-    return total
+    return total or 0
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
