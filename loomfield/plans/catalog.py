@@ -1178,6 +1178,38 @@ def f9_selection(spark, d):
     return leakage.selection(q, ["topic3"]).select("eval_id", "reason", "status")
 
 
+_TWICE = "i AS (SELECT * FROM qa UNION ALL SELECT * REPLACE (id + 1000000000 AS id, '  ' || translate(question, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS question) FROM qa WHERE category = 'even')"
+
+
+@query(with_(QA, RAW, _EVAL, _TWICE) + f""", c AS (SELECT i.*, raw.content, CASE WHEN raw.doc_id % 2 = 0 THEN raw.url ELSE raw.url || '/' END AS claimed FROM i LEFT JOIN raw ON raw.doc_id = (i.id % 1000000000) // 1000),
+k AS (SELECT * REPLACE (CASE WHEN category = 'even' THEN regexp_extract_all(coalesce(content, ''), '[A-Za-z]{{5,}}')[1:2] ELSE keywords END AS keywords) FROM c),
+x AS (SELECT k.id, raw.doc_id, raw.content FROM k JOIN raw ON k.claimed = raw.url),
+y AS (SELECT * FROM x UNION ALL SELECT k.id, raw.doc_id, raw.content FROM k JOIN raw ON {_SRC('k.claimed')} = {_SRC('raw.url')} WHERE k.id NOT IN (SELECT id FROM x)),
+z AS (SELECT y.id, CAST(count(*) AS INTEGER) AS sources, bool_or(len(k.keywords) > 0 AND len(list_filter(k.keywords, lambda w: NOT contains(lower(y.content), lower(w)))) = 0) AS supported FROM y JOIN k ON k.id = y.id GROUP BY y.id),
+o AS (SELECT id, max({_WJ('q', 'eq')}) >= 0.35 AS overlapping FROM (SELECT id, {_SET('question', _WORD)} AS q FROM i), (SELECT {_SET('question', _WORD)} AS eq FROM ev) GROUP BY id),
+n AS (SELECT *, row_number() OVER (PARTITION BY lower({_COLLAPSE('question')}) ORDER BY id) AS nth FROM i),
+r AS (SELECT n.id AS eval_id, CASE WHEN nth > 1 THEN 'duplicate_question' WHEN topic = 'topic3' OR length({_COLLAPSE('question')}) > 1000 THEN 'malformed' WHEN n.id % 4 = 0 THEN 'declared_relation' WHEN overlapping THEN 'similarity_overlap'
+  WHEN coalesce(sources, 0) <> 1 THEN 'source_count' WHEN NOT supported THEN 'missing_evidence' ELSE 'accepted' END AS reason FROM n JOIN o ON o.id = n.id LEFT JOIN z ON z.id = n.id)
+SELECT *, CASE WHEN reason = 'accepted' THEN 'accepted' ELSE 'excluded' END AS status FROM r""")
+def f9_selected_by_evidence(spark, d):
+    """The selection over what the operators find: likeness to evaluation questions, the documents that claimed sources name, and whether those hold the keywords."""
+    q, r = derived.qa(spark, d), derived.raw_documents(spark, d)
+    q = q.unionByName(q.where("category = 'even'").withColumns({"id": F.col("id") + 1_000_000_000, "question": F.concat(F.lit("  "), F.translate("question", ascii_lowercase, ascii_uppercase))}))
+    named = r.select(F.col("doc_id").alias("conv"), F.col("content").alias("said"), F.when(F.col("doc_id") % 2 == 0, F.col("url")).otherwise(F.concat("url", F.lit("/"))).alias("source_url"))
+    rows = q.withColumn("conv", F.expr("(id % 1000000000) div 1000")).join(named, "conv", "left")
+    long_words = F.slice(F.regexp_extract_all(F.coalesce("said", F.lit("")), F.lit("[A-Za-z]{5,}"), F.lit(0)), 1, 2)
+    rows = rows.withColumn("keywords", F.when(F.col("category") == "even", long_words).otherwise(F.col("keywords")))
+    sources = leakage.sources_for(rows.select(F.col("id").alias("row_id"), "source_url"), r, urls.canonical_source)
+    held = sources.join(r.select("doc_id", "content"), "doc_id").join(rows.select(F.col("id").alias("row_id"), "keywords"), "row_id")
+    found = held.groupBy(F.col("row_id").alias("id")).agg(F.count("*").cast("int").alias("sources"), F.bool_or((F.size("keywords") > 0) & text.holds_all(F.col("content"), F.col("keywords"))).alias("supported"))
+    stated = _evaluation(spark, d).select("eval_id", "position", text.word_tokens(F.col("question")).alias("tokens"))
+    like = leakage.best_sets(q.select("id", text.word_tokens(F.col("question")).alias("tokens")), stated, "id").select("id", (F.coalesce("similarity", F.lit(0.0)) >= leakage.QUESTION_JACCARD).alias("overlaps"))
+    items = q.join(found, "id", "left").join(like, "id").select(
+        F.col("id").alias("eval_id"), F.col("id").alias("position"), "question", "topic", (F.col("id") % 4 == 0).alias("related"), "overlaps", F.coalesce("sources", F.lit(0)).alias("sources"), F.coalesce("supported", F.lit(False)).alias("supported")
+    )
+    return leakage.selection(items, ["topic3"]).select("eval_id", "reason", "status")
+
+
 # Verification
 
 
