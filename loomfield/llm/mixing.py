@@ -5,7 +5,7 @@ distributed prefix sum of sizes says where each row lies in its source's sequenc
 whole as many times as its budget allows, and then up to the exact word where the budget ends.
 
 Cases: a null text has size 0; rows of size 0 are taken 0 words. A null source is a source of its own and comes
-last. A null document id counts as the empty string for the key. Rows with equal keys are ordered by id and
+last. A null document id counts as a digest of the text for the key. Rows with equal keys are ordered by id and
 size, and in take() by a hash of the text after those; repeated rows are rows of their own. An empty table gives no rows. Columns besides doc_id, source and text
 aren't read by mix(); take() keeps them all.
 """
@@ -25,10 +25,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 MOST_SOURCES = 100_000
 
 
-def mix_key(doc_id: Column, seed: str = "mix") -> Column:
-    """60 uniform bits of the document id."""
-    text = F.concat(F.lit(f"{seed}|"), F.coalesce(doc_id.cast("string"), F.lit("")))
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+def mix_key(doc_id: Column, text: Column, seed: str = "mix") -> Column:
+    """60 uniform bits of the document id, or of a digest of the text where there is none, so that rows without ids are spread too."""
+    own = F.coalesce(doc_id.cast("string"), F.concat(F.lit("|"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), own)), 1, 15), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -63,7 +63,7 @@ def _shares(docs: DataFrame, more: dict[str, Column] | None = None, ties: tuple[
     more = more or {}
     src = F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"), F.coalesce("source", F.lit("")))
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    sized = materialize(docs.select("doc_id", src.alias("src"), size.alias("size"), mix_key(F.col("doc_id")).alias("key"), *(c.alias(k) for k, c in more.items())), "mix-sizes")
+    sized = materialize(docs.select("doc_id", src.alias("src"), size.alias("size"), mix_key(F.col("doc_id"), F.col("text")).alias("key"), *(c.alias(k) for k, c in more.items())), "mix-sizes")
     goal = materialize(targets(sized), "mix-targets")
     bits = bits_for(goal.agg(F.max("n")).first()[0] or 0)
     placed = prefix_in_groups(sized.withColumn("bucket", high_bits(F.col("key"), bits)), "src", "bucket", ["key", "doc_id", "size", *ties], "size", "before")
@@ -101,7 +101,7 @@ OP5_SQL = r"""
 WITH d AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' END || coalesce(source, '') AS src,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         CAST('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS key
+         CAST('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '|' || md5(coalesce(text, '')))), 1, 15) AS BIGINT) AS key
   FROM documents),
 s AS (SELECT src, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY src),
 w AS (SELECT *, CAST([5, 2, 1][CAST((row_number() OVER (ORDER BY src) - 1) % 3 AS BIGINT) + 1] AS DOUBLE) AS w, 2 * source_size AS cap FROM s),

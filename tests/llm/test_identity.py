@@ -40,3 +40,15 @@ def test_operators_keep_columns_of_any_name(odd):
         rows = out.collect()
         assert {tuple(r[c] for c in others) for r in rows} <= set(mine)
     assert Counter(tuple(r[c] for c in others) for r in secrets.redact(odd).collect()) == mine
+
+
+def test_rows_without_ids_are_spread(spark):
+    """Their texts tell their places, so they are in as many buckets as others, and the mix is the same each time."""
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(None, f"text {i} of this one", "a") for i in range(400)] + [(None, "copy", "a")] * 40 + [(None, None, "a")], "doc_id long, text string, source string")
+    keys = docs.select("text", mixing.mix_key(F.col("doc_id"), F.col("text")).alias("key"))
+    assert keys.select("key").distinct().count() == 402
+    assert keys.select((F.col("key") / 2.0**60).alias("u")).agg(F.min("u"), F.max("u")).first()[1] > 0.9
+    first, again = ([tuple(r) for r in mixing.mix(d).collect()] for d in (docs, docs.repartition(7)))
+    assert Counter(first) == Counter(again) and sum(r[4] for r in first) == round(1.5 * sum(r[1] for r in first))
