@@ -137,9 +137,10 @@ def counts(texts: DataFrame, buckets: int) -> list[int]:
         for batch in batches:
             values, ptr = _stored(batch, "buckets")
             copies = batch.column("copies").to_numpy()
-            once = copies == 1
-            for many, weight in ((np.repeat(once, np.diff(ptr)), 1), *((np.repeat(copies == c, np.diff(ptr)), c) for c in np.unique(copies[~once]).tolist())):
-                total += weight * np.bincount(values[many], minlength=buckets)
+            many = np.repeat(copies > 1, np.diff(ptr))
+            total += np.bincount(values[~many], minlength=buckets)
+            weight = np.repeat(copies, np.diff(ptr))[many]
+            total += np.rint(np.bincount(values[many], weight, buckets)).astype(np.int64)  # exact below 2^53
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["bucket", "n"])
 
