@@ -205,8 +205,8 @@ def _block(docs: DataFrame, ids: np.ndarray, texts: pa.Array, k: int) -> DataFra
     q.n_docs, q.n_terms = total.d or 0, total.t or 0
     df = np.zeros(len(q.hashes), np.int64)
     each = shards.select(F.explode(F.arrays_zip("terms", "df")).alias("x")).groupBy("x.terms").agg(F.sum("x.df").alias("df"))
-    for r in each.collect():
-        df[r.terms] = r.df
+    counts = each.toArrow()
+    df[counts.column("terms").to_numpy()] = counts.column("df").to_numpy()
     q.weight = np.array([math.floor(1000 * math.log((2 * q.n_docs + 2) / (2 * int(d) + 1))) for d in df], np.int64)
     q.floor = np.zeros(len(q.ids), np.int64)
     lists = shards.select("ids", "sizes", "terms", "ends", "docs", "tf")
