@@ -135,12 +135,12 @@ def decode_file(data: bytes) -> tuple[int, np.ndarray, np.ndarray]:
     bits = np.frombuffer(data, np.uint8, offset=at)
     bits = np.concatenate([bits, np.zeros(8, np.uint8)])
     window = bits[:-2].astype(np.uint32) << 16 | bits[1:-1].astype(np.uint32) << 8 | bits[2:].astype(np.uint32)
-    out = np.zeros((len(points), STEP), np.uint16)
+    out = np.zeros((STEP, len(points)), np.uint16)
     for k in range(STEP):
         next_ = (window[np.minimum(pos >> 3, len(window) - 1)] >> (8 - (pos & 7)).astype(np.uint32)) & ((1 << LIMIT) - 1)
-        out[:, k] = symbols[next_]
+        out[k] = symbols[next_]
         pos = pos + taken[next_]
-    return before, docs, out.reshape(-1)[:total]  # only the last block can be short, so what is read past its end comes last
+    return before, docs, out.T.reshape(-1)[:total]  # only the last block can be short, so what is read past its end comes last
 
 
 def _fs(uri: str):
