@@ -117,13 +117,11 @@ class Stated:
         """The best of each metric, the nearest by the mean of all, and the breaches, of one row: ratios are computed only where their bounds leave it open."""
         n = len(self.names)
         exact = [np.full(n, np.nan) if t is None else s.all(t) for s, t in zip(self.sets, tokens)]
-        bound = [np.full(n, np.nan) if t is None else s.bounds(t) for s, t in zip(self.texts, texts)]
-        known: list[dict[int, float]] = [{}, {}]
+        matched = [None if t is None else s.matched(t) for s, t in zip(self.texts, texts)]
+        bound = [np.full(n, np.nan) if m is None else m.upper for m in matched]
 
         def ratio(side: int, i: int) -> float:
-            if i not in known[side]:
-                known[side][i] = self.texts[side].ratio(texts[side], i)
-            return known[side][i]
+            return matched[side].ratio(i)
 
         def greatest(value, upper: np.ndarray, open_: np.ndarray) -> tuple[int, float] | None:
             """The first place of the greatest value, which upper bounds."""

@@ -5,6 +5,7 @@ import json
 import random
 import re
 from difflib import SequenceMatcher
+from unittest import mock
 
 import pytest
 from hypothesis import given, settings
@@ -427,3 +428,34 @@ def test_queries_equal_their_sql(spark, oracle, name):
     order = [names.index(c) for c in sorted(names)]
     want = sorted((tuple(_plain(r[i]) for i in order) for r in cur.fetchall()), key=repr)
     assert sorted((tuple(map(_plain, r)) for r in df.select(*sorted(df.columns)).collect()), key=repr) == want
+
+
+_long_or_short = st.text(st.sampled_from("ab "), max_size=230) | st.lists(st.sampled_from(["tion ", "the ", "qu", "é", "er", "x", "\U0001f600"]), max_size=60).map("".join)
+
+
+@settings(max_examples=300, deadline=None)
+@given(_long_or_short, st.lists(_long_or_short, min_size=1, max_size=4), st.sampled_from([1 << 20, 40]), st.sampled_from([1 << 16, 20]))
+def test_matched_blocks_of_all_stated_texts(text, others, seeds, counted):
+    """Blocks placed in all stated texts at once, or one by one where they have too many equal places, give the ratios of every pair."""
+    with mock.patch.multiple(nearest, SEEDS=seeds, COUNTED=counted, GROUP=150):
+        matched = nearest.Texts([*others, None, ""]).matched(text)
+    assert matched.upper[-2] != matched.upper[-2]
+    for i, other in enumerate([*others, None, ""]):
+        if other is not None:
+            assert matched.ratio(i) == SequenceMatcher(None, text, other).ratio() <= matched.upper[i]
+
+
+def test_few_ratios_are_completed(monkeypatch):
+    """Of 120 stated texts of a language, most long, a row's text needs a ratio with few: bounds are near the ratios."""
+    rng = random.Random(5)
+    some = lambda n: " ".join("".join(rng.choice(["tion", "th", "er", "an", "in", "q", "re"]) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+    stated = [some(rng.randrange(10, 60)) for _ in range(120)]
+    sets = [t.split() for t in stated]
+    part = leakage.Stated([str(i) for i in range(120)], list(range(120)), stated, stated, (sets, sets))
+    done = []
+    for kind in (nearest.Texts, getattr(nearest, "Matched", nearest.Texts)):
+        monkeypatch.setattr(kind, "ratio", lambda self, *x, ratio=kind.ratio: done.append((id(self), x[-1])) or ratio(self, *x))
+    q, a = some(30), some(120)
+    got = part.against((q, a), (q.split(), a.split()), None)
+    assert got["answer_sequence"]["similarity"] == max(SequenceMatcher(None, a, t).ratio() for t in stated)
+    assert len(set(done)) < 120, len(set(done))  # of 240 pairs
