@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from loomfield.functions import text, twister
 from loomfield.functions.urls import strip
+from loomfield.plans.prefix import prefix_in_groups
 from loomfield.plans.shared import broadcast_if_small, materialize, ship, spread
 
 #: Fixed values of the paired bootstrap.
@@ -22,6 +24,8 @@ SEED, RESAMPLES = 20260815, 20_000
 DRAWS = 1 << 20
 #: Words of a segment of the sequence at least, and segments of a cell at most.
 SEGMENT, SEGMENTS = 1 << 24, 1_024
+#: Deltas of a stored row at most: Spark sends some 10,000 rows at once to Python. Deltas and cells, about, that a task draws for at once.
+CHUNK, BUNDLE, BUNDLED = 256, 1 << 23, 64
 #: Keywords sent to all tasks at once, and characters of all of those, each a node of some 50 bytes at most.
 KEYWORDS, KEYWORD_CHARS = 100_000, 1 << 20
 
@@ -179,17 +183,39 @@ def accepted(words: np.random.Generator, n: int, most: int | None = None) -> Ite
 
 def resampled_means(x: list[float], words: np.random.Generator, resamples: int, skip: int = 0) -> list[float]:
     """sum(x[draw(n)] for _ in range(n)) / n again and again, n = len(x) and draw() being randrange(n) on these words, after skip draws."""
-    n, values = len(x), np.array(x, float)
-    whole = bool((values == np.rint(values)).all() and np.abs(values).sum() < 2.0**53 / n)  # sums are exact in any order
-    out, rest = [], np.empty(0, float)
+    return stacked_means([np.array(x, float)], words, resamples, skip)[0]
+
+
+def stacked_means(cells: list[np.ndarray], words: np.random.Generator, resamples: int, skip: int = 0) -> list[list[float]]:
+    """resampled_means of cells of one size, from the same draws."""
+    n, stack = len(cells[0]), []
+    for x in cells:
+        whole = bool((x == np.rint(x)).all() and np.abs(x).sum() < 2.0**53 / n)  # sums are exact in any order
+        kinds = [k for k in (np.int8, np.int16, np.int32, np.int64) if whole and -np.iinfo(k).max <= x.min() and x.max() <= np.iinfo(k).max]
+        stack.append(x.astype(kinds[0]) if whole else x)
+    out, open_, held = [[] for _ in cells], [0] * len(cells), []  # sums of whole numbers, or the draws, of a resample that is begun
+    have = 0
     for at in accepted(words, n):
-        skip, at = max(0, skip - len(at)), at[skip:]
-        rest = np.concatenate([rest, values[at]])
-        full = len(rest) // n
-        drawn, rest = rest[: full * n].reshape(full, n), rest[full * n :]
-        out += (drawn.sum(axis=1) / n).tolist() if whole else [sum(r.tolist()) / n for r in drawn[: resamples - len(out)]]
-        if len(out) >= resamples:
-            return out[:resamples]
+        skip, at = max(0, skip - len(at)), at[skip:].astype(np.intp)
+        if not len(at):
+            continue
+        ends = np.arange(n - have, len(at) + 1, n)
+        begins = np.concatenate([[0], ends[ends < len(at)]])
+        parts = np.split(at, begins[1:]) if any(x.dtype == float for x in stack) else []
+        for c, x in enumerate(stack):
+            if x.dtype != float:
+                sums = np.add.reduceat(x[at], begins, dtype=np.int64)
+                sums[0] += open_[c]
+                out[c] += (sums[: len(ends)] / n).tolist()
+                open_[c] = int(sums[-1]) if len(begins) > len(ends) else 0
+                continue
+            for k in range(min(len(ends), resamples - len(out[c]))):  # added one by one in their order
+                out[c].append(sum(chain.from_iterable(x[p].tolist() for p in ([*held, parts[k]] if k == 0 else [parts[k]]))) / n)
+        if parts:
+            held = ([] if len(ends) else held) + (parts[len(ends) :] or [])
+        have = len(at) - int(ends[-1]) if len(ends) else have + len(at)
+        if all(len(m) >= resamples for m in out):
+            return [m[:resamples] for m in out]
 
 
 def bootstrap(d: DataFrame, seed: int = SEED, resamples: int = RESAMPLES) -> DataFrame:
@@ -197,20 +223,29 @@ def bootstrap(d: DataFrame, seed: int = SEED, resamples: int = RESAMPLES) -> Dat
 
     All resamples of a cell take draws from one sequence of words. It is cut into segments, which tasks reach by jumping ahead. They first count the
     draws of each segment; sums of those tell in which segment a resample begins and after how many draws, so the resamples, too, are dealt over tasks.
-    The result doesn't depend on how. A cell's deltas are one array in a task, and so are its means.
+    The result doesn't depend on how. Deltas are numbered by ranges of ids and stored in chunks; chunks, a few kilobytes a row, go to every task that
+    draws from their cell. Cells of one size take the same draws, so they are drawn together. A task holds the deltas of one bundle of cells,
+    BUNDLE in all or one cell, in a byte each where they are small whole numbers.
 
     Cases: null deltas don't count, and a cell without others isn't there; ids are unique in a cell.
     """
-    ship(d.sparkSession)
+    spark = d.sparkSession
+    ship(spark)
     by = ["split", "comparison", "judge"]
     kinds = ", ".join(f"{c} {d.schema[c].dataType.simpleString()}" for c in by)
-    cells = d.where("delta is not null").groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("id", F.col("delta").cast("double").alias("delta")))).alias("x"))
-    cells = materialize(cells.select(*by, F.size("x").cast("long").alias("n"), F.col("x.delta").alias("values")), "cells")
-    sizes = cells.select("n").distinct()
+    tasks = spark.sparkContext.defaultParallelism
+    rows = d.where("delta is not null").select(F.struct(*by).alias("g"), "id", F.col("delta").cast("double").alias("delta"), F.lit(1).alias("one"))
+    ranged = rows.repartitionByRange(max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))), "id")
+    ranged = materialize(ranged.withColumn("part", F.spark_partition_id()), "deltas")
+    cells = materialize(ranged.groupBy("g").agg(F.count("*").alias("n")), "cells")
+    sizes = cells.groupBy("n").agg(F.greatest(F.ceil(F.count("*") * F.col("n") / F.lit(BUNDLE)), F.ceil(F.count("*") / F.lit(BUNDLED))).cast("long").alias("bundles"))
     bits = F.length(F.conv(F.col("n").cast("string"), 10, 2))
     every = (F.lit(float(resamples)) * F.pow(F.lit(2.0), bits)).cast("long")  # words that all resamples take, as expected
     length = F.greatest(F.lit(SEGMENT), F.ceil(every / SEGMENTS)).cast("long")
-    plan = sizes.select("n", length.alias("length"), F.ceil(every / length).cast("int").alias("segments"))
+    plan = sizes.select("n", "bundles", length.alias("length"), F.ceil(every / length).cast("int").alias("segments"))
+    numbered = prefix_in_groups(ranged, "g", "part", ["id"], "one", "at").withColumn("chunk", F.floor(F.col("at") / CHUNK))
+    chunks = numbered.groupBy("g", "chunk").agg(F.array_sort(F.collect_list(F.struct("at", "delta"))).alias("x"))
+    chunks = materialize(chunks.select("g", "chunk", F.col("x.delta").alias("values")), "chunks")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = twister.seeded(seed)
@@ -221,25 +256,42 @@ def bootstrap(d: DataFrame, seed: int = SEED, resamples: int = RESAMPLES) -> Dat
 
     def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = twister.seeded(seed)
+
+        def drawn(work: tuple, some: list) -> Iterator[pa.RecordBatch]:
+            _, first, last, word, skip = work
+            got = stacked_means([np.concatenate(x) for _, x in some], twister.generator(twister.jumped(state, word)), last - first, skip)
+            for (own, _), m in zip(some, got):
+                yield pa.RecordBatch.from_arrays([*own, pa.array([m], pa.list_(pa.float64()))], names=[*by, "means"])
+
+        now, some = None, []
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in ("values", "length", "before", "first", "last")}
-                draws = row["first"] * len(row["values"])
-                segment = max(k for k, before in enumerate(row["before"]) if before <= draws)
-                words = twister.generator(twister.jumped(state, segment * row["length"]))
-                got = resampled_means(row["values"], words, row["last"] - row["first"], draws - row["before"][segment])
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in by), pa.array([got], pa.list_(pa.float64()))], names=[*by, "means"])
+            work = list(zip(*(batch.column(c).to_pylist() for c in ("bundle", "first", "last", "word", "skip"))))
+            for i, k in enumerate(batch.column("chunk").to_pylist()):
+                if k == 0:  # the first of a cell
+                    if some and work[i] != now:
+                        yield from drawn(now, some)
+                        some = []
+                    now = work[i]
+                    some.append(([pa.concat_arrays([batch.column(c).slice(i, 1)]) for c in by], []))
+                some[-1][1].append(batch.column("values").slice(i, 1).flatten().to_numpy().copy())
+        if some:
+            yield from drawn(now, some)
 
     each = plan.where("segments > 1").select("n", "length", F.explode(F.sequence(F.lit(0), F.col("segments") - 2)).alias("segment"))  # none begins after the last
-    tasks = d.sparkSession.sparkContext.defaultParallelism
-    counts = materialize(each.repartition(tasks, "n", "segment").mapInArrow(count, "n long, length long, segment int, draws long"), "draws")
+    counts = materialize(each.repartition(4 * tasks, "n", "segment").mapInArrow(count, "n long, length long, segment int, draws long"), "draws")
     sums = F.coalesce(F.sum("draws").over(Window.partitionBy("n").orderBy("segment")), F.lit(0))
     begins = counts.withColumn("before", sums).groupBy("n").agg(F.array_sort(F.collect_list("before")).alias("b"))  # SEGMENTS entries at most
-    begins = plan.join(begins, "n", "left").select("n", "length", "segments", F.concat(F.array(F.lit(0).cast("long")), F.coalesce("b", F.array().cast("array<long>"))).alias("before"))
-    at = lambda k: F.floor(k * F.lit(resamples) / F.col("segments")).cast("int")
-    parts = cells.join(begins, "n").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("segments") - 1)))
-    parts = parts.select(*by, "values", "length", "before", at(F.col("part")).alias("first"), at(F.col("part") + 1).alias("last")).where("last > first")
-    drawn = parts.repartition(tasks, *by, "first").mapInArrow(means, f"{kinds}, means array<double>")
+    pieces = F.least(F.col("segments"), F.lit(2 * tasks))
+    before = F.concat(F.array(F.lit(0).cast("long")), F.coalesce("b", F.array().cast("array<long>")))
+    begins = plan.join(begins, "n", "left").select("n", "bundles", "length", pieces.alias("pieces"), before.alias("before"))
+    at = lambda k: F.floor(k * F.lit(resamples) / F.col("pieces")).cast("int")
+    parts = begins.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumns({"first": at(F.col("piece")), "last": at(F.col("piece") + 1)}).where("last > first")
+    passed = F.filter("before", lambda x: x <= F.col("first") * F.col("n"))
+    parts = parts.select("n", "bundles", "first", "last", ((F.size(passed) - 1) * F.col("length")).alias("word"), (F.col("first") * F.col("n") - F.element_at(passed, -1)).alias("skip"))
+    parts = materialize(parts, "pieces")
+    work = chunks.join(cells, "g").join(broadcast_if_small(parts, MOST_GROUPS), "n").withColumn("bundle", F.concat_ws(":", "n", F.pmod(F.xxhash64("g"), F.col("bundles"))))
+    dealt = work.select("g.*", "bundle", "first", "last", "word", "skip", "chunk", "values").repartition(4 * tasks, "bundle", "first").sortWithinPartitions("bundle", "first", *by, "chunk")
+    drawn = dealt.mapInArrow(means, f"{kinds}, means array<double>")
     sorted_ = drawn.groupBy(*by).agg(F.sort_array(F.flatten(F.collect_list("means"))).alias("m"))
     low, high = (F.col("m")[int(q * resamples)] for q in (0.025, 0.975))
     return sorted_.select(*by, low.alias("ci95_low"), high.alias("ci95_high"), ((low > 0) | (high < 0)).alias("significant"))

@@ -218,6 +218,26 @@ def test_bootstrap_by_any_segments(spark, monkeypatch, segment):
     assert got == want
 
 
+def test_bootstrap_holds_no_cell_in_a_row(spark, monkeypatch):
+    """A row that is stored or sent has a bounded part of a cell's deltas; cells of one size are drawn together."""
+    stored = []
+    monkeypatch.setattr(evaluation, "materialize", lambda df, tag, own=evaluation.materialize: stored.append(own(df, tag)) or stored[-1])
+    monkeypatch.setattr(evaluation, "SEGMENT", 5_000)
+    monkeypatch.setattr(evaluation, "BUNDLE", 2_500)
+    rng = random.Random(4)
+    cells = {("s", "c", j): [float(rng.randrange(-3, 300)) if j != "third" else rng.random() for _ in range(1_100)] for j in ("first", "second", "third", "fourth")}
+    rows = [(*c, 7 * i, x) for c, v in cells.items() for i, x in enumerate(v)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "split string, comparison string, judge string, id long, delta double").repartition(3)
+    got = {(r.split, r.comparison, r.judge): (r.ci95_low, r.ci95_high) for r in evaluation.bootstrap(df, 11, 40).collect()}
+    for c, x in cells.items():
+        draw = random.Random(11).randrange
+        means = sorted(sum(x[draw(len(x))] for _ in x) / len(x) for _ in range(40))
+        assert got[c] == (means[1], means[39])
+    arrays = [(t, c) for t in stored for c, kind in t.dtypes if kind == "array<double>"]
+    assert arrays and max(t.agg(F.max(F.size(c))).first()[0] for t, c in arrays) <= 256
+
+
 @pytest.mark.parametrize("words", [0, 1, 623, 624, 70_000, 80_000, 123_457])
 def test_jumps_of_the_generator(words):
     state = twister.seeded(20260815)
