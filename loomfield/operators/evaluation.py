@@ -25,7 +25,7 @@ DRAWS = 1 << 20
 #: Words of a segment of the sequence at least, and segments of a cell at most.
 SEGMENT, SEGMENTS = 1 << 24, 1_024
 #: Deltas of a stored row at most: Spark sends some 10,000 rows at once to Python. Deltas and cells, about, that a task draws for at once.
-CHUNK, BUNDLE, BUNDLED = 256, 1 << 23, 64
+CHUNK, BUNDLE, BUNDLED = 128, 1 << 23, 64
 #: Keywords sent to all tasks at once, and characters of all of those, each a node of some 50 bytes at most.
 KEYWORDS, KEYWORD_CHARS = 100_000, 1 << 20
 
@@ -186,13 +186,16 @@ def resampled_means(x: list[float], words: np.random.Generator, resamples: int,
     return stacked_means([np.array(x, float)], words, resamples, skip)[0]
 
 
+def packed(x: np.ndarray) -> np.ndarray:
+    """x as the smallest whole numbers that hold it, if sums of as many of those are exact in any order."""
+    whole = bool((x == np.rint(x)).all() and np.abs(x).sum() < 2.0**53 / len(x))
+    kinds = [k for k in (np.int8, np.int16, np.int32, np.int64) if whole and -np.iinfo(k).max <= x.min() and x.max() <= np.iinfo(k).max]
+    return x.astype(kinds[0]) if whole else x
+
+
 def stacked_means(cells: list[np.ndarray], words: np.random.Generator, resamples: int, skip: int = 0) -> list[list[float]]:
     """resampled_means of cells of one size, from the same draws."""
-    n, stack = len(cells[0]), []
-    for x in cells:
-        whole = bool((x == np.rint(x)).all() and np.abs(x).sum() < 2.0**53 / n)  # sums are exact in any order
-        kinds = [k for k in (np.int8, np.int16, np.int32, np.int64) if whole and -np.iinfo(k).max <= x.min() and x.max() <= np.iinfo(k).max]
-        stack.append(x.astype(kinds[0]) if whole else x)
+    n, stack = len(cells[0]), list(map(packed, cells))
     out, open_, held = [[] for _ in cells], [0] * len(cells), []  # sums of whole numbers, or the draws, of a resample that is begun
     have = 0
     for at in accepted(words, n):
@@ -259,7 +262,7 @@ def bootstrap(d: DataFrame, seed: int = SEED, resamples: int = RESAMPLES) -> Dat
 
         def drawn(work: tuple, some: list) -> Iterator[pa.RecordBatch]:
             _, first, last, word, skip = work
-            got = stacked_means([np.concatenate(x) for _, x in some], twister.generator(twister.jumped(state, word)), last - first, skip)
+            got = stacked_means([packed(np.concatenate(x)) for _, x in some], twister.generator(twister.jumped(state, word)), last - first, skip)
             for (own, _), m in zip(some, got):
                 yield pa.RecordBatch.from_arrays([*own, pa.array([m], pa.list_(pa.float64()))], names=[*by, "means"])
 
@@ -268,6 +271,8 @@ def bootstrap(d: DataFrame, seed: int = SEED, resamples: int = RESAMPLES) -> Dat
             work = list(zip(*(batch.column(c).to_pylist() for c in ("bundle", "first", "last", "word", "skip"))))
             for i, k in enumerate(batch.column("chunk").to_pylist()):
                 if k == 0:  # the first of a cell
+                    if some:
+                        some[-1][1][:] = [packed(np.concatenate(some[-1][1]))]
                     if some and work[i] != now:
                         yield from drawn(now, some)
                         some = []
@@ -290,7 +295,7 @@ def bootstrap(d: DataFrame, seed: int = SEED, resamples: int = RESAMPLES) -> Dat
     parts = parts.select("n", "bundles", "first", "last", ((F.size(passed) - 1) * F.col("length")).alias("word"), (F.col("first") * F.col("n") - F.element_at(passed, -1)).alias("skip"))
     parts = materialize(parts, "pieces")
     work = chunks.join(cells, "g").join(broadcast_if_small(parts, MOST_GROUPS), "n").withColumn("bundle", F.concat_ws(":", "n", F.pmod(F.xxhash64("g"), F.col("bundles"))))
-    dealt = work.select("g.*", "bundle", "first", "last", "word", "skip", "chunk", "values").repartition(4 * tasks, "bundle", "first").sortWithinPartitions("bundle", "first", *by, "chunk")
+    dealt = work.select("g.*", "bundle", "first", "last", "word", "skip", "chunk", "values").repartition(8 * tasks, "bundle", "first").sortWithinPartitions("bundle", "first", *by, "chunk")
     drawn = dealt.mapInArrow(means, f"{kinds}, means array<double>")
     sorted_ = drawn.groupBy(*by).agg(F.sort_array(F.flatten(F.collect_list("means"))).alias("m"))
     low, high = (F.col("m")[int(q * resamples)] for q in (0.025, 0.975))
